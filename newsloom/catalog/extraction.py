@@ -22,6 +22,7 @@ from newsloom.operators.extraction import (
     extract_main_text,
     spread,
 )
+from newsloom.schema import MIN_CLEAN_CHARS
 from newsloom.sources.readers import decode_pages
 
 
@@ -41,7 +42,8 @@ def _clean_text(spark, sf_dir):
         F.lit('<div class="x">'), "text", F.lit("</div> <![CDATA["), "source", F.lit(" "), "lang",
         F.lit("]]>\t<br/>  <![CDATA[\n]]> "),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", clean_text(wrapped).alias("cleaned"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return clean_text(texts.select("doc_id", wrapped.alias("cleaned")), {"cleaned": MIN_CLEAN_CHARS})
 
 
 ARTICLE_MARKUP = "regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's')"
@@ -124,7 +126,7 @@ def _main_text_fallback(spark, sf_dir):
 
 
 def _rendered_fields(spark, sf_dir):
-    return articles_from_fields(extract_fields(spread(rendered_pages(spark, sf_dir))), LINK_PREFIX)
+    return articles_from_fields(extract_fields(rendered_pages(spark, sf_dir)), LINK_PREFIX)
 
 
 @query("meta_fields", f"WITH {RENDERED_FIELDS_SQL} SELECT id, date, category FROM rendered")
@@ -149,7 +151,7 @@ RENDERED_ARTICLES_SQL = f"""
 
 @query("rendered_articles", f"WITH {RENDERED_ARTICLES_SQL} SELECT * FROM rendered_articles")
 def _rendered_articles(spark, sf_dir):
-    return extract_articles(spread(rendered_pages(spark, sf_dir)), LINK_PREFIX)
+    return extract_articles(rendered_pages(spark, sf_dir), LINK_PREFIX)
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.catalog.registry import table
+from newsloom.operators.extraction import spread
 
 LINK_PREFIX = "https://news.example.com/zprava.php?id="
 HOST = "news.example.com"
@@ -83,8 +84,9 @@ def sql_clean(expression: str, min_chars: int = 50) -> str:
 
 
 def sql_entities(expression: str) -> str:
-    for entity, char in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]:
-        expression = f"replace({expression}, '{entity}', '{char}')"
+    """Decode the entities of the pages, some of which are cut off before the ";"."""
+    for name, char in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")]:
+        expression = rf"regexp_replace({expression}, '&{name}(?:;|\b)', '{char}', 'g')"
     return expression
 
 
@@ -105,7 +107,7 @@ def _escape(text: Column) -> Column:
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as article pages; ``variant`` says how keywords are given and
     which of date and category are missing."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     variant = F.col("doc_id") % 6
     source, lang = F.col("source"), F.col("lang")
 

@@ -160,7 +160,11 @@ def _saves_sql(frequency: int) -> str:
 
 
 def _saves(frequency):
-    return lambda spark, sf_dir: save_points(_progress(spark, sf_dir), frequency)
+    def run(spark, sf_dir):
+        lo, hi = id_bounds(table(spark, sf_dir, "documents"), "doc_id")
+        return save_points(_progress(spark, sf_dir), frequency, batches=(hi - lo) // 50 + 1)
+
+    return run
 
 
 for _frequency in SAVE_FREQUENCIES.values():

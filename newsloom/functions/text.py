@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.schema import (
     DEFAULT_CATEGORY,
-    MIN_CLEAN_CHARS,
     MIN_KEYWORDS_CHARS,
     PREVIEW_KEYWORDS_CHARS,
     PREVIEW_TITLE_CHARS,
 )
 
 # Patterns that decide the results.
-# Unicode white space (Java's \s alone is ASCII only).
-WHITESPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}"
+# Members of a class of Unicode white space, under the flag (?U).
+WHITESPACE = r"\s\x{1c}-\x{1f}"
 # A CDATA section on one line; (?d) makes "." exclude only the line feed.
 CDATA = r"(?d)<!\[CDATA\[(.*?)\]\]>"
-TAG = r"<[^>]+>"
+TAG = r"<[^>]++>"
 ID_PARAMETER = r"id=(\d+)"
 
+# An opening without an end would be searched to the end of the line or text
+# again from each further opening in it. These match it whole, to be kept.
+OPEN_CDATA = r"(<!\[CDATA\[.*+)"
+OPEN_TAG = r"(<[^>]*+\z)"
+
 
 def _trim_class(column: Column, members: str) -> Column:
     # The look-behind starts a match only at the head of a run, so that long
     # inner runs are not rescanned from each of their characters.
-    return F.regexp_replace(column, f"^[{members}]+|(?<![{members}])[{members}]+$", "")
+    return F.regexp_replace(column, f"(?U)^[{members}]++|(?<![{members}])[{members}]++$", "")
 
 
 def strip(column: Column) -> Column:
@@ -34,22 +38,40 @@ def strip(column: Column) -> Column:
 
 def collapse(column: Column) -> Column:
     """Trim, and turn each run of white space into one space."""
-    return F.trim(F.regexp_replace(column, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(column, f"(?U)[{WHITESPACE}]+", " "))
+
+
+def _unwrap_cdata(column: Column) -> Column:
+    unwrapped = F.regexp_replace(column, f"{CDATA}|{OPEN_CDATA}", "$1$2")
+    return F.when(F.contains(column, F.lit("<![CDATA[")), unwrapped).otherwise(column)
 
 
 def _drop_tags(column: Column) -> Column:
-    # No tag can start after the last ">", and scanning there for one would
-    # cost a pass to the end per "<": keep that tail out of the pattern.
+    # The plain pattern is several times faster; the other one is for texts
+    # with an opening after their last end of a tag.
     tail = F.substring_index(column, ">", -1)
-    head = F.left(column, F.length(column) - F.length(tail))
-    return F.concat(F.regexp_replace(head, TAG, ""), tail)
+    return (
+        F.when(~F.contains(column, F.lit("<")), column)
+        .when(F.contains(tail, F.lit("<")), F.regexp_replace(column, f"{TAG}|{OPEN_TAG}", "$1"))
+        .otherwise(F.regexp_replace(column, TAG, ""))
+    )
+
+
+def _long_enough(column: Column, min_chars: int) -> Column:
+    return F.when(F.length(column) >= min_chars, column).otherwise("")
+
 
+def clean_text(df: DataFrame, min_chars: dict[str, int]) -> DataFrame:
+    """Clean the named columns: unwrap CDATA, delete tags, collapse white space.
 
-def clean_text(column: Column, min_chars: int = MIN_CLEAN_CHARS) -> Column:
-    """Unwrap CDATA, delete tags, collapse white space; too short becomes ''."""
-    unwrapped = F.regexp_replace(column, CDATA, "$1")
-    text = collapse(_drop_tags(unwrapped))
-    return F.when(F.length(text) >= min_chars, text).otherwise("")
+    Missing texts, and those below their minimum length, become ''. Each step
+    reads its input more than once, hence a column of its own per step: Spark
+    then computes the step before only once.
+    """
+    names = list(min_chars)
+    df = df.withColumns({name: _unwrap_cdata(F.col(name)) for name in names})
+    df = df.withColumns({name: collapse(_drop_tags(F.col(name))) for name in names})
+    return df.withColumns({name: _long_enough(F.col(name), n) for name, n in min_chars.items()})
 
 
 def normalize_keywords(column: Column) -> Column:

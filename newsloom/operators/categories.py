@@ -18,8 +18,9 @@ from newsloom.operators.ordering import running_total
 # selections are joined.
 MAX_LITERAL_NAMES = 10_000
 
-# Width of the first-seen ranges that split categories of equal count.
-FIRST_SEEN_RANGE = 1 << 24
+# Categories of equal count split by the first-seen position without this many
+# low bits.
+FIRST_SEEN_BITS = 24
 
 
 def category_counts(articles: DataFrame, order: str | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def category_ranking(counts: DataFrame) -> DataFrame:
     one global sort.
     """
     keyed = counts.withColumn("__falling", -F.col("n")).withColumn(
-        "__range", F.floor(F.col("first_seen") / F.lit(FIRST_SEEN_RANGE))
+        "__range", F.shiftright("first_seen", FIRST_SEEN_BITS)
     )
     ranked = running_total(keyed, F.lit(1), ["__falling", "__range"], ["first_seen"], "rank")
     return ranked.select("rank", "category", "n", "first_seen")
@@ -78,10 +79,15 @@ def resolve_picks(ranking: DataFrame, text: str, allow_all: bool = True) -> Data
     picks = parse_picks(text, allow_all)
     if picks == "all":
         return ranking.select((F.col("rank") - 1).alias("pos"), "category")
-    spark = ranking.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(picks or [])), "pos bigint, rank bigint")
-    named = ranking.filter(F.col("rank").isin([rank for rank in set(picks or [])]))
-    return named.join(wanted, "rank").select("pos", "category")
+    wanted = [(pos, rank) for pos, rank in enumerate(picks or []) if 0 < rank < 1 << 63]
+    if not wanted:
+        return ranking.select(F.lit(0).cast("bigint").alias("pos"), "category").limit(0)
+    entries = F.array(
+        *[F.struct(F.lit(p).cast("bigint").alias("pos"), F.lit(r).cast("bigint").alias("pick")) for p, r in wanted]
+    )
+    hits = F.filter(entries, lambda entry: entry["pick"] == F.col("rank"))
+    named = ranking.filter(F.col("rank").isin([rank for _, rank in wanted]))
+    return named.select("category", F.inline(hits)).select("pos", "category")
 
 
 def filter_categories(

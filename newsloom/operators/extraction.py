@@ -63,9 +63,11 @@ def articles_from_fields(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Clean raw fields into the article schema; one row per page."""
-    return fields.select(
-        clean_text(F.col("title_raw"), min_title_chars).alias("title"),
-        clean_text(F.col("content_raw"), min_content_chars).alias("content"),
+    named = fields.withColumnsRenamed({"title_raw": "title", "content_raw": "content"})
+    cleaned = clean_text(named, {"title": min_title_chars, "content": min_content_chars})
+    return cleaned.select(
+        "title",
+        "content",
         article_link(F.col("page_id"), link_prefix).alias("link"),
         F.col("page_id").alias("id"),
         strip(F.col("date_raw")).alias("date"),
@@ -76,8 +78,15 @@ def articles_from_fields(
 
 
 def accept_articles(articles: DataFrame) -> DataFrame:
-    """Keep articles that have both a title and a content."""
-    return articles.filter((F.length("title") > 0) & (F.length("content") > 0))
+    """Keep articles that have both a title and a content.
+
+    A plain filter would be pushed below the cleaning, with all of its steps
+    unfolded into the predicate, and so clean every text again. Spark pushes
+    nothing below a generator.
+    """
+    row = F.array(F.struct(*articles.columns))
+    complete = F.filter(row, lambda a: (F.length(a["title"]) > 0) & (F.length(a["content"]) > 0))
+    return articles.select(F.inline(complete))
 
 
 def extract_articles(
@@ -99,5 +108,6 @@ def extract_main_text(
 ) -> DataFrame:
     """Body text of pages of any site; NULL unless longer than ``min_chars``."""
     texts = _markup_stage(pages, keep, ["text_raw"], html.main_text)
-    text = collapse(F.col("text_raw"))
-    return texts.select(*keep, F.when(F.length(text) > min_chars, text).alias("main_text"))
+    body = F.col("main_text")
+    collapsed = texts.select(*keep, collapse(F.col("text_raw")).alias("main_text"))
+    return collapsed.withColumn("main_text", F.when(F.length(body) > min_chars, body))

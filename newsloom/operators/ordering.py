@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows of an ordered table that share one window partition.
-BUCKET_ROWS = 1 << 20
+# Positions that agree in all but this many low bits share a window partition.
+BUCKET_BITS = 20
 
 
 def running_total(
@@ -35,8 +35,8 @@ def running_total(
 
 
 def running_total_by(
-    df: DataFrame, value: Column, position: str, name: str, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, value: Column, position: str, name: str, bucket_bits: int = BUCKET_BITS
 ) -> DataFrame:
     """``running_total`` along a unique whole-number position column."""
-    bucketed = df.withColumn("__bucket", F.floor(F.col(position) / F.lit(bucket_rows)))
+    bucketed = df.withColumn("__bucket", F.shiftright(position, bucket_bits))
     return running_total(bucketed, value, ["__bucket"], [position], name).drop("__bucket")
