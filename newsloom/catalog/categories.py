@@ -22,12 +22,14 @@ from newsloom.operators.categories import (
     category_share,
     corpus_totals,
     filter_categories,
+    ranked_shares,
     resolve_picks,
 )
 from newsloom.operators.extraction import extract_articles, spread
 from newsloom.operators.scan import id_bounds, newest_n
-from newsloom.plans.analysis import category_analysis, post_filter, ranked_shares, sample_categories
+from newsloom.plans.analysis import category_analysis, post_filter, sample_categories
 from newsloom.schema import ANALYSIS_SPAN
+from newsloom.session import stored
 from newsloom.sources.writers import exported_articles, output_summary
 
 COUNTS_SQL = """
@@ -285,7 +287,7 @@ def _page_category_listing(spark, sf_dir):
         .withColumn("category", F.coalesce("category", language))
         .withColumn("position", F.col("id"))
     )
-    return ranked_shares(category_counts(corpus, "position"))
+    return ranked_shares(stored(category_counts(corpus, "position"), "category-counts"))
 
 
 @query("post_filter", f"WITH {ARTICLES_SQL}, {LISTING_SQL} SELECT * FROM listing")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from html.entities import html5
+from html import entities
 from html.parser import HTMLParser
 
 # ---------------------------------------------------------------------------
@@ -149,7 +149,7 @@ class Page(HTMLParser):
         self._pending.append(data)
 
     def handle_entityref(self, name):
-        self._pending.append(html5.get(f"{name};", f"&{name}"))
+        self._pending.append(entities.html5.get(f"{name};", f"&{name}"))
 
     def handle_charref(self, name):
         try:

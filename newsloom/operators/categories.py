@@ -13,6 +13,7 @@ from newsloom.functions.text import (
     title_preview,
 )
 from newsloom.operators.ordering import running_total
+from newsloom.session import stored
 
 # Most names of a selection that are put into the query as literals. Larger
 # selections are joined.
@@ -48,9 +49,20 @@ def category_ranking(counts: DataFrame) -> DataFrame:
 
 def category_share(counts: DataFrame) -> DataFrame:
     """Add each category's percentage of all articles, exact and for display."""
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    share = F.col("n") * F.lit(100.0) / total
-    return counts.withColumn("share", share).withColumn("share_text", display_share(share))
+    counts = stored(counts, "category-counts")
+    return _with_share(counts, counts)
+
+
+def ranked_shares(counts: DataFrame) -> DataFrame:
+    """Category listing: rank, category, count, share. Reads ``counts`` more
+    than once, so what is costly to count should be ``stored`` first."""
+    listing = _with_share(category_ranking(counts), counts)
+    return listing.select("rank", "category", "n", "share", "share_text")
+
+
+def _with_share(df: DataFrame, counts: DataFrame) -> DataFrame:
+    share = F.col("n") * F.lit(100.0) / counts.agg(F.sum("n")).scalar()
+    return df.withColumn("share", share).withColumn("share_text", display_share(F.col("share")))
 
 
 def corpus_totals(articles: DataFrame) -> DataFrame:

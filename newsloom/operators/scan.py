@@ -14,6 +14,7 @@ from newsloom.schema import (
     FALLBACK_LATEST_ID,
     SAVE_EVERY,
 )
+from newsloom.session import stored
 
 
 def feed_ids(items: DataFrame, host: str) -> DataFrame:
@@ -106,7 +107,8 @@ def scan_outcome(
 def batch_progress(outcome: DataFrame) -> DataFrame:
     """Per batch: ids handled, articles found, and found so far."""
     found = F.sum(F.when(F.col("outcome") == "found", 1).otherwise(0))
-    batches = outcome.groupBy("batch_no").agg(F.count("*").alias("ids"), found.alias("found"))
+    per_batch = outcome.groupBy("batch_no").agg(F.count("*").alias("ids"), found.alias("found"))
+    batches = stored(per_batch, "batches")
     return running_total_by(batches, F.col("found"), "batch_no", "found_so_far").select(
         "batch_no", "ids", "found", "found_so_far"
     )
@@ -189,7 +191,7 @@ def _final_save(df: DataFrame, position: str, total: str) -> DataFrame:
 
 def save_every_k(outcome: DataFrame, k: int = SAVE_EVERY) -> DataFrame:
     """Saves of an unbatched scan: after every k-th found article and at the end."""
-    found = outcome.filter(F.col("outcome") == "found").select("scan_no")
+    found = stored(outcome.filter(F.col("outcome") == "found").select("scan_no"), "found")
     numbered = running_total_by(found, F.lit(1), "scan_no", "saved_total")
     due = numbered.filter(F.col("saved_total") % k == 0).select(
         "scan_no", "saved_total", F.lit(False).alias("final")

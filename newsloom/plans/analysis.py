@@ -9,24 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom.operators.categories import (
     category_counts,
-    category_ranking,
     category_report,
-    category_share,
     filter_categories,
+    ranked_shares,
     resolve_picks,
 )
 from newsloom.operators.dedup import first_per_id, has_id, new_rows, skip_processed
 from newsloom.operators.extraction import extract_articles
 from newsloom.operators.scan import newest_n
 from newsloom.schema import ANALYSIS_SPAN, MIN_CLEAN_CHARS, SAMPLE_SPAN, SCAN_SPANS
+from newsloom.session import stored
 from newsloom.sources.writers import exported_articles
 
 
-def ranked_shares(counts: DataFrame) -> DataFrame:
-    """Category listing: rank, category, count, share."""
-    return category_share(category_ranking(counts)).select("rank", "category", "n", "share", "share_text")
-
-
 def range_scan(
     pages: DataFrame,
     existing: DataFrame | None,
@@ -59,12 +54,13 @@ def range_scan(
 
 def sample_categories(articles: DataFrame, latest: int, order: str, span: int = SAMPLE_SPAN) -> DataFrame:
     """Category listing of the newest few articles."""
-    return ranked_shares(category_counts(newest_n(articles, latest, span), order))
+    counts = category_counts(newest_n(articles, latest, span), order)
+    return ranked_shares(stored(counts, "category-counts"))
 
 
 @dataclass
 class CategoryAnalysis:
-    """Results of an analysis; each is lazy and runs only if used."""
+    """Results of an analysis. Only the counts behind them are computed at once."""
 
     listing: DataFrame
     report: DataFrame
@@ -97,10 +93,12 @@ def post_filter(articles: DataFrame, order: str, analysis_date: str, picks: str)
 def _analysis(
     articles: DataFrame, counts: DataFrame, order: str, analysis_date: str, picks: str | None
 ) -> CategoryAnalysis:
+    counts = stored(counts, "category-counts")
     listing = ranked_shares(counts)
     exported = None
     if picks:
-        selection = resolve_picks(listing, picks, allow_all=False)
-        if not selection.isEmpty():
-            exported = exported_articles(articles, selection, order)
+        # As many names as the text has numbers, at most.
+        picked = resolve_picks(listing, picks, allow_all=False).select("category").distinct()
+        names = [row.category for row in picked.collect()]
+        exported = exported_articles(articles, names, order) if names else None
     return CategoryAnalysis(listing, category_report(counts, analysis_date), exported)

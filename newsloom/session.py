@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffles, turns joins into broadcasts once the small side has been
 # measured, and splits skewed partitions. Web pages are wide rows, so Arrow
@@ -49,3 +49,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="newsloom-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` computed once and read back from the shared folder.
+
+    For small results that several branches of a plan read. Column pruning
+    would make their computations differ, and Spark shares equal ones only;
+    the table survives lost executors and brings its size along.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
