@@ -1,5 +1,8 @@
 """The per-page helper on hand-made markup."""
 
+import random
+
+import pyarrow.parquet as pq
 import pytest
 
 from newsloom.functions.html import Page, article_fields, keywords, main_text, selectors
@@ -123,3 +126,41 @@ def test_selectors():
     assert [len(page.select(s)) for s in selectors([".x", ".x.y", "b.x", "#i", '[id="i"]', "a#i.y"])] == [
         2, 1, 1, 1, 1, 1,
     ]
+
+
+class General(Page):
+    """Always read by the general parser."""
+
+    def _read_plain(self, markup):
+        return False
+
+
+def tree(kind, markup):
+    try:
+        page = kind(markup)
+    except AssertionError:
+        return None
+    return page.tags, page.data, page.ends, page.parents, page.with_attributes
+
+
+PIECES = (
+    "<p> </p> <B> </b> <br> <br/> </br> <script> </script> <style> </style> <title> </title> <pre> </pre> "
+    "<textarea> <iframe> <template> </template> <!--c--> <!----> <!--a--b--> <!--> <!---> <!DOCTYPE-x> "
+    "<![CDATA[x]]> &amp; &amp &nosuch; &#150; &#x41; &#xZ; & AT&T < <b > text é ' \" &#1 &a.b; <?php-x?>"
+).split(" ") + [
+    '<div class="a b" id="x">', "</div>", '<a href="?a=1&amp;b=2">', "</Script >", "< b", "<a b='c'>", "<a b>",
+    '<a  b="c" />', '<h1 ITEMPROP="name headline">', " ", "\n", "& ",
+]
+
+
+def test_plain_reading_equals_the_general_parser():
+    chosen = random.Random(5)
+    for _ in range(20_000):
+        markup = "".join(chosen.choices(PIECES, k=chosen.randrange(1, 9)))
+        assert tree(Page, markup) == tree(General, markup), markup
+
+
+def test_plain_reading_covers_the_given_pages():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    assert all(tree(Page, markup) == tree(General, markup) for markup in pages)
+    assert sum(Page("")._read_plain(markup) for markup in pages) > 0.9 * len(pages)
