@@ -14,12 +14,14 @@ from newsloom.operators.scan import (
     collect_scan,
     id_bounds,
     id_range,
+    newest_first,
     newest_n,
     save_every_k,
+    save_frequency,
     save_points,
     scan_outcome,
 )
-from newsloom.plans.analysis import range_scan
+from newsloom.plans.analysis import preset_bounds, range_scan, scan_report
 from newsloom.schema import SAVE_FREQUENCIES, SCAN_BATCHES, SCAN_SPANS
 
 # ---- id ranges -----------------------------------------------------------------
@@ -211,7 +213,8 @@ def _range_scan(spark, sf_dir):
     latest = id_bounds(source, "page_id")[1]
     processed = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"))
     existing = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return range_scan(spread(source), existing, latest, LINK_PREFIX, "small", processed=processed)
+    bounds = preset_bounds("small", latest)
+    return range_scan(spread(source), existing, bounds, LINK_PREFIX, processed=processed)
 
 
 @query(
@@ -221,20 +224,49 @@ def _range_scan(spark, sf_dir):
 def _range_scan_maximum(spark, sf_dir):
     source = table(spark, sf_dir, "pages")
     latest = id_bounds(source, "page_id")[1]
-    return range_scan(pages(spark, sf_dir), None, latest, LINK_PREFIX, "maximum")
+    return range_scan(pages(spark, sf_dir), None, preset_bounds("maximum", latest), LINK_PREFIX)
 
 
-@query(
-    "page_scan_progress",
-    f"""WITH {PAGE_ARTICLES_SQL}, bounds AS (SELECT min(page_id) AS lo, max(page_id) AS hi FROM pages),
-        plan AS (SELECT scan_no // {SCAN_BATCHES['test']} AS batch_no, hi - scan_no AS id
-                 FROM (SELECT unnest(range(hi - lo + 1)) AS scan_no, hi FROM bounds)),
+def _page_progress_sql(batch: int, reverse: bool) -> str:
+    article_id = "hi - scan_no" if reverse else "lo + scan_no"
+    return f"""{PAGE_ARTICLES_SQL}, bounds AS (SELECT 1 AS lo, max(page_id) AS hi FROM pages),
+        plan AS (SELECT scan_no // {batch} AS batch_no, {article_id} AS id
+                 FROM (SELECT unnest(range(hi - lo + 1)) AS scan_no, lo, hi FROM bounds)),
         per_batch AS (SELECT batch_no, count(*) AS ids, count(a.id) AS found
-                      FROM plan LEFT JOIN page_articles a USING (id) GROUP BY batch_no)
-        SELECT batch_no, ids, found, CAST(sum(found) OVER (ORDER BY batch_no) AS BIGINT) AS found_so_far
-        FROM per_batch""",
-)
+                      FROM plan LEFT JOIN page_articles a USING (id) GROUP BY batch_no),
+        progress AS (
+          SELECT batch_no, ids, found, CAST(sum(found) OVER (ORDER BY batch_no) AS BIGINT) AS found_so_far
+          FROM per_batch)"""
+
+
+def _page_scan(spark, sf_dir, preset, direction, save_choice):
+    latest = id_bounds(table(spark, sf_dir, "pages"), "page_id")[1]
+    return scan_report(
+        extract_articles(pages(spark, sf_dir), LINK_PREFIX),
+        preset_bounds(preset, latest),
+        SCAN_BATCHES[preset],
+        newest_first(direction),
+        save_frequency(save_choice),
+    )
+
+
+@query("page_scan_progress", f"WITH {_page_progress_sql(500, True)} SELECT * FROM progress")
 def _page_scan_progress(spark, sf_dir):
-    lo, hi = id_bounds(table(spark, sf_dir, "pages"), "page_id")
-    plan = batch_plan(spark, lo, hi, SCAN_BATCHES["test"])
-    return batch_progress(scan_outcome(plan, extract_articles(pages(spark, sf_dir), LINK_PREFIX)))
+    return _page_scan(spark, sf_dir, "maximum", "A", "3").progress
+
+
+@query(
+    "page_scan_saves",
+    f"""WITH RECURSIVE {_page_progress_sql(500, False)},
+        fold AS (
+          SELECT CAST(-1 AS BIGINT) AS batch_no, CAST(0 AS BIGINT) AS backlog, CAST(0 AS BIGINT) AS found_so_far, false AS save
+          UNION ALL
+          SELECT p.batch_no, CASE WHEN f.backlog + p.found >= 200 THEN 0 ELSE f.backlog + p.found END,
+                 p.found_so_far, f.backlog + p.found >= 200
+          FROM fold f JOIN progress p ON p.batch_no = f.batch_no + 1)
+        SELECT batch_no, found_so_far AS saved_total, false AS final FROM fold WHERE save
+        UNION ALL
+        SELECT max(batch_no), max(found_so_far), true FROM progress HAVING max(found_so_far) > 0""",
+)
+def _page_scan_saves(spark, sf_dir):
+    return _page_scan(spark, sf_dir, "maximum", " b ", "4").saves

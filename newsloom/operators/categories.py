@@ -108,9 +108,9 @@ def filter_categories(
     """Articles in one of the selected categories; all of them if none is.
 
     A selection of checked size becomes an ``IN`` list, which reaches the scan
-    and prunes partitions. A longer one is joined on (category, salt): each
-    name is repeated per salt, so that a category with most of the articles
-    spreads over many tasks.
+    and prunes partitions. A longer one is joined on (category, salt of the
+    id): each name is repeated per salt, so that a category with most of the
+    articles spreads over many tasks.
     """
     if selection is None:
         return articles
@@ -125,7 +125,7 @@ def filter_categories(
                 F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
             )
             salted = articles.withColumn("__category", category).withColumn(
-                "__salt", F.pmod(F.hash(*articles.columns), F.lit(salts))
+                "__salt", F.pmod(F.hash("id"), F.lit(salts))
             )
             joined = salted.join(wanted, ["__category", "__salt"], "left_semi")
             return joined.select(*articles.columns)

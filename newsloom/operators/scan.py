@@ -13,9 +13,13 @@ from newsloom.schema import (
     FALLBACK_EARLIEST_ID,
     FALLBACK_LATEST_ID,
     SAVE_EVERY,
+    SAVE_FREQUENCIES,
 )
 from newsloom.session import stored
 
+# Planned ids that one task generates, at most, before more tasks are used.
+PLAN_IDS_PER_TASK = 10_000_000
+
 
 def feed_ids(items: DataFrame, host: str) -> DataFrame:
     """Article id of each feed item that links to an article of ``host``."""
@@ -59,6 +63,16 @@ def newest_n(df: DataFrame, latest: int, span: int | None, id_column: str = "id"
     return id_range(df, *newest_span(latest, span), id_column)
 
 
+def newest_first(direction: str) -> bool:
+    """Direction of a scan by its letter: B is oldest first, all else newest."""
+    return direction.strip().upper() != "B"
+
+
+def save_frequency(choice: str) -> int:
+    """Articles between saves by number of the choice; unknown ones mean the default."""
+    return SAVE_FREQUENCIES.get(choice.strip(), DEFAULT_SAVE_FREQUENCY)
+
+
 def batch_plan(
     spark: SparkSession, min_id: int, max_id: int, batch_size: int, step: int = 1, reverse: bool = True
 ) -> DataFrame:
@@ -66,9 +80,10 @@ def batch_plan(
 
     ``scan_no`` is the offset in the span. Stepping restarts at each batch.
     """
-    offset = F.col("scan_no")
+    offset, span = F.col("scan_no"), max(0, max_id - min_id + 1)
+    partitions = max(spark.sparkContext.defaultParallelism, span // PLAN_IDS_PER_TASK)
     return (
-        spark.range(max(0, max_id - min_id + 1))
+        spark.range(0, span, 1, partitions)
         .withColumnRenamed("id", "scan_no")
         .filter((offset % batch_size) % step == 0)
         .select(
@@ -126,6 +141,8 @@ def save_points(
     each for every possible backlog, then the runs are chained, and with its
     backlog known each run yields its saves. No array outgrows one such run.
     """
+    if frequency < 1:
+        raise ValueError("a save needs at least one article")
     if batches is None:
         batches = (progress.agg(F.max("batch_no")).first()[0] or 0) + 1
     run_length = max(64, math.isqrt(batches))

@@ -16,32 +16,49 @@ from newsloom.operators.categories import (
 )
 from newsloom.operators.dedup import first_per_id, has_id, new_rows, skip_processed
 from newsloom.operators.extraction import extract_articles
-from newsloom.operators.scan import newest_n
-from newsloom.schema import ANALYSIS_SPAN, MIN_CLEAN_CHARS, SAMPLE_SPAN, SCAN_SPANS
+from newsloom.operators.scan import (
+    batch_plan,
+    batch_progress,
+    id_range,
+    newest_n,
+    newest_span,
+    save_points,
+    scan_outcome,
+)
+from newsloom.schema import (
+    ANALYSIS_SPAN,
+    DEFAULT_SAVE_FREQUENCY,
+    MIN_CLEAN_CHARS,
+    SAMPLE_SPAN,
+    SCAN_SPANS,
+)
 from newsloom.session import stored
 from newsloom.sources.writers import exported_articles
 
 
+def preset_bounds(preset: str, latest: int) -> tuple[int, int]:
+    """First and last id of a preset's scan."""
+    return newest_span(latest, None if preset == "maximum" else SCAN_SPANS[preset])
+
+
 def range_scan(
     pages: DataFrame,
     existing: DataFrame | None,
-    latest: int,
+    bounds: tuple[int, int],
     link_prefix: str,
-    preset: str = "test",
     selection: DataFrame | Sequence[str] | None = None,
     processed: DataFrame | None = None,
     min_title_chars: int = MIN_CLEAN_CHARS,
     min_content_chars: int = MIN_CLEAN_CHARS,
     order: str = "page_id",
 ) -> DataFrame:
-    """Articles that a preset's scan adds to a corpus.
+    """Articles that a scan of an id range adds to a corpus.
 
-    The id range reaches the parquet scan and the join with ``processed``
+    The range reaches the parquet scan and the join with ``processed``
     (page_id) runs before any page is parsed. ``order`` is the page column that
     tells which of several pages with one id comes first.
     """
-    span = None if preset == "maximum" else SCAN_SPANS[preset]
-    wanted = newest_n(pages, latest, span, "page_id")
+    wanted = id_range(pages, *bounds, "page_id")
     if processed is not None:
         wanted = skip_processed(wanted, processed, "page_id")
     wanted = wanted.withColumn("__order", F.col(order))
@@ -52,6 +69,33 @@ def range_scan(
     return new_rows(existing, chosen, "__order").drop("__order")
 
 
+@dataclass
+class ScanReport:
+    """What became of each id, the progress by batch, and the save points."""
+
+    outcome: DataFrame
+    progress: DataFrame
+    saves: DataFrame
+
+
+def scan_report(
+    articles: DataFrame,
+    bounds: tuple[int, int],
+    batch_size: int,
+    reverse: bool = True,
+    frequency: int = DEFAULT_SAVE_FREQUENCY,
+    step: int = 1,
+    selection: Sequence[str] | None = None,
+    seen: DataFrame | None = None,
+) -> ScanReport:
+    """Report on a batched scan that can find ``articles``, one row per id."""
+    plan = batch_plan(articles.sparkSession, *bounds, batch_size, step, reverse)
+    outcome = scan_outcome(plan, articles, selection, seen)
+    progress = batch_progress(outcome)
+    batches = max(0, bounds[1] - bounds[0]) // batch_size + 1
+    return ScanReport(outcome, progress, save_points(progress, frequency, batches))
+
+
 def sample_categories(articles: DataFrame, latest: int, order: str, span: int = SAMPLE_SPAN) -> DataFrame:
     """Category listing of the newest few articles."""
     counts = category_counts(newest_n(articles, latest, span), order)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # AQE sizes shuffles, turns joins into broadcasts once the small side has been
 # measured, and splits skewed partitions. Web pages are wide rows, so Arrow
 # batches are bounded by bytes and scan splits are smaller than the default:
-# parsing is CPU-bound and pages expand roughly ten-fold from parquet.
+# parsing is CPU-bound and pages expand roughly ten-fold from parquet. Streaming
+# state goes to disk, since the ids seen so far may outgrow the memory.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +19,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.files.maxPartitionBytes": str(32 << 20),
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }

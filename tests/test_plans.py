@@ -10,7 +10,7 @@ from newsloom.catalog.fixtures import LINK_PREFIX, articles, turns
 from newsloom.operators.categories import category_counts, filter_categories
 from newsloom.operators.dedup import dedupe_keep_first, merge_metrics, new_rows
 from newsloom.operators.extraction import extract_articles
-from newsloom.plans.analysis import range_scan
+from newsloom.plans.analysis import preset_bounds, range_scan
 from newsloom.sources.readers import read_categories
 from newsloom.sources.writers import write_articles
 
@@ -25,7 +25,7 @@ def plan(df):
 
 def test_id_range_and_columns_reach_the_page_scan(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
-    text = plan(range_scan(pages, None, 40, LINK_PREFIX, "test"))
+    text = plan(range_scan(pages, None, preset_bounds("test", 40), LINK_PREFIX))
     assert "GreaterThanOrEqual(page_id,1)" in text and "LessThanOrEqual(page_id,40)" in text
     assert "ReadSchema: struct<page_id:bigint,html:string>" in text
 

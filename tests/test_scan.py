@@ -11,12 +11,15 @@ from newsloom.operators.scan import (
     collect_scan,
     feed_id_range,
     id_bounds,
+    newest_first,
     newest_span,
+    save_frequency,
     save_every_k,
     save_points,
     scan_outcome,
     with_fallback,
 )
+from newsloom.plans.analysis import preset_bounds
 from pyspark.sql import functions as F
 
 
@@ -42,6 +45,13 @@ def test_newest_span():
     assert newest_span(50, None) == (1, 50)
 
 
+def test_choices():
+    assert [newest_first(c) for c in ("A", "b ", "", "x")] == [True, False, True, True]
+    assert [save_frequency(c) for c in ("1", " 2", "3", "4", "", "9")] == [25, 50, 100, 200, 100, 100]
+    assert preset_bounds("medium", 200_000) == (190_001, 200_000)
+    assert preset_bounds("maximum", 7) == (1, 7)
+
+
 def test_feed_fallback(spark):
     ids = spark.createDataFrame([(4,), (9,), (4,)], "id bigint")
     assert tuple(with_fallback(feed_id_range(ids)).first()) == (9, 4, 3)
