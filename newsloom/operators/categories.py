@@ -108,27 +108,18 @@ def filter_categories(
     """Articles in one of the selected categories; all of them if none is.
 
     A selection of checked size becomes an ``IN`` list, which reaches the scan
-    and prunes partitions. A longer one is joined on (category, salt of the
-    id): each name is repeated per salt, so that a category with most of the
-    articles spreads over many tasks.
+    and prunes partitions. A longer one is joined. A category with most of the
+    articles makes that join skewed on the articles' side, the one that AQE
+    splits in a semi-join.
     """
     if selection is None:
         return articles
     category = category_or_default(F.col("category"))
     if isinstance(selection, DataFrame):
-        distinct = selection.select("category").distinct()
-        names = [row.category for row in distinct.limit(max_literals + 1).collect()]
+        wanted = stored(selection.select(F.col("category").alias("__category")).distinct(), "selection")
+        names = [row[0] for row in wanted.limit(max_literals + 1).collect()]
         if len(names) > max_literals:
-            salts = 64
-            wanted = distinct.select(
-                F.col("category").alias("__category"),
-                F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-            )
-            salted = articles.withColumn("__category", category).withColumn(
-                "__salt", F.pmod(F.hash("id"), F.lit(salts))
-            )
-            joined = salted.join(wanted, ["__category", "__salt"], "left_semi")
-            return joined.select(*articles.columns)
+            return articles.join(wanted, category == F.col("__category"), "left_semi")
     else:
         names = list(selection)
     return articles.filter(category.isin(names)) if names else articles

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsloom.session import stored
+
 
 def has_id(id_column: str = "id") -> Column:
     return F.coalesce(F.col(id_column), F.lit(0)) != 0
@@ -107,6 +109,12 @@ def merge_metrics(existing: DataFrame, batch: DataFrame, id_column: str = "id")
 
 
 def skip_processed(df: DataFrame, processed: DataFrame, id_column: str = "id") -> DataFrame:
-    """Rows whose id has not been handled yet."""
-    done = processed.select(id_column).distinct()
+    """Rows whose id has not been handled yet.
+
+    The distinct ids are stored first. Their size is then known, and if it is
+    small the rows of ``df``, which may be whole pages, are not shuffled. If it
+    is not, AQE can split a hot id of ``df``, which it does only where no
+    aggregation sits between the shuffle and the join.
+    """
+    done = stored(processed.select(id_column).distinct(), "processed")
     return df.join(done, id_column, "left_anti").select(*df.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import QUERIES
 from newsloom.catalog.fixtures import LINK_PREFIX, articles, turns
 from newsloom.operators.categories import category_counts, filter_categories
-from newsloom.operators.dedup import dedupe_keep_first, merge_metrics, new_rows
+from newsloom.operators.dedup import dedupe_keep_first, merge_metrics, new_rows, skip_processed
 from newsloom.operators.extraction import extract_articles
 from newsloom.plans.analysis import preset_bounds, range_scan
 from newsloom.sources.readers import read_categories
@@ -80,6 +80,56 @@ def test_selected_categories_do_not_multiply_rows(spark, max_literals):
     assert chosen.count() == corpus.filter("category in ('en', 'fr')").count()
 
 
+@pytest.fixture
+def small_skew(spark):
+    """Settings under which a few hundred kB count as a skewed partition."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    }
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    yield
+    for key in changed:
+        spark.conf.unset(key)
+
+
+def hot_corpus(spark):
+    """Of 60,000 rows, a third share a category and an id."""
+    hot = F.col("id") % 3 == 0
+    return spark.range(0, 60_000, 1, 8).select(
+        F.when(hot, 7).otherwise(F.col("id")).alias("id"),
+        F.when(hot, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 5000)).alias("category"),
+        F.sha2(F.col("id").cast("string"), 256).alias("content"),
+    )
+
+
+def test_hot_category_is_split(spark, small_skew):
+    names = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("category"))
+    chosen = filter_categories(hot_corpus(spark), names.unionByName(names.limit(1).select(F.lit("hot").alias("category"))), 10)
+    rows = chosen.collect()
+    assert len(rows) == 20_000 + hot_corpus(spark).filter("category <> 'hot' and int(substr(category, 2)) < 4000").count()
+    assert "skew" in plan(chosen)
+
+
+def test_hot_processed_id_is_split(spark, small_skew):
+    done = spark.range(50_000, 60_000).select("id")
+    done = done.unionByName(done)
+    left = skip_processed(hot_corpus(spark), done)
+    assert len(left.collect()) == 60_000 - hot_corpus(spark).filter("id >= 50000").count()
+    assert "skew" in plan(left)
+
+
+def test_pages_stay_in_place_when_few_were_processed(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    done = pages.select("page_id").filter("page_id > 20")
+    text = plan(skip_processed(pages, done, "page_id"))
+    assert "BroadcastHashJoin LeftAnti" in text and "hashpartitioning" not in text
+
+
 BATCH_QUERIES = [n for n in QUERIES if not n.startswith(("stream_", "read_", "write_"))]
 
 
