@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsloom.catalog.registry import table
 from newsloom.operators.extraction import spread
 
-LINK_PREFIX = "https://news.example.com/zprava.php?id="
+LINK_PREFIX = "https://news.example.com/article?id="
 HOST = "news.example.com"
 ANALYSIS_DATE = "2025-10-10T12:00:00"
 

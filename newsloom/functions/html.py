@@ -8,6 +8,7 @@ subtree marks an interval. Cleaning is left to Column expressions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from html import entities, unescape
 from html.parser import HTMLParser
@@ -231,11 +232,13 @@ class Page(HTMLParser):
 
     # -- reading -------------------------------------------------------------
 
-    def select(self, selector) -> list[int]:
-        """Remaining nodes that match, in document order."""
+    def select(self, selector, within: int = 0) -> list[int]:
+        """Remaining nodes below ``within`` that match, in document order."""
         tag, attributes, classes = selector
+        nodes = self.by_tag.get(tag, []) if tag else self.with_attributes
         found = []
-        for node in self.by_tag.get(tag, ()) if tag else self.with_attributes:
+        for i in range(bisect_right(nodes, within), bisect_left(nodes, self.ends[within])):
+            node = nodes[i]
             have = self.data[node]
             if (
                 not self.gone[node]
@@ -255,10 +258,9 @@ class Page(HTMLParser):
 
     def remove(self, options, within: int = 0) -> None:
         for selector in options:
-            for node in self.select(selector):
-                if within < node < self.ends[within]:
-                    size = self.ends[node] - node
-                    self.gone[node : self.ends[node]] = b"\1" * size
+            for node in self.select(selector, within):
+                if not self.gone[node]:
+                    self.gone[node : self.ends[node]] = b"\1" * (self.ends[node] - node)
 
     def strings(self, node: int):
         """Visible strings left below a node."""
@@ -273,8 +275,9 @@ class Page(HTMLParser):
     def spaced_text(self, node: int) -> str:
         return " ".join(filter(None, (text.strip() for text in self.strings(node))))
 
-    def only_string(self, node: int) -> str:
-        """The string of a node that holds nothing but one (nested) string."""
+    def only_string(self, node: int) -> tuple[str, int]:
+        """The string of a node that holds nothing but one (nested) string, and
+        the last node looked at: all nodes down to it share the answer."""
         while not self.tags[node].startswith("#"):
             child, children = node + 1, []
             while child < self.ends[node] and len(children) < 2:
@@ -282,9 +285,9 @@ class Page(HTMLParser):
                     children.append(child)
                 child = self.ends[child]
             if len(children) != 1:
-                return ""
+                return "", node
             node = children[0]
-        return self.data[node] if self.tags[node] == TEXT else ""
+        return (self.data[node] if self.tags[node] == TEXT else ""), node
 
 
 _TITLE, _DATE, _CATEGORY = map(selectors, (TITLE_SELECTORS, DATE_SELECTORS, CATEGORY_SELECTORS))
@@ -296,10 +299,12 @@ _META, _PARAGRAPH = selectors(KEYWORDS_META), _selector("p")
 def _longest(page: Page, options, noise) -> str:
     """Longest text among the matches of the first selector that has any."""
     matches = next(filter(None, map(page.select, options)), [])
-    best = ""
+    best, reach = "", 0
     for node in matches:
-        page.remove(noise, within=node)
-        best = max(best, page.spaced_text(node), key=len)
+        if node >= reach:  # a match inside an earlier one has no longer text
+            reach = page.ends[node]
+            page.remove(noise, within=node)
+            best = max(best, page.spaced_text(node), key=len)
     return best
 
 
@@ -313,8 +318,9 @@ def _labelled(page: Page, label: str) -> str | None:
 
 def keywords(page: Page) -> str:
     """Keywords by the first method with a non-empty result."""
+    last = 0
     for node in page.select(_PARAGRAPH):
-        text = page.only_string(node)
+        text, last = page.only_string(node) if node > last else ("", last)
         if KEYWORDS_LABEL in text:
             found = text.replace(KEYWORDS_LABEL, "").strip()
             if found:

@@ -105,6 +105,16 @@ def test_removed_script_leaves_a_single_string():
     assert fields(f"<article><p><script>x</script>{LABEL} a</p></article>")["keywords"] == "a"
 
 
+def test_nested_markup_takes_linear_time():
+    deep = 40_000
+    nested = '<div class="content">x' * deep
+    assert len(fields(nested)["content"]) == 2 * deep - 1
+    assert keywords(Page("<p>" * deep + f"{LABEL} a")) == "a"
+    assert keywords(Page("<p>" * deep + "<b>x</b>y" + f"<p>{LABEL} a</p>")) == "a"
+    many = '<div class="content"><script>s</script><i class="note">n</i>y</div>' * deep
+    assert fields(many)["content"] == "y"
+
+
 def test_category_is_the_first_marked_span():
     markup = '<article>a</article><div itemprop="about">x</div><span itemprop="about"> c<b>d</b></span>'
     assert fields(markup)["category"] == " cd"
