@@ -5,15 +5,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newsloom.functions.decode import decode_body
 from newsloom.schema import ARTICLE, CATEGORY_KEY, CATEGORY_VOCABULARY, PAGE
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded pages (page_id, url, html) from parquet."""
-    return spark.read.schema(PAGE).parquet(path)
+def landing_order() -> Column:
+    """Where a row of a file source was landed: file time, file, row. It orders
+    pages with the same id, whatever order tasks read them in."""
+    meta = F.col("_metadata")
+    return F.struct(
+        F.unix_micros(meta["file_modification_time"]).alias("landed"),
+        meta["file_path"].alias("file"),
+        meta["row_index"].alias("row"),
+    )
+
+
+def read_pages(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
+    """Decoded pages (page_id, url, html) from parquet; ``position`` adds a
+    column with their landing order."""
+    pages = spark.read.schema(PAGE).parquet(path)
+    return pages.withColumn(position, landing_order()) if position else pages
 
 
 def read_raw_pages(

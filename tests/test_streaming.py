@@ -1,9 +1,13 @@
 """Streams give what the batch operators give, and restarts add nothing."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from newsloom.catalog.incremental import page_to_article
 from newsloom.operators.dedup import first_per_id
+from newsloom.plans.analysis import range_scan
+from newsloom.sources.readers import read_pages
 from newsloom.streaming.ingest import (
     append_stream,
     latest_category_counts,
@@ -26,9 +30,9 @@ def land(spark, path, *pages):
     spark.createDataFrame(list(pages), PAGE).coalesce(1).write.mode("append").parquet(path)
 
 
-def ingest(spark, root):
+def ingest(spark, root, files_per_batch=1):
     query = stream_ingest(
-        stream_pages(spark, f"{root}/landed", 1), page_to_article, f"{root}/corpus", f"{root}/checkpoint"
+        stream_pages(spark, f"{root}/landed", files_per_batch), page_to_article, f"{root}/corpus", f"{root}/checkpoint"
     )
     query.awaitTermination()
     rows = read_corpus(spark, f"{root}/corpus").collect()
@@ -45,6 +49,19 @@ def test_ingest_keeps_the_first_and_resumes(spark, tmp_path):
     assert ingest(spark, root) == [(1, "beta"), (2, "alpha"), (3, "alpha"), (9, "gamma")]
 
 
+def test_earliest_landed_page_wins_within_a_batch(spark, tmp_path):
+    root = str(tmp_path)
+    for n, word in enumerate(["alpha", "beta", "gamma"]):
+        land(spark, f"{root}/landed", page(7, word), page(7, f"{word}-again"), page(8 + n, word))
+        time.sleep(0.05)
+    assert ingest(spark, root, 10) == [(7, "alpha"), (8, "alpha"), (9, "beta"), (10, "gamma")]
+    pages = read_pages(spark, f"{root}/landed", "position")
+    found = range_scan(pages, None, (1, 10), "https://h.cz/?id=", order="position").collect()
+    assert sorted((r.id, r.title.split()[0]) for r in found) == [
+        (7, "alpha"), (8, "alpha"), (9, "beta"), (10, "gamma"),
+    ]
+
+
 def test_a_repeated_epoch_replaces_its_own_output(spark, tmp_path):
     root = str(tmp_path)
     land(spark, f"{root}/landed", page(1, "alpha"))
@@ -61,7 +78,8 @@ def test_ingest_equals_batch(spark, tmp_path):
     root = str(tmp_path)
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages.repartition(5).write.parquet(f"{root}/landed")
-    expected = first_per_id(page_to_article(pages).filter("id <> 0"), "position").select("id").collect()
+    positioned = pages.withColumn("position", F.col("page_id"))
+    expected = first_per_id(page_to_article(positioned).filter("id <> 0"), "position").select("id").collect()
     assert [i for i, _ in ingest(spark, root)] == sorted(r.id for r in expected)
 
 
