@@ -31,9 +31,10 @@ def _markup_stage(
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(start, _SLICE_ROWS)
-                rows = [parse(markup) for markup in part.column("html").to_pylist()]
+                markup = part.column("html")
+                rows = [parse(text) for text in markup.to_pylist()]
                 columns = [part.column(name) for name in keep]
-                columns += [pa.array(values, pa.string()) for values in zip(*rows)]
+                columns += [pa.array(values, markup.type) for values in zip(*rows)]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *fields])
 
     return source.mapInArrow(run, schema)

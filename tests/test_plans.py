@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import QUERIES
 from newsloom.catalog.fixtures import LINK_PREFIX, articles, turns
-from newsloom.operators.categories import category_counts, filter_categories
+from newsloom.operators.categories import category_counts, category_ranking, filter_categories
 from newsloom.operators.dedup import dedupe_keep_first, merge_metrics, new_rows, skip_processed
 from newsloom.operators.extraction import extract_articles
 from newsloom.plans.analysis import preset_bounds, range_scan
@@ -47,6 +47,16 @@ def test_cleaning_is_not_repeated_by_the_acceptance(spark):
     assert "Condition" not in text and text.count("MapInArrow") == 2  # tree and details
 
 
+def test_extraction_with_large_arrow_strings(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    usual = extract_articles(pages, LINK_PREFIX).count()
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert extract_articles(pages, LINK_PREFIX).count() == usual
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
 def test_keep_first_aggregates_before_its_only_shuffle(spark):
     text = plan(dedupe_keep_first(turns(spark, SF_DIR), "position"))
     assert "partial_min_by" in text
@@ -137,3 +147,14 @@ BATCH_QUERIES = [n for n in QUERIES if not n.startswith(("stream_", "read_", "wr
 def test_no_cross_joins(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_results_do_not_depend_on_partitioning(spark, partitions):
+    rows = turns(spark, SF_DIR)
+    first = {tuple(r) for r in dedupe_keep_first(rows, "position").collect()}
+    assert {tuple(r) for r in dedupe_keep_first(rows.repartition(partitions), "position").collect()} == first
+    corpus = articles(spark, SF_DIR)
+    ranking = category_ranking(category_counts(corpus, "position")).orderBy("rank").collect()
+    moved = category_counts(corpus.repartition(partitions), "position")
+    assert category_ranking(moved).orderBy("rank").collect() == ranking
