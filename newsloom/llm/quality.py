@@ -15,6 +15,7 @@ table gives no rows. Rows are judged one by one, repeated ones alike. Columns na
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,14 @@ from newsloom.llm.common import text_or_empty, with_columns, without
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
+BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_stutters bigint"
 
 # Per signal: what is counted, per a thousand of what, and the slack of its fence.
 SIGNALS = {
     "symbols": ("n_symbols", "n_words", 100),
-    "dup_lines": ("n_dup_lines", "n_lines", 150),
-    "repeats": ("n_repeat_words", "n_words", 50),
+    "dup_lines": ("n_dup_lines", "n_lines", 400),
+    "repeats": ("n_repeat_words", "n_words", 190),
+    "stutters": ("n_stutters", "n_words", 100),
     "word_length": ("word_chars", "n_words", 4000),
 }
 SPREAD = 6
@@ -65,7 +67,8 @@ def measure(text: str) -> tuple[int, ...]:
     lines = [line for line in raw.split(b"\n") if line.strip()]
     white = sum(text.count(c) for c in " \t\n\v\f\r")
     symbols = sum(text.count(c) for c in SYMBOLS)
-    return len(words), len(text) - white, symbols, len(lines) - len({*lines}), repeated_words(words), len(lines)
+    stutters = sum(map(eq, words, words[1:]))  # words equal to the one before
+    return len(words), len(text) - white, symbols, len(lines) - len({*lines}), repeated_words(words), len(lines), stutters
 
 
 def measured(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -108,7 +108,8 @@ def _quality_rules() -> str:
     ), base AS (
       SELECT n, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(lines - kinds, 0) AS n_dup_lines,
-        coalesce(c, 0) AS n_repeat_words, coalesce(lines, 0) AS n_lines
+        coalesce(c, 0) AS n_repeat_words, coalesce(lines, 0) AS n_lines,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
       FROM cut LEFT JOIN lines USING (n) LEFT JOIN covered USING (n)
     ), signals AS (
       SELECT n, lang, source, signal, v, (v >> {drop}) << {drop} AS edge
