@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chunk_fingerprints, licenses, mixing, quality, sharding, sql, url_filters
+from newsloom.llm import bpe, chunk_fingerprints, licenses, mixing, quality, sharding, simhash, sql, url_filters
 from newsloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.page_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked_documents(documents(spark, sf_dir))
+
+
 @query("op7_quality_rules", sql.QUALITY_RULES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stored(quality.measured(quality.texts_of(documents(spark, sf_dir))).drop("text"), "quality")
