@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chunk_fingerprints, licenses, mixing, quality, sharding, simhash, sql, url_filters
+from newsloom.llm import bpe, chunk_fingerprints, licenses, mixing, quality, sharding, simhash, sql, suffix_dedup, url_filters
 from newsloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_tokens(documents(spark, sf_dir), *vocabulary())
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.document_repeats(documents(spark, sf_dir))
+
+
 @query("op5_url_filters", sql.URL_FILTERS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.page_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
