@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.llm.common import text_or_empty, with_columns, without
+from newsloom.session import stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -143,5 +144,13 @@ def judge(counts: DataFrame, limits: DataFrame) -> DataFrame:
     return judged.drop("__lang", "__source", *(f"__{s}" for s in SIGNALS))
 
 
+def keep_good(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that pass, unchanged; measured once for the fences and once where they are filtered."""
+    limits = stored(fences(measured(texts_of(documents)).drop("text")), "fences")
+    own = {c: f"__own_{i}" for i, c in enumerate(documents.columns) if c.lower() not in ("text", "lang", "source")}
+    judged = judge(measured(documents.withColumnsRenamed(own)), limits).where("kept")
+    return judged.select(*(F.col(own.get(c, c)).alias(c) for c in documents.columns))
+
+
 def texts_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "lang", "source", text_or_empty().alias("text"))

@@ -365,6 +365,24 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     return joined.select(*source.columns, "__spans").mapInArrow(run, schema)
 
 
+def drop_repeats(documents: DataFrame) -> DataFrame:
+    """``documents`` with what is left of each text; n_chars, if there, is counted anew.
+
+    Characters of which only some bytes are left go as well, as do rows whose text is gone altogether; texts that
+    were empty before stay.
+    """
+    own = {c: f"__own_{i}" for i, c in enumerate(documents.columns) if c.lower() != "text"}
+    found = without_repeats(documents.withColumnsRenamed(own)).where("size(removed) = 0 OR octet_length(kept) > 0")
+    # Broken characters become U+FFFD; those of the text itself were whole, so none is lost with them but by a removal.
+    cleaned = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.size("removed") > 0, cleaned).otherwise(F.col("text"))
+    changed = found.withColumn("text", text).select(*(F.col(own.get(c, c)).alias(c) for c in documents.columns))
+    if "n_chars" in changed.columns:
+        kind = dict(documents.dtypes)["n_chars"]
+        changed = changed.withColumn("n_chars", F.length("text").cast(kind))
+    return changed
+
+
 def _length(run: Column) -> Column:
     return run["end"] - run["start"]
 
