@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chunk_fingerprints, licenses, mixing, quality, sharding, simhash, sql, suffix_dedup, url_filters
+from newsloom.llm import bpe, chunk_fingerprints, licenses, lm_scoring, mixing, quality, sharding, simhash, sql, suffix_dedup, url_filters
 from newsloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(documents(spark, sf_dir), shards=24, seed=42)
