@@ -51,11 +51,15 @@ KEYWORDS_META = ['meta[name="keywords"]']
 # HTML elements without content, attributes that selectors without a tag look
 # at, and elements whose strings are not page text.
 VOID_TAGS = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
-)
+    [
+        "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param",
+        "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
+    ]
+)
 SELECTABLE = frozenset(["id", "class", "itemprop"])
 HIDDEN_TAGS = frozenset(["script", "style", "template", "rt", "rp"])
+# Elements whose content the general parser has to read.
+NEVER_PLAIN = frozenset(["textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"])
 
 TEXT, HIDDEN = "#text", "#hidden"
 
@@ -96,7 +100,10 @@ PLAIN = re.compile(
 ATTRIBUTE = re.compile(r'([a-zA-Z][-a-zA-Z0-9]*)="([^"]*)"').findall
 # What follows these start tags must be plain text up to their own end tag.
 TEXT_ONLY = {"script": re.compile(r"</\s*script", re.I), "style": re.compile(r"</\s*style", re.I), "title": re.compile("<")}
-NEVER_PLAIN = frozenset("textarea iframe noembed noframes noscript xmp plaintext".split())
+
+# Ends of constructs. Where none is left in a page, what opens is text, and that is known without searching.
+TAG_END, COMMENT_END, SECTION_END = re.compile(">"), re.compile(r"--\s*>"), re.compile(r"\]\s*>")
+SECTIONS = frozenset(["temp", "cdata", "ignore", "include", "rcdata", "if", "else", "endif"])
 
 
 class Page(HTMLParser):
@@ -104,6 +111,7 @@ class Page(HTMLParser):
 
     def __init__(self, markup: str):
         super().__init__(convert_charrefs=False)
+        self._ends_of = None
         self._start()
         if not self._read_plain(markup):
             self._start()
@@ -158,6 +166,36 @@ class Page(HTMLParser):
                 self.handle_comment(token[kind])
         return True
 
+    def _endless(self, i: int, end: re.Pattern) -> bool:
+        """Whether no such end comes after ``i``; the last one is looked up once."""
+        if self._ends_of is not self.rawdata:
+            self._ends_of, self._last_ends = self.rawdata, {}
+        if end not in self._last_ends:
+            last = -1
+            for found in end.finditer(self.rawdata):
+                last = found.start()
+            self._last_ends[end] = last
+        return i > self._last_ends[end]
+
+    def parse_starttag(self, i):
+        return -1 if self._endless(i, TAG_END) else super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        return -1 if self._endless(i, TAG_END) else super().parse_endtag(i)
+
+    def parse_pi(self, i):
+        return -1 if self._endless(i, TAG_END) else super().parse_pi(i)
+
+    def parse_comment(self, i, report=1):
+        return -1 if self._endless(i, COMMENT_END) else super().parse_comment(i, report)
+
+    def parse_marked_section(self, i, report=1):
+        if self._endless(i, SECTION_END):
+            name, at = self._scan_name(i + 3, i)
+            if at < 0 or name in SECTIONS:
+                return -1
+        return super().parse_marked_section(i, report)
+
     def updatepos(self, i, j):
         return j  # line numbers are of no use here
 
@@ -337,15 +375,22 @@ def keywords(page: Page) -> str:
     return "" if meta is None else page.data[meta].get("content", "").strip()
 
 
+def _page(markup: str | None) -> Page | None:
+    """The parsed page; None if it cannot be read, whatever the reason: a bad page must not end the job."""
+    try:
+        return Page(markup or "")
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def article_fields(markup: str | None) -> tuple:
     """(title, content, date, keywords, category), raw; None where absent.
 
     Boilerplate is removed for the content before the later fields are read,
     which therefore do not see it.
     """
-    try:
-        page = Page(markup or "")
-    except AssertionError:  # markup the parser rejects
+    page = _page(markup)
+    if page is None:
         return (None,) * 5
 
     def text_of(options):
@@ -362,9 +407,8 @@ def article_fields(markup: str | None) -> tuple:
 
 def main_text(markup: str | None) -> tuple:
     """(body text,) by the site-neutral selectors."""
-    try:
-        page = Page(markup or "")
-    except AssertionError:
+    page = _page(markup)
+    if page is None:
         return (None,)
     page.remove(_PAGE_NOISE)
     return (_longest(page, _MAIN_TEXT, ()) or page.spaced_text(0),)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.schema import (
+    CATEGORY_FOLDERS,
     DEFAULT_CATEGORY,
     MIN_KEYWORDS_CHARS,
     PREVIEW_KEYWORDS_CHARS,
@@ -91,6 +92,11 @@ def article_link(article_id: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), article_id.cast("string"))
 
 
+def category_folder(category: Column) -> Column:
+    """Number of the folder for a category, in a corpus written by category."""
+    return F.pmod(F.xxhash64(category), F.lit(CATEGORY_FOLDERS)).cast("int")
+
+
 def category_or_default(category: Column) -> Column:
     """A missing category is a group of its own; '' stays ''."""
     return F.coalesce(category, F.lit(DEFAULT_CATEGORY))

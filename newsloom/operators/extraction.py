@@ -23,7 +23,8 @@ def _markup_stage(
     Only the named columns enter the stage, since Catalyst cannot prune
     through it; rows keep their partition, nothing is shuffled.
     """
-    source = pages.select(*keep, "html")
+    # Strings may hold any bytes in Spark; Python takes UTF-8 only.
+    source = pages.select(*keep, F.make_valid_utf8("html").alias("html"))
     kept_types = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "html"]
     schema = ", ".join([*kept_types, *(f"{name} string" for name in fields)])
 

@@ -1,10 +1,12 @@
 """The per-page helper on hand-made markup."""
 
 import random
+import time
 
 import pyarrow.parquet as pq
 import pytest
 
+from newsloom.functions import html
 from newsloom.functions.html import Page, article_fields, keywords, main_text, selectors
 
 LABEL = "Klíčová slova"
@@ -174,3 +176,22 @@ def test_plain_reading_covers_the_given_pages():
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
     assert all(tree(Page, markup) == tree(General, markup) for markup in pages)
     assert sum(Page("")._read_plain(markup) for markup in pages) > 0.9 * len(pages)
+
+
+OPENINGS = ["<a ", '<a b="', "<a b='x' c", "<a =", "<!--", "<!", "<?", "</", "</p ", "<![CDATA[", "<![if ", "&", "&#", "<script>", "<p>"]
+
+
+@pytest.mark.parametrize("opening", OPENINGS)
+def test_unterminated_constructs_take_linear_time(opening):
+    def seconds(size):
+        start = time.perf_counter()
+        html.article_fields("<h1>t</h1>" + opening * (size // len(opening)))
+        return time.perf_counter() - start
+
+    # Eight times the page in far less than 64 times the time; and not slow at all.
+    assert min(seconds(200_000) for _ in range(2)) < max(1.5, 24 * min(seconds(25_000) for _ in range(3)))
+
+
+def test_a_page_that_cannot_be_read_has_no_fields():
+    assert html.article_fields('<h1>x</h1><a href="&#' + "9" * 5000 + ';">') == (None,) * 5
+    assert html.main_text('<a href="&#' + "9" * 5000 + ';">') == (None,)
