@@ -42,6 +42,12 @@ REPORT = T.StructType(
 
 # Folder column of a corpus written by category.
 CATEGORY_KEY = "category_key"
+# Folders of such a corpus: a category's name may be longer than a file name, so folders are numbered by its hash.
+CATEGORY_FOLDERS = 4096
+
+# One name per corpus format, for reading and writing: a record a line, an array a file, parquet.
+CORPUS_FORMATS = ["jsonl", "json", "parquet"]
+DEFAULT_CORPUS_FORMAT = "jsonl"
 
 # ---------------------------------------------------------------------------
 # The results depend on these exact names, numbers and formats.
@@ -86,11 +92,6 @@ SCAN_BATCHES = {
 ANALYSIS_BATCH = 50
 SAMPLE_BATCH = 25
 
-# Articles between two progressive saves, by menu choice.
-SAVE_FREQUENCIES = {"1": 25, "2": 50, "3": 100, "4": 200}
-DEFAULT_SAVE_FREQUENCY = 100
-SAVE_EVERY = 5
-
 # Preview lengths.
 PREVIEW_TITLE_CHARS = 50
 PREVIEW_KEYWORDS_CHARS = 30

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffles, turns joins into broadcasts once the small side has been
@@ -55,13 +59,47 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+# Folders of stored results by owner: the process, or the innermost ``scratch``.
+_OWNED: list[list[str]] = [[]]
+
+
+def _remove(paths: list[str]) -> None:
+    """Delete folders by Spark's own file systems; those that cannot be reached any more stay."""
+    context = SparkContext._active_spark_context
+    while paths and context is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Results stored inside belong to this block and are removed at its end.
+
+    So what is computed from them has to be written or collected inside as well.
+    """
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        _remove(_OWNED.pop())
+
+
+@atexit.register
+def _remove_all() -> None:
+    with suppress(Exception):  # the JVM may be gone
+        for paths in _OWNED:
+            _remove(paths)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` computed once and read back from the shared folder.
 
     For small results that several branches of a plan read. Column pruning
     would make their computations differ, and Spark shares equal ones only;
-    the table survives lost executors and brings its size along.
+    the table survives lost executors and brings its size along. It is removed at the end of the
+    enclosing ``scratch`` block, or of the process.
     """
     path = shared_folder(df.sparkSession, purpose)
+    _OWNED[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newsloom.functions.decode import decode_body
-from newsloom.schema import ARTICLE, CATEGORY_KEY, CATEGORY_VOCABULARY, PAGE
+from newsloom.functions.text import category_folder, category_or_default
+from newsloom.schema import (
+    ARTICLE,
+    CATEGORY_KEY,
+    CATEGORY_VOCABULARY,
+    CORPUS_FORMATS,
+    DEFAULT_CORPUS_FORMAT,
+    PAGE,
+)
 
 
 def landing_order() -> Column:
@@ -72,52 +80,87 @@ def _with_link(items: DataFrame) -> DataFrame:
     return items.filter(F.length("link") > 0)
 
 
+def file_order() -> Column:
+    """Where a row of a file source stands: file, split, row. It follows neither the
+    sizes of files nor the order in which tasks read them."""
+    meta = F.col("_metadata")
+    return F.struct(
+        meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def read_articles(
-    spark: SparkSession, path: str, fmt: str = "json", position: str | None = None
+    spark: SparkSession, path: str, fmt: str = DEFAULT_CORPUS_FORMAT, position: str | None = None
 ) -> DataFrame:
-    """An article corpus: ``json`` files with one array each, ``jsonl`` or ``parquet``.
+    """An article corpus: ``jsonl`` (a record a line), ``json`` (an array a file) or ``parquet``.
 
-    A file holding one array cannot be split, so large corpora belong in one of
-    the other formats. ``position`` adds a whole-number column in file order.
+    Records that cannot be read, of JSON cut short for instance, end the job; see
+    ``read_articles_or_empty`` for a corpus that may be damaged. A file holding one array
+    cannot be split, so large corpora belong in one of the other formats.
+    ``position`` adds a column in the order of file name and row.
     """
+    _check_format(fmt)
     reader = spark.read.schema(ARTICLE)
-    if fmt == "json":
-        articles = reader.json(path, multiLine=True)
-    elif fmt == "jsonl":
-        articles = reader.json(path)
-    elif fmt == "parquet":
+    if fmt == "parquet":
         articles = reader.parquet(path)
     else:
+        articles = reader.json(path, multiLine=fmt == "json", mode="FAILFAST")
+    ordered = articles.withColumn(position, file_order()) if position else articles
+    return ordered.select(*ARTICLE.names, *([position] if position else []))  # without columns found in folder names
+
+
+def _check_format(fmt: str) -> None:
+    if fmt not in CORPUS_FORMATS:
         raise ValueError(f"unknown corpus format: {fmt}")
-    return _positioned(articles, position)
 
 
 def read_categories(spark: SparkSession, path: str, names: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Articles of the named categories from a corpus written by category.
 
-    Only the folders of those categories are read.
+    Only the folders that may hold those categories are read.
     """
-    schema = T.StructType([*ARTICLE.fields, T.StructField(CATEGORY_KEY, T.StringType())])
-    articles = spark.read.schema(schema).format(fmt).load(path)
-    # The folder of the empty name reads as NULL.
-    key = F.coalesce(F.col(CATEGORY_KEY), F.lit(""))
-    return articles.filter(key.isin(list(names))).select(*ARTICLE.names)
+    _check_format(fmt)
+    schema = T.StructType([*ARTICLE.fields, T.StructField(CATEGORY_KEY, T.IntegerType())])
+    if fmt == "parquet":
+        articles = spark.read.schema(schema).parquet(path)
+    else:
+        articles = spark.read.schema(schema).json(path, multiLine=fmt == "json")
+    folders = F.array(*(category_folder(F.lit(name)) for name in names)) if names else F.array().cast("array<int>")
+    exact = category_or_default(F.col("category")).isin(list(names))
+    return articles.filter(F.array_contains(folders, F.col(CATEGORY_KEY)) & exact).select(*ARTICLE.names)
+
 
+def read_articles_or_empty(
+    spark: SparkSession, path: str, fmt: str = DEFAULT_CORPUS_FORMAT, position: str | None = None
+) -> DataFrame:
+    """A corpus to append to, as far as it can be read; a missing one is empty.
 
-def read_articles_or_empty(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
-    """A JSON-array corpus to append to: missing, empty or broken files are empty."""
+    What is not JSON counts as empty: a file of ``json``, a line of ``jsonl``. Of each record a field
+    of the wrong type is NULL; the record stays.
+    """
+    _check_format(fmt)
     try:
-        articles = spark.read.schema(ARTICLE).json(path, multiLine=True, mode="DROPMALFORMED")
+        if fmt == "parquet":
+            return read_articles(spark, path, fmt, position)
+        files = spark.read.text(path, wholetext=fmt == "json").withColumn("__at", file_order())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        articles = spark.createDataFrame([], ARTICLE)
-    return _positioned(articles, position)
-
-
-def _positioned(articles: DataFrame, position: str | None) -> DataFrame:
-    rows = articles.select(*ARTICLE.names)  # without columns found in folder names
-    return rows.withColumn(position, F.monotonically_increasing_id()) if position else rows
+        order = "struct<file: string, block: bigint, row: bigint>"
+        schema = T.StructType([*ARTICLE.fields, *([T.StructField(position, T._parse_datatype_string(order))] if position else [])])
+        return spark.createDataFrame([], schema)
+    if fmt == "json":
+        # An array of strings takes each record as it is written.
+        records = files.select("__at", F.posexplode(F.from_json("value", "array<string>")).alias("row", "record"))
+        at = F.struct("__at.file", "__at.block", F.col("row").cast("bigint").alias("row"))
+    else:
+        records, at = files.select("__at", F.col("value").alias("record")), F.col("__at")
+    readable = records.filter(F.try_parse_json("record").isNotNull())
+    parsed = readable.select(F.from_json("record", ARTICLE).alias("a"), at.alias("__order"))
+    columns = [F.col("a")[name].alias(name) for name in ARTICLE.names]
+    return parsed.select(*columns, *([F.col("__order").alias(position)] if position else []))
 
 
 def read_category_list(spark: SparkSession, path: str) -> DataFrame:

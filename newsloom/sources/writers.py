@@ -2,44 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.functions.text import category_or_default
+from newsloom.functions.text import category_folder, category_or_default
 from newsloom.operators.categories import category_report, filter_categories
 from newsloom.operators.dedup import first_per_id, has_id
-from newsloom.schema import ARTICLE, CATEGORY_KEY, FILE_TIMESTAMP_FORMAT
+from newsloom.schema import ARTICLE, CATEGORY_KEY, CORPUS_FORMATS, DEFAULT_CORPUS_FORMAT, FILE_TIMESTAMP_FORMAT
 
 
 def write_articles(
     articles: DataFrame,
     path: str,
-    fmt: str = "json",
+    fmt: str = DEFAULT_CORPUS_FORMAT,
     mode: str = "errorifexists",
     by_category: bool = False,
     max_records_per_file: int = 0,
 ) -> None:
-    """Write all article fields as JSON lines or parquet, in UTF-8.
+    """Write all article fields in UTF-8, in a format that ``read_articles`` takes by the same name.
 
-    ``by_category`` lays the output out for category pruning. The rebalance
-    hint lets AQE split the partition of a category that holds most articles
-    and merge those of rare ones, so that neither one huge nor many tiny files
-    come out.
+    ``by_category`` lays the output out for category pruning, in folders by hash of the
+    category. The rebalance hint lets AQE split the partition of a category that holds most
+    articles and merge those of rare ones, so that neither one huge nor many tiny files
+    come out. Arrays (``json``) are written one a partition, row by row, and only as plain files.
     """
-    if fmt not in ("json", "parquet"):
+    if fmt not in CORPUS_FORMATS:
         raise ValueError(f"unknown corpus format: {fmt}")
     rows = articles.select(*ARTICLE.names)
+    if fmt == "json":
+        if by_category or max_records_per_file:
+            raise ValueError("arrays are written neither by category nor by number of records")
+        records = rows.select(F.to_json(F.struct(*ARTICLE.names)).alias("value"))
+        enclosed(records, "[", ",", "]").write.mode(mode).text(path)
+        return
     if by_category:
-        rows = rows.withColumn(CATEGORY_KEY, category_or_default(F.col("category")))
+        rows = rows.withColumn(CATEGORY_KEY, category_folder(category_or_default(F.col("category"))))
         rows = rows.hint("rebalance", CATEGORY_KEY)
-    writer = rows.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file)
+    writer = rows.write.mode(mode).format("json" if fmt == "jsonl" else fmt)
+    writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if by_category:
         writer = writer.partitionBy(CATEGORY_KEY)
     writer.save(path)
 
 
+def enclosed(rows: DataFrame, head: str, between: str, tail: str) -> DataFrame:
+    """Lines that make one document of each partition of ``rows`` (value); an empty one has no lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind = None, None
+        for batch in batches:
+            kind = batch.column(0).type
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append(head if held is None else held + between)
+                held = value
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, kind)], ["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + tail], kind)], ["value"])
+
+    return rows.mapInArrow(run, "value string")
+
+
 def write_category_report(counts: DataFrame, analysis_date: str, path: str) -> None:
     """Write the report document as one JSON object."""
     category_report(counts, analysis_date).coalesce(1).write.json(path)
@@ -63,7 +90,7 @@ def exported_articles(articles: DataFrame, selection: DataFrame | Sequence[str]
 
 
 def export_filtered(
-    articles: DataFrame, selection: DataFrame | Sequence[str] | None, order: str, path: str, fmt: str = "json"
+    articles: DataFrame, selection: DataFrame | Sequence[str] | None, order: str, path: str, fmt: str = DEFAULT_CORPUS_FORMAT
 ) -> None:
     """Write the selected articles to a new output."""
     write_articles(exported_articles(articles, selection, order), path, fmt)

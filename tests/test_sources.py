@@ -1,6 +1,7 @@
 """Readers and writers on files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,13 +13,16 @@ from newsloom.sources.readers import (
     default_category_list,
     read_articles,
     read_articles_or_empty,
+    read_categories,
     read_category_list,
     read_feed_items,
     read_raw_pages,
     vocabulary_ranking,
 )
 from newsloom.sources.writers import output_name_column, output_summary, write_articles
-from newsloom.operators.categories import resolve_picks
+from newsloom.operators.categories import category_counts, category_ranking, resolve_picks
+from newsloom.schema import ARTICLE
+from newsloom.session import scratch, stored
 
 RECORD = {
     "title": "Titulek", "content": "Obsah č", "link": "https://h.cz/z?id=1", "id": 1,
@@ -29,7 +33,7 @@ RECORD = {
 def test_json_array_round_trip(spark, tmp_path):
     records = [RECORD, {"id": 2, "title": "x"}, {"id": 1, "title": "again"}, {"id": 3, "category": None}]
     (tmp_path / "a.json").write_text(json.dumps(records, ensure_ascii=False, indent=2), "utf-8")
-    corpus = read_articles(spark, str(tmp_path / "a.json"), position="position")
+    corpus = read_articles(spark, str(tmp_path / "a.json"), "json", position="position")
     rows = corpus.orderBy("position").collect()
     assert [r.id for r in rows] == [1, 2, 1, 3] and rows[0].asDict()["date"] == RECORD["date"]
     assert rows[1].category is None and rows[3].category is None
@@ -40,11 +44,72 @@ def test_json_array_round_trip(spark, tmp_path):
     assert "října" in text and len(text.splitlines()) == 3
 
 
+@pytest.mark.parametrize("fmt", [None, "jsonl", "json", "parquet"])
+def test_what_is_written_is_read_by_the_same_name(spark, tmp_path, fmt):
+    rows = [(f"t{i}", "c\n", None, i, None, "k", None if i % 3 else "Č") for i in range(200)]
+    corpus = spark.createDataFrame(rows, ARTICLE).repartition(3)
+    named = [] if fmt is None else [fmt]
+    for readable in (read_articles, read_articles_or_empty):
+        path = str(tmp_path / readable.__name__)
+        write_articles(corpus, path, *named)
+        assert sorted(map(tuple, readable(spark, path, *named).collect())) == sorted(rows)
+
+
+def test_impossible_formats_are_refused(spark, tmp_path):
+    corpus = spark.createDataFrame([], ARTICLE)
+    for arguments in ({"fmt": "csv"}, {"fmt": "json", "by_category": True}, {"fmt": "json", "max_records_per_file": 5}):
+        with pytest.raises(ValueError):
+            write_articles(corpus, str(tmp_path / "x"), **arguments)
+
+
 @pytest.mark.parametrize("content", ["", "[", '[{"id": 1}, {"id"', "not json"])
 def test_unusable_corpus_is_empty(spark, tmp_path, content):
     (tmp_path / "a.json").write_text(content)
-    assert read_articles_or_empty(spark, str(tmp_path / "a.json")).count() == 0
-    assert read_articles_or_empty(spark, str(tmp_path / "missing.json")).count() == 0
+    assert read_articles_or_empty(spark, str(tmp_path / "a.json"), "json").count() == 0
+    assert read_articles_or_empty(spark, str(tmp_path / "missing.json"), "json").count() == 0
+
+
+@pytest.mark.parametrize("fmt", ["json", "jsonl"])
+def test_one_bad_record_spoils_nothing_else(spark, tmp_path, fmt):
+    records = ['{"id":1,"title":"a"}', '{"id":"x","title":"b"}', '{"id":3,"title":7}']
+    (tmp_path / "a.json").write_text("[" + ",".join(records) + "]" if fmt == "json" else "\n".join([*records, '{"id":4,']))
+    rows = read_articles_or_empty(spark, str(tmp_path / "a.json"), fmt, "position").orderBy("position").collect()
+    assert [(r.id, r.title) for r in rows] == [(1, "a"), (None, "b"), (3, "7")]
+
+
+def test_a_corpus_cut_short_is_an_error(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1}, {"id"')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_articles(spark, str(tmp_path / "a.json"), "json").collect()
+
+
+@pytest.mark.parametrize("fmt", ["json", "jsonl"])
+def test_position_follows_file_names_not_sizes(spark, tmp_path, fmt):
+    for name, ids in (("a", [5]), ("b", list(range(10, 400)))):
+        records = [json.dumps({"id": i, "content": "x" * 50}) for i in ids]
+        (tmp_path / f"{name}.json").write_text("[" + ",".join(records) + "]" if fmt == "json" else "\n".join(records))
+    for reader in (read_articles, read_articles_or_empty):
+        corpus = reader(spark, str(tmp_path), fmt, "position")
+        assert [r.id for r in corpus.orderBy("position").collect()] == [5, *range(10, 400)]
+        listing = category_ranking(category_counts(corpus.withColumn("category", F.col("id").cast("string")), "position"))
+        assert listing.orderBy("rank").first().category == "5"
+
+
+def test_long_category_names(spark, tmp_path):
+    names = ["č" * 300, "a/b=c", "", "short"]
+    corpus = spark.createDataFrame([(None, None, None, i, None, None, n) for i, n in enumerate(names)], ARTICLE)
+    write_articles(corpus, str(tmp_path / "x"), "parquet", by_category=True)
+    for i, name in enumerate(names):
+        assert [r.id for r in read_categories(spark, str(tmp_path / "x"), [name]).collect()] == [i]
+    assert read_categories(spark, str(tmp_path / "x"), []).count() == 0
+
+
+def test_stored_folders_go_with_their_block(spark):
+    with scratch():
+        kept = stored(spark.range(3), "test")
+        folder = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+        assert folder.exists()
+    assert not folder.exists()
 
 
 def test_unknown_format(spark, tmp_path):
@@ -99,6 +164,9 @@ def test_decode_body(spark):
         ("č".encode("utf-16"), "UTF-16", "č"),
         ("é".encode("latin-1"), "iso-8859-1", "é"),
         (b"x", "no-such-charset", None),
+        (b"x", "no\0charset", None),
+        (b"x", "undefined", None),
+        (b"a\\ud800b", "raw_unicode_escape", "ab"),
         (None, "utf-8", None),
         (b"", "utf-8", ""),
     ]
@@ -108,8 +176,6 @@ def test_decode_body(spark):
 
 
 def test_output_summary_of_nothing(spark):
-    from newsloom.schema import ARTICLE
-
     assert tuple(output_summary(spark.createDataFrame([], ARTICLE)).first()) == (0, 0, "0.0")
 
 
