@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, and restarts add nothing."""
 
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -62,16 +63,27 @@ def test_earliest_landed_page_wins_within_a_batch(spark, tmp_path):
     ]
 
 
+def test_runs_with_their_own_checkpoints_share_a_corpus(spark, tmp_path):
+    root = str(tmp_path)
+    land(spark, f"{root}/landed", page(1, "alpha"), page(2, "alpha"))
+    ingest(spark, root)
+    land(spark, f"{root}/other", page(2, "beta"), page(3, "beta"))
+    for _ in range(2):  # the second time with nothing new
+        stream_ingest(
+            stream_pages(spark, f"{root}/other", 1), page_to_article, f"{root}/corpus", f"{root}/second"
+        ).awaitTermination()
+        rows = read_corpus(spark, f"{root}/corpus").collect()
+        assert sorted((r.id, r.title.split()[0]) for r in rows) == [(1, "alpha"), (2, "alpha"), (3, "beta")]
+
+
 def test_a_repeated_epoch_replaces_its_own_output(spark, tmp_path):
     root = str(tmp_path)
     land(spark, f"{root}/landed", page(1, "alpha"))
     ingest(spark, root)
-    # A new checkpoint starts over from epoch 0, as after a crash before the commit.
-    query = stream_ingest(
-        stream_pages(spark, f"{root}/landed", 1), page_to_article, f"{root}/corpus", f"{root}/second"
-    )
-    query.awaitTermination()
-    assert read_corpus(spark, f"{root}/corpus").count() == 1
+    # Without its commit the epoch runs again, as after a crash.
+    for commit in Path(root, "checkpoint/commits").iterdir():
+        commit.unlink()
+    assert ingest(spark, root) == [(1, "alpha")]
 
 
 def test_ingest_equals_batch(spark, tmp_path):
