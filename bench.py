@@ -41,8 +41,8 @@ HEADLINE = [
     "batch_plan",
     "scan_outcome",
     "batch_progress",
-    "save_points_100",
-    "save_every_k",
+    "scan_outcome_repeats",
+    "append_corpus",
     "category_analysis",
     "page_category_listing",
     "range_scan",

@@ -10,6 +10,7 @@ from newsloom.catalog.fixtures import (
     ARTICLES_SQL,
     LINK_PREFIX,
     SOURCE_ARTICLES_SQL,
+    URL_LANGUAGE,
     articles,
     source_articles,
 )
@@ -19,6 +20,7 @@ from newsloom.operators.categories import (
     category_counts,
     category_ranking,
     category_report,
+    category_report_rows,
     category_share,
     corpus_totals,
     filter_categories,
@@ -27,7 +29,12 @@ from newsloom.operators.categories import (
 )
 from newsloom.operators.extraction import extract_articles, spread
 from newsloom.operators.scan import id_bounds, newest_n
-from newsloom.plans.analysis import category_analysis, post_filter, sample_categories
+from newsloom.plans.analysis import (
+    category_analysis,
+    page_sample_categories,
+    post_filter,
+    sample_categories,
+)
 from newsloom.schema import ANALYSIS_SPAN
 from newsloom.session import stored
 from newsloom.sources.writers import exported_articles, output_summary
@@ -160,8 +167,7 @@ def _category_report(spark, sf_dir):
         FROM counts""",
 )
 def _category_report_rows(spark, sf_dir):
-    report = category_report(category_counts(source_articles(spark, sf_dir), "position"), ANALYSIS_DATE)
-    return report.select("analysis_date", "total_categories", F.explode("categories").alias("category", "n"))
+    return category_report_rows(category_counts(source_articles(spark, sf_dir), "position"), ANALYSIS_DATE)
 
 
 @query(
@@ -234,11 +240,7 @@ def _category_analysis_export(spark, sf_dir):
         FROM counts""",
 )
 def _category_analysis_report(spark, sf_dir):
-    report = _analysis_of_documents(spark, sf_dir).report
-    return report.select("analysis_date", "total_categories", F.explode("categories").alias("category", "n"))
-
-
-URL_LANGUAGE = "^https?://[^/]+/([a-z]{2})/"
+    return _analysis_of_documents(spark, sf_dir).report_rows
 
 
 def page_category_listing(spark, sf_dir):
@@ -290,6 +292,18 @@ def _page_category_listing(spark, sf_dir):
     return ranked_shares(stored(category_counts(corpus, "position"), "category-counts"))
 
 
+@query(
+    "page_sample_categories",
+    f"""WITH {PAGE_ARTICLES_SQL}, articles AS (
+          SELECT id, category, id AS position FROM page_articles
+          WHERE id BETWEEN greatest(1, (SELECT max(page_id) FROM pages) - 49) AND (SELECT max(page_id) FROM pages)),
+        {LISTING_SQL} SELECT * FROM listing""",
+)
+def _page_sample_categories(spark, sf_dir):
+    source = table(spark, sf_dir, "pages")
+    return page_sample_categories(source, id_bounds(source, "page_id")[1], LINK_PREFIX)
+
+
 @query("post_filter", f"WITH {ARTICLES_SQL}, {LISTING_SQL} SELECT * FROM listing")
 def _post_filter(spark, sf_dir):
     return post_filter(articles(spark, sf_dir), "position", ANALYSIS_DATE, "2").listing

@@ -27,13 +27,12 @@ def _dedupe_first(spark, sf_dir):
 
 @query(
     "dedupe_events",
-    """SELECT user_id AS id, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS event_type
-       FROM events WHERE user_id <> 0 GROUP BY user_id
-       UNION ALL SELECT user_id, event_id, event_type FROM events WHERE coalesce(user_id, 0) = 0""",
+    """SELECT * EXCLUDE rn FROM (
+         SELECT user_id AS id, * EXCLUDE user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+       WHERE rn = 1 OR coalesce(id, 0) = 0""",
 )
 def _dedupe_events(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "event_type")
-    return dedupe_keep_first(events, "event_id")
+    return dedupe_keep_first(table(spark, sf_dir, "events").withColumnRenamed("user_id", "id"), "event_id")
 
 
 @query(

@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.catalog.extraction import PAGE_ARTICLES_SQL
 from newsloom.catalog.fixtures import ARTICLES_SQL, HOST, LINK_PREFIX, articles
 from newsloom.catalog.registry import query, table
 from newsloom.operators.categories import category_counts
+from newsloom.operators.dedup import merge_new
+from newsloom.operators.extraction import extract_articles
 from newsloom.operators.scan import feed_id_range, feed_ids, with_fallback
 from newsloom.schema import ARTICLE
 from newsloom.session import shared_folder
 from newsloom.sources.readers import (
+    decode_pages,
     feed_items,
     read_articles,
     read_articles_or_empty,
     read_categories,
     read_category_list,
     read_feed_items,
+    read_pages,
+)
+from newsloom.sources.writers import (
+    enclosed,
+    export_filtered,
+    output_name_column,
+    write_articles,
+    write_category_report,
 )
-from newsloom.sources.writers import export_filtered, write_articles, write_category_report
 
 CORPUS_SQL = f"WITH {ARTICLES_SQL} SELECT title, content, link, id, date, keywords, category FROM articles"
 
@@ -59,25 +70,87 @@ def _feed_range_fallback(spark, sf_dir):
 
 @query("read_feed", FEED_RANGE_SQL)
 def _read_feed(spark, sf_dir):
+    """Items written as feeds, one a partition."""
     path = shared_folder(spark, "feed")
-    feeds = (
-        table(spark, sf_dir, "documents")
-        .groupBy(F.expr("doc_id div 100").alias("part"))
-        .agg(F.concat_ws("", F.collect_list(_item_column())).alias("items"))
-        .select("part", F.concat(F.lit('<rss version="2.0"><channel>'), "items", F.lit("</channel></rss>")).alias("feed"))
-    )
-    feeds.write.partitionBy("part").text(path)
+    items = table(spark, sf_dir, "documents").select(_item_column().alias("value"))
+    enclosed(items, '<rss version="2.0"><channel>', "", "</channel></rss>").write.text(path)
     return feed_id_range(feed_ids(read_feed_items(spark, path), HOST))
 
 
+# ---- pages ---------------------------------------------------------------------------
+
+@query("read_pages", "SELECT page_id, url, html FROM pages")
+def _read_pages(spark, sf_dir):
+    path = shared_folder(spark, "pages")
+    table(spark, sf_dir, "pages").write.parquet(path)
+    return read_pages(spark, path)
+
+
+@query(
+    "page_robust",
+    f"""WITH {PAGE_ARTICLES_SQL}
+        SELECT p.page_id, a.title, a.content FROM pages p
+        LEFT JOIN (SELECT * FROM page_articles WHERE id % 5 <> 0) a ON a.id = p.page_id""",
+)
+def _page_robust(spark, sf_dir):
+    """Every fifth page damaged: unusable charsets, a reference beyond all numbers, or bytes that are no text at all."""
+    pages = table(spark, sf_dir, "pages")
+    kind = F.when(F.col("page_id") % 5 == 0, (F.expr("page_id div 5") % 3)).otherwise(F.lit(-1))
+    raw = pages.select(
+        "page_id",
+        F.when(kind == 1, F.concat(F.lit('<a href="&#'), F.repeat(F.lit("9"), F.lit(5000)), F.lit(';">'), "html"))
+        .otherwise(F.col("html"))
+        .cast("binary")
+        .alias("body"),
+        F.when(kind == 0, "undefined").when(kind == 2, "no\u0000charset").alias("charset"),
+    )
+    landed = decode_pages(raw, LINK_PREFIX)
+    broken = F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-8")).cast("string")
+    landed = landed.withColumn("html", F.when(F.col("page_id") % 5 == 4, broken).otherwise(F.col("html")))
+    found = extract_articles(landed, LINK_PREFIX).select(F.col("id").alias("page_id"), "title", "content")
+    return pages.select("page_id").join(found, "page_id", "left")
+
+
 # ---- corpora -------------------------------------------------------------------------
 
 
-@query("write_read_jsonl", CORPUS_SQL)
-def _write_read_jsonl(spark, sf_dir):
+def _round_trip(fmt):
+    def run(spark, sf_dir):
+        path = shared_folder(spark, "corpus")
+        write_articles(articles(spark, sf_dir), path, fmt)
+        return read_articles(spark, path, fmt)
+
+    return run
+
+
+query("write_read_jsonl", CORPUS_SQL)(_round_trip("jsonl"))
+query("read_articles", CORPUS_SQL)(_round_trip("json"))
+
+
+@query("write_read_default", CORPUS_SQL)
+def _write_read_default(spark, sf_dir):
     path = shared_folder(spark, "corpus")
     write_articles(articles(spark, sf_dir), path)
-    return read_articles(spark, path, "jsonl")
+    return read_articles(spark, path)
+
+
+@query(
+    "append_corpus",
+    f"""WITH {ARTICLES_SQL}, old AS (SELECT * FROM articles WHERE id % 3 = 0)
+        SELECT title, content, link, CASE WHEN id % 9 = 0 THEN NULL ELSE id END AS id, date, keywords, category FROM old
+        UNION ALL SELECT title, content, link, id, date, keywords, category FROM articles
+        WHERE coalesce(id, 0) <> 0 AND id NOT IN (SELECT id FROM old WHERE id % 9 <> 0)""",
+)
+def _append_corpus(spark, sf_dir):
+    """A corpus with ids of a wrong type in some records is read back, and all articles are merged into it."""
+    path = shared_folder(spark, "corpus")
+    corpus = articles(spark, sf_dir)
+    record = F.to_json(F.struct(*ARTICLE.names))
+    wrong = F.regexp_replace(record, '"id":(\\d+)', '"id":"no $1"')
+    old = corpus.filter(F.col("id") % 3 == 0).select(F.when(F.col("id") % 9 == 0, wrong).otherwise(record).alias("value"))
+    old.write.text(path)
+    existing = read_articles_or_empty(spark, path)
+    return merge_new(existing, corpus.select(*ARTICLE.names), "id")
 
 
 @query("write_read_by_category", CORPUS_SQL)
@@ -97,37 +170,17 @@ def _read_categories(spark, sf_dir):
     return read_categories(spark, path, ["", "es", "Uncategorized"])
 
 
-def _write_arrays(corpus, path):
-    """One array per source partition, as files of text."""
-    arrays = (
-        corpus.select(F.to_json(F.struct(*ARTICLE.names)).alias("article"), F.col("id").alias("n"))
-        .groupBy(F.expr("n div 100").alias("part"))
-        .agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("article")), F.lit("]")).alias("value"))
-    )
-    arrays.write.partitionBy("part").text(path)
-
-
-@query("read_articles", CORPUS_SQL)
-def _read_articles(spark, sf_dir):
-    path = shared_folder(spark, "arrays")
-    _write_arrays(articles(spark, sf_dir), path)
-    return read_articles(spark, path)
-
-
-@query("read_articles_or_empty", f"{CORPUS_SQL} WHERE category = 'fr'")
+@query("read_articles_or_empty", CORPUS_SQL)
 def _read_articles_or_empty(spark, sf_dir):
     """A good corpus, a broken one (each file cut short) and a missing one."""
     good, broken = shared_folder(spark, "arrays"), shared_folder(spark, "broken")
-    french = articles(spark, sf_dir).filter(F.col("category") == "fr")
-    _write_arrays(french, good)
-    cut = spark.read.text(good, wholetext=True).select(
-        F.expr("left(value, length(value) - 10)").alias("value")
-    )
+    write_articles(articles(spark, sf_dir), good, "json")
+    cut = spark.read.text(good, wholetext=True).select(F.expr("left(value, length(value) - 10)").alias("value"))
     cut.write.text(broken)
     return (
-        read_articles_or_empty(spark, good)
-        .unionByName(read_articles_or_empty(spark, broken))
-        .unionByName(read_articles_or_empty(spark, f"{broken}-missing"))
+        read_articles_or_empty(spark, good, "json")
+        .unionByName(read_articles_or_empty(spark, broken, "json"))
+        .unionByName(read_articles_or_empty(spark, f"{broken}-missing", "json"))
     )
 
 
@@ -135,7 +188,7 @@ def _read_articles_or_empty(spark, sf_dir):
 def _export_filtered_file(spark, sf_dir):
     path = shared_folder(spark, "export")
     export_filtered(articles(spark, sf_dir), ["de", "es"], "position", path)
-    return read_articles(spark, path, "jsonl")
+    return read_articles(spark, path)
 
 
 # ---- vocabulary and report -------------------------------------------------------------
@@ -163,3 +216,11 @@ def _write_category_report(spark, sf_dir):
     write_category_report(category_counts(articles(spark, sf_dir), "position"), "2025-10-10T12:00:00", path)
     report = spark.read.schema("categories map<string, bigint>").json(path)
     return report.select(F.explode("categories").alias("category", "n"))
+
+
+@query(
+    "output_names",
+    "SELECT event_id, 'articles_' || strftime(ts, '%Y%m%d_%H%M%S') AS name FROM events",
+)
+def _output_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", output_name_column("articles", F.col("ts")).alias("name"))

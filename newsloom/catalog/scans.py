@@ -1,13 +1,14 @@
-"""Queries for id ranges, batch plans, outcomes and save points."""
+"""Queries for id ranges, batch plans and outcomes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from newsloom.catalog.extraction import PAGE_ARTICLES_SQL, pages
-from newsloom.catalog.fixtures import ARTICLES_SQL, LINK_PREFIX, articles
+from newsloom.catalog.fixtures import ARTICLES_SQL, LINK_PREFIX, URL_LANGUAGE, articles
 from newsloom.catalog.registry import query, table
-from newsloom.operators.extraction import extract_articles, spread
+from newsloom.operators.categories import resolve_picks
+from newsloom.operators.extraction import spread
 from newsloom.operators.scan import (
     batch_plan,
     batch_progress,
@@ -16,30 +17,38 @@ from newsloom.operators.scan import (
     id_range,
     newest_first,
     newest_n,
-    save_every_k,
-    save_frequency,
-    save_points,
     scan_outcome,
 )
-from newsloom.plans.analysis import preset_bounds, range_scan, scan_report
-from newsloom.schema import SAVE_FREQUENCIES, SCAN_BATCHES, SCAN_SPANS
+from newsloom.plans.analysis import page_scan_report, preset_bounds, range_scan
+from newsloom.schema import SCAN_SPANS
+from newsloom.sources.readers import vocabulary_ranking
 
 # ---- id ranges -----------------------------------------------------------------
 
 
+# Order lines, whose ids reach far beyond the largest preset.
+LINES_SQL = """lines AS (
+  SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey, l_extendedprice FROM lineitem)"""
+
+
+def _lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_partkey", "l_extendedprice")
+
+
 def _newest(span):
     def run(spark, sf_dir):
-        corpus = articles(spark, sf_dir)
-        return newest_n(corpus, id_bounds(corpus)[1], span)
+        lines = _lines(spark, sf_dir)
+        return newest_n(lines, id_bounds(lines)[1], span)
 
     return run
 
 
 for _preset, _span in [*SCAN_SPANS.items(), ("maximum", None)]:
-    _low = 1 if _span is None else f"greatest(1, (SELECT max(id) FROM articles) - {_span} + 1)"
+    _low = 1 if _span is None else f"greatest(1, (SELECT max(id) FROM lines) - {_span} + 1)"
     query(
         f"newest_{_preset}",
-        f"WITH {ARTICLES_SQL} SELECT * FROM articles WHERE id BETWEEN {_low} AND (SELECT max(id) FROM articles)",
+        f"WITH {LINES_SQL} SELECT * FROM lines WHERE id BETWEEN {_low} AND (SELECT max(id) FROM lines)",
     )(_newest(_span))
 
 
@@ -76,19 +85,10 @@ def _plan(spark, sf_dir, batch, step=1, reverse=True):
     return batch_plan(spark, lo, hi, batch, step, reverse)
 
 
-def _plan_query(batch, step, reverse):
-    return lambda spark, sf_dir: _plan(spark, sf_dir, batch, step, reverse)
-
+@query("batch_plan", f"WITH {_plan_sql('50', 3, True)} SELECT batch_no, scan_no, id FROM plan")
+def _batch_plan(spark, sf_dir):
+    return _plan(spark, sf_dir, 50, 3)
 
-for _name, _batch, _step, _reverse in [
-    ("batch_plan", 50, 1, True),
-    ("batch_plan_forward", 50, 1, False),
-    ("batch_plan_step", 50, 3, True),
-    ("batch_plan_forward_step", 500, 7, False),
-]:
-    query(_name, f"WITH {_plan_sql(str(_batch), _step, _reverse)} SELECT batch_no, scan_no, id FROM plan")(
-        _plan_query(_batch, _step, _reverse)
-    )
 
 # ---- outcomes ----------------------------------------------------------------------
 
@@ -147,43 +147,19 @@ def _batch_progress(spark, sf_dir):
     return _progress(spark, sf_dir)
 
 
-def _saves_sql(frequency: int) -> str:
-    return f"""
-    WITH RECURSIVE {PROGRESS_SQL},
-    fold AS (
-      SELECT CAST(-1 AS BIGINT) AS batch_no, CAST(0 AS BIGINT) AS backlog, CAST(0 AS BIGINT) AS found_so_far, false AS save
-      UNION ALL
-      SELECT p.batch_no, CASE WHEN f.backlog + p.found >= {frequency} THEN 0 ELSE f.backlog + p.found END,
-             p.found_so_far, f.backlog + p.found >= {frequency}
-      FROM fold f JOIN progress p ON p.batch_no = f.batch_no + 1)
-    SELECT batch_no, found_so_far AS saved_total, false AS final FROM fold WHERE save
-    UNION ALL
-    SELECT max(batch_no), max(found_so_far), true FROM progress HAVING max(found_so_far) > 0"""
-
-
-def _saves(frequency):
-    def run(spark, sf_dir):
-        lo, hi = id_bounds(table(spark, sf_dir, "documents"), "doc_id")
-        return save_points(_progress(spark, sf_dir), frequency, batches=(hi - lo) // 50 + 1)
-
-    return run
-
-
-for _frequency in SAVE_FREQUENCIES.values():
-    query(f"save_points_{_frequency}", _saves_sql(_frequency))(_saves(_frequency))
-
-
 @query(
-    "save_every_k",
-    f"""WITH {_outcome_sql(_plan_sql('(SELECT hi - lo + 1 FROM bounds)', 1, False), False, False)},
-        numbered AS (
-          SELECT scan_no, row_number() OVER (ORDER BY scan_no) AS saved_total FROM outcome WHERE outcome = 'found')
-        SELECT scan_no, saved_total, false AS final FROM numbered WHERE saved_total % 5 = 0
-        UNION ALL SELECT max(scan_no), count(*), true FROM numbered HAVING count(*) > 0""",
+    "scan_outcome_repeats",
+    f"""WITH {ARTICLES_SQL}, {_plan_sql('50', 1, True)},
+        said AS (SELECT conv_id AS id, arg_min(role, turn) AS category FROM conversations GROUP BY conv_id)
+        SELECT p.batch_no, p.scan_no, p.id, CASE WHEN s.id IS NULL THEN 'not found'
+               WHEN coalesce(s.category, 'Uncategorized') <> 'user' THEN 'category not selected' ELSE 'found' END AS outcome
+        FROM plan p LEFT JOIN said s ON s.id = p.id""",
 )
-def _save_every_k(spark, sf_dir):
-    lo, hi = id_bounds(table(spark, sf_dir, "documents"), "doc_id")
-    return save_every_k(collect_scan(spark, _found_articles(spark, sf_dir), lo, hi))
+def _scan_outcome_repeats(spark, sf_dir):
+    """Turns of conversations as articles: an id comes once per turn, and the first one counts."""
+    turns = table(spark, sf_dir, "conversations")
+    said = turns.select(F.col("conv_id").alias("id"), F.col("role").alias("category"), "turn")
+    return scan_outcome(_plan(spark, sf_dir, 50), said, ["user"], order="turn")
 
 
 @query(
@@ -239,34 +215,33 @@ def _page_progress_sql(batch: int, reverse: bool) -> str:
           FROM per_batch)"""
 
 
-def _page_scan(spark, sf_dir, preset, direction, save_choice):
-    latest = id_bounds(table(spark, sf_dir, "pages"), "page_id")[1]
-    return scan_report(
-        extract_articles(pages(spark, sf_dir), LINK_PREFIX),
-        preset_bounds(preset, latest),
-        SCAN_BATCHES[preset],
-        newest_first(direction),
-        save_frequency(save_choice),
-    )
-
-
-@query("page_scan_progress", f"WITH {_page_progress_sql(500, True)} SELECT * FROM progress")
+@query("page_scan_progress", f"WITH {_page_progress_sql(50, True)} SELECT * FROM progress")
 def _page_scan_progress(spark, sf_dir):
-    return _page_scan(spark, sf_dir, "maximum", "A", "3").progress
+    """All pages in small batches; one page of twenty is there twice."""
+    source = table(spark, sf_dir, "pages")
+    latest = id_bounds(source, "page_id")[1]
+    landed = source.unionByName(source.where("page_id % 20 = 0"))
+    bounds = preset_bounds("maximum", latest)
+    return page_scan_report(spread(landed), bounds, 50, LINK_PREFIX, reverse=newest_first("A")).progress
 
 
 @query(
-    "page_scan_saves",
-    f"""WITH RECURSIVE {_page_progress_sql(500, False)},
-        fold AS (
-          SELECT CAST(-1 AS BIGINT) AS batch_no, CAST(0 AS BIGINT) AS backlog, CAST(0 AS BIGINT) AS found_so_far, false AS save
-          UNION ALL
-          SELECT p.batch_no, CASE WHEN f.backlog + p.found >= 200 THEN 0 ELSE f.backlog + p.found END,
-                 p.found_so_far, f.backlog + p.found >= 200
-          FROM fold f JOIN progress p ON p.batch_no = f.batch_no + 1)
-        SELECT batch_no, found_so_far AS saved_total, false AS final FROM fold WHERE save
-        UNION ALL
-        SELECT max(batch_no), max(found_so_far), true FROM progress HAVING max(found_so_far) > 0""",
+    "page_scan_selection",
+    f"""WITH {PAGE_ARTICLES_SQL}, bounds AS (SELECT max(page_id) AS hi FROM pages), listed AS (
+          SELECT language, row_number() OVER (ORDER BY language) AS rank FROM
+          (SELECT DISTINCT nullif(regexp_extract(url, '{URL_LANGUAGE}', 1), '') AS language FROM pages) WHERE language IS NOT NULL)
+        SELECT a.* REPLACE (p.language AS category) FROM page_articles a
+        JOIN (SELECT page_id, nullif(regexp_extract(url, '{URL_LANGUAGE}', 1), '') AS language FROM pages) p ON p.page_id = a.id
+        WHERE p.language IN (SELECT language FROM listed WHERE rank IN (1, 3))""",
 )
-def _page_scan_saves(spark, sf_dir):
-    return _page_scan(spark, sf_dir, "maximum", " b ", "4").saves
+def _page_scan_selection(spark, sf_dir):
+    """Picks from a vocabulary, here the languages of the addresses, select among the pages scanned."""
+    source = table(spark, sf_dir, "pages")
+    latest = id_bounds(source, "page_id")[1]
+    language = F.nullif(F.regexp_extract("url", URL_LANGUAGE, 1), F.lit(""))
+    names = source.agg(F.array_sort(F.collect_set(language)).alias("names"))
+    vocabulary = names.select(F.posexplode("names").alias("pos", "category"), F.lit(0).cast("bigint").alias("n"))
+    picked = resolve_picks(vocabulary_ranking(vocabulary), "1, 3")
+    tagged = F.concat(F.lit('<span itemprop="about">'), language, F.lit("</span>"), F.col("html"))
+    pages = source.withColumn("html", F.coalesce(tagged, "html"))
+    return range_scan(spread(pages), None, preset_bounds("maximum", latest), LINK_PREFIX, picked)

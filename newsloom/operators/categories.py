@@ -12,17 +12,13 @@ from newsloom.functions.text import (
     keywords_preview,
     title_preview,
 )
-from newsloom.operators.ordering import running_total
+from newsloom.operators.ordering import number_rows
 from newsloom.session import stored
 
 # Most names of a selection that are put into the query as literals. Larger
 # selections are joined.
 MAX_LITERAL_NAMES = 10_000
 
-# Categories of equal count split by the first-seen position without this many
-# low bits.
-FIRST_SEEN_BITS = 24
-
 
 def category_counts(articles: DataFrame, order: str | None = None) -> DataFrame:
     """Articles per category; with ``order`` also where each was first seen."""
@@ -35,16 +31,11 @@ def category_counts(articles: DataFrame, order: str | None = None) -> DataFrame:
 def category_ranking(counts: DataFrame) -> DataFrame:
     """Rank of each category: by count, descending, ties by first appearance.
 
-    ``counts`` comes from ``category_counts`` with a whole-number order column.
-    Categories are free text, so their number is not bounded: ranking goes
-    through ``running_total`` over (count, first-seen range) buckets instead of
-    one global sort.
+    ``counts`` comes from ``category_counts`` with an order column of any ordered type. Categories are free
+    text, so their number is not bounded: they are numbered range by range.
     """
-    keyed = counts.withColumn("__falling", -F.col("n")).withColumn(
-        "__range", F.shiftright("first_seen", FIRST_SEEN_BITS)
-    )
-    ranked = running_total(keyed, F.lit(1), ["__falling", "__range"], ["first_seen"], "rank")
-    return ranked.select("rank", "category", "n", "first_seen")
+    numbered, _ = number_rows(counts, [F.desc("n"), "first_seen"], "__number")
+    return numbered.select((F.col("__number") + 1).alias("rank"), "category", "n", "first_seen")
 
 
 def category_share(counts: DataFrame) -> DataFrame:
@@ -125,6 +116,13 @@ def filter_categories(
     return articles.filter(category.isin(names)) if names else articles
 
 
+def category_report_rows(counts: DataFrame, analysis_date: str) -> DataFrame:
+    """The report as rows, one per category: the form for any number of categories."""
+    counts = stored(counts, "category-counts")
+    total = counts.agg(F.count("*")).scalar()
+    return counts.select(F.lit(analysis_date).alias("analysis_date"), total.alias("total_categories"), "category", "n")
+
+
 def category_report(counts: DataFrame, analysis_date: str) -> DataFrame:
     """The report document: date, number of categories, name to count map.
 

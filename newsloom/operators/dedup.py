@@ -16,36 +16,35 @@ def has_id(id_column: str = "id") -> Column:
     return F.coalesce(F.col(id_column), F.lit(0)) != 0
 
 
-def _first_per_key(df: DataFrame, order: str, id_column: str, *tie: Column) -> DataFrame:
-    """First row per (id, *tie).
+def _repeated(df: DataFrame, order: str, id_column: str) -> DataFrame:
+    """(id, first order value) of the ids that several rows have.
 
-    ``min_by`` keeps one row per key in every map task before the shuffle, so
-    a single id holding most rows costs its reducer one row per task. The id
-    stays a plain grouping column, which lets a later join on it reuse the
-    partitioning.
+    Only these two columns are read and only counts per id are shuffled, so an id holding
+    most rows costs its reducer one row per task. The result is stored: its size is then known, and
+    while repeats are few the rows of ``df`` need not be shuffled at all.
     """
-    payload = [name for name in df.columns if name != id_column]
-    return (
-        df.groupBy(id_column, *tie)
-        .agg(F.min_by(F.struct(*payload), F.col(order)).alias("__row"))
-        .select(id_column, "__row.*")
-        .select(*df.columns)
-    )
+    groups = df.select(F.col(id_column).alias("__id"), F.col(order).alias("__at")).groupBy("__id")
+    counted = groups.agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    return stored(counted.where("__n > 1").select("__id", "__first", F.lit(True).alias("__several")), "repeated-ids")
 
 
-def first_per_id(df: DataFrame, order: str, id_column: str = "id") -> DataFrame:
-    """First row of each id; rows without an id form one group."""
-    return _first_per_key(df, order, id_column)
+def _first_rows(df: DataFrame, order: str, id_column: str, repeated: DataFrame) -> DataFrame:
+    # A left join with one row per id on the right: AQE splits a hot id of ``df``.
+    joined = df.join(repeated, F.col(id_column).eqNullSafe(F.col("__id")), "left")
+    return joined.filter(F.col("__several").isNull() | (F.col(order) == F.col("__first"))).select(*df.columns)
 
 
-def dedupe_keep_first(df: DataFrame, order: str, id_column: str = "id") -> DataFrame:
-    """First row of each id, and every row without an id, in one pass.
+def first_per_id(df: DataFrame, order: str, id_column: str = "id") -> DataFrame:
+    """First row of each id; rows without an id form one group.
 
-    Rows without an id are grouped by their own order value: each survives,
-    and together they spread over all reducers.
+    ``df`` is read twice, once for two of its columns; store it first if it is dear to compute.
     """
-    own = F.when(~has_id(id_column), F.col(order)).alias("__own")
-    return _first_per_key(df, order, id_column, own)
+    return _first_rows(df, order, id_column, _repeated(df, order, id_column))
+
+
+def dedupe_keep_first(df: DataFrame, order: str, id_column: str = "id") -> DataFrame:
+    """First row of each id, and every row without an id."""
+    return _first_rows(df, order, id_column, _repeated(df.filter(has_id(id_column)), order, id_column))
 
 
 def dedupe_metrics(df: DataFrame, id_column: str = "id") -> DataFrame:
@@ -62,21 +61,13 @@ def dedupe_metrics(df: DataFrame, id_column: str = "id") -> DataFrame:
     )
 
 
-def _known_ids(df: DataFrame, id_column: str) -> DataFrame:
-    # distinct() folds repeated ids in the map tasks and leaves the data
-    # partitioned the way the join wants it.
-    return df.filter(has_id(id_column)).select(id_column).distinct()
-
-
 def new_rows(existing: DataFrame, batch: DataFrame, order: str, id_column: str = "id") -> DataFrame:
     """Rows of ``batch`` that an insert-only merge would add to ``existing``.
 
-    Only ids are read from ``existing``. The batch is reduced to one row per id
-    first, so a hot id is gone before the join, which needs no shuffle of its
-    own on that side.
+    Only ids are read from ``existing``, and known ones leave the batch before its first rows are looked for.
     """
-    first = first_per_id(batch.filter(has_id(id_column)), order, id_column)
-    return first.join(_known_ids(existing, id_column), id_column, "left_anti").select(*batch.columns)
+    fresh = skip_processed(batch.filter(has_id(id_column)), existing.filter(has_id(id_column)), id_column)
+    return first_per_id(fresh, order, id_column)
 
 
 def merge_new(existing: DataFrame, batch: DataFrame, order: str, id_column: str = "id") -> DataFrame:

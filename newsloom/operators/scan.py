@@ -1,19 +1,14 @@
-"""Id ranges, batch plans, scan outcomes and save points."""
+"""Id ranges, batch plans and scan outcomes."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions.text import article_id, category_or_default
 from newsloom.operators.ordering import running_total_by
 from newsloom.schema import (
-    DEFAULT_SAVE_FREQUENCY,
     FALLBACK_EARLIEST_ID,
     FALLBACK_LATEST_ID,
-    SAVE_EVERY,
-    SAVE_FREQUENCIES,
 )
 from newsloom.session import stored
 
@@ -68,11 +63,6 @@ def newest_first(direction: str) -> bool:
     return direction.strip().upper() != "B"
 
 
-def save_frequency(choice: str) -> int:
-    """Articles between saves by number of the choice; unknown ones mean the default."""
-    return SAVE_FREQUENCIES.get(choice.strip(), DEFAULT_SAVE_FREQUENCY)
-
-
 def batch_plan(
     spark: SparkSession, min_id: int, max_id: int, batch_size: int, step: int = 1, reverse: bool = True
 ) -> DataFrame:
@@ -95,15 +85,22 @@ def batch_plan(
 
 
 def scan_outcome(
-    plan: DataFrame, articles: DataFrame, selection: list[str] | None = None, seen: DataFrame | None = None
+    plan: DataFrame,
+    articles: DataFrame,
+    selection: list[str] | None = None,
+    seen: DataFrame | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """What became of each planned id.
 
-    ``articles`` has one accepted article per id, ``seen`` the ids handled
-    earlier in the run. Only ids and categories take part in the joins.
+    ``articles`` holds the accepted articles; of several with one id the first by ``order`` counts,
+    without an order the one whose category comes first. ``seen`` has the ids handled
+    earlier in the run. Only ids, orders and categories take part, reduced to one row per id before the join.
     """
     category = category_or_default(F.col("category"))
-    found = articles.select("id", category.alias("category"), F.lit(True).alias("__found"))
+    first = F.min(F.struct(*([F.col(order).alias("at")] if order else []), category.alias("category")))
+    found = articles.groupBy("id").agg(first.alias("__first"))
+    found = found.select("id", F.col("__first.category").alias("category"), F.lit(True).alias("__found"))
     joined = plan.join(found, "id", "left")
     if seen is None:
         joined = joined.withColumn("__seen", F.lit(None).cast("boolean"))
@@ -129,94 +126,6 @@ def batch_progress(outcome: DataFrame) -> DataFrame:
     )
 
 
-def save_points(
-    progress: DataFrame, frequency: int = DEFAULT_SAVE_FREQUENCY, batches: int | None = None
-) -> DataFrame:
-    """Batches after which the articles found so far are saved.
-
-    A save is due once ``frequency`` articles came in since the last one; if
-    anything was found, a final save follows the last batch. All that matters
-    at any point is the number of unsaved articles, which is below
-    ``frequency``. So runs of about sqrt(batches) batches are folded separately,
-    each for every possible backlog, then the runs are chained, and with its
-    backlog known each run yields its saves. No array outgrows one such run.
-    """
-    if frequency < 1:
-        raise ValueError("a save needs at least one article")
-    if batches is None:
-        batches = (progress.agg(F.max("batch_no")).first()[0] or 0) + 1
-    run_length = max(64, math.isqrt(batches))
-    zero, limit = F.lit(0).cast("bigint"), F.lit(frequency).cast("bigint")
-
-    runs = (
-        progress.groupBy(F.expr(f"batch_no div {run_length}").alias("run"))
-        .agg(F.array_sort(F.collect_list(F.struct("batch_no", "found", "found_so_far"))).alias("batches"))
-    )
-
-    def backlog_after(backlog, batch):
-        total = backlog + batch["found"]
-        return F.when(total >= limit, zero).otherwise(total)
-
-    backlogs = F.sequence(zero, limit - 1)
-    table = F.transform(backlogs, lambda backlog: F.aggregate("batches", backlog, backlog_after))
-    tables = runs.select("run", table.alias("after")).agg(
-        F.array_sort(F.collect_list(F.struct("run", "after"))).alias("tables")
-    )
-
-    no_entries = F.expr("cast(array() as array<struct<run: bigint, backlog: bigint>>)")
-    entries = F.aggregate(
-        "tables",
-        F.struct(zero.alias("backlog"), no_entries.alias("entries")),
-        lambda state, t: F.struct(
-            F.get(t["after"], state["backlog"].cast("int")).alias("backlog"),
-            F.array_append(
-                state["entries"], F.struct(t["run"].alias("run"), state["backlog"].alias("backlog"))
-            ).alias("entries"),
-        ),
-    )
-    entered = tables.select(F.inline(entries["entries"]))
-
-    no_saves = F.expr("cast(array() as array<struct<batch_no: bigint, saved_total: bigint>>)")
-    saves = F.aggregate(
-        "batches",
-        F.struct(F.col("backlog"), no_saves.alias("saves")),
-        lambda state, b: F.when(
-            state["backlog"] + b["found"] >= limit,
-            F.struct(
-                zero.alias("backlog"),
-                F.array_append(
-                    state["saves"],
-                    F.struct(b["batch_no"].alias("batch_no"), b["found_so_far"].alias("saved_total")),
-                ).alias("saves"),
-            ),
-        ).otherwise(
-            F.struct((state["backlog"] + b["found"]).alias("backlog"), state["saves"].alias("saves"))
-        ),
-    )
-    progressive = (
-        runs.join(entered, "run")
-        .select(F.inline(saves["saves"]))
-        .select("batch_no", "saved_total", F.lit(False).alias("final"))
-    )
-    return progressive.unionByName(_final_save(progress, "batch_no", "found_so_far"))
-
-
-def _final_save(df: DataFrame, position: str, total: str) -> DataFrame:
-    last = df.agg(F.max(position).alias(position), F.max(total).alias("saved_total"))
-    return last.filter(F.col("saved_total") > 0).withColumn("final", F.lit(True))
-
-
-def save_every_k(outcome: DataFrame, k: int = SAVE_EVERY) -> DataFrame:
-    """Saves of an unbatched scan: after every k-th found article and at the end."""
-    found = stored(outcome.filter(F.col("outcome") == "found").select("scan_no"), "found")
-    numbered = running_total_by(found, F.lit(1), "scan_no", "saved_total")
-    due = numbered.filter(F.col("saved_total") % k == 0).select(
-        "scan_no", "saved_total", F.lit(False).alias("final")
-    )
-    total = found.agg(F.max("scan_no").alias("scan_no"), F.count("*").alias("saved_total"))
-    return due.unionByName(total.filter(F.col("saved_total") > 0).withColumn("final", F.lit(True)))
-
-
 def collect_scan(
     spark: SparkSession,
     articles: DataFrame,
@@ -225,7 +134,8 @@ def collect_scan(
     step: int = 1,
     selection: list[str] | None = None,
     seen: DataFrame | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Unbatched scan, oldest first: outcome of every ``step``-th id."""
     plan = batch_plan(spark, min_id, max_id, max(1, max_id - min_id + 1), step, reverse=False)
-    return scan_outcome(plan, articles, selection, seen)
+    return scan_outcome(plan, articles, selection, seen, order)

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from newsloom.operators.categories import (
     category_counts,
     category_report,
+    category_report_rows,
     filter_categories,
     ranked_shares,
     resolve_picks,
 )
-from newsloom.operators.dedup import first_per_id, has_id, new_rows, skip_processed
+from newsloom.operators.dedup import first_per_id, has_id, skip_processed
 from newsloom.operators.extraction import extract_articles
 from newsloom.operators.scan import (
     batch_plan,
@@ -22,12 +23,10 @@ from newsloom.operators.scan import (
     id_range,
     newest_n,
     newest_span,
-    save_points,
     scan_outcome,
 )
 from newsloom.schema import (
     ANALYSIS_SPAN,
-    DEFAULT_SAVE_FREQUENCY,
     MIN_CLEAN_CHARS,
     SAMPLE_SPAN,
     SCAN_SPANS,
@@ -41,6 +40,22 @@ def preset_bounds(preset: str, latest: int) -> tuple[int, int]:
     return newest_span(latest, None if preset == "maximum" else SCAN_SPANS[preset])
 
 
+def pages_to_parse(
+    pages: DataFrame, bounds: tuple[int, int], existing: DataFrame | None = None, processed: DataFrame | None = None
+) -> DataFrame:
+    """Pages of an id range that are neither in ``processed`` (page_id) nor in a corpus already.
+
+    An article has the id of its page, so what is known is known before parsing.
+    """
+    wanted = id_range(pages, *bounds, "page_id")
+    if processed is not None:
+        wanted = skip_processed(wanted, processed, "page_id")
+    if existing is not None:
+        known = id_range(existing.filter(has_id()), *bounds).select(F.col("id").alias("page_id"))
+        wanted = skip_processed(wanted, known, "page_id")
+    return wanted
+
+
 def range_scan(
     pages: DataFrame,
     existing: DataFrame | None,
@@ -54,28 +69,33 @@ def range_scan(
 ) -> DataFrame:
     """Articles that a scan of an id range adds to a corpus.
 
-    The range reaches the parquet scan and the join with ``processed``
-    (page_id) runs before any page is parsed. ``order`` is the page column that
+    Only ``pages_to_parse`` are parsed, and their articles stored once. ``order`` is the page column that
     tells which of several pages with one id comes first.
     """
-    wanted = id_range(pages, *bounds, "page_id")
-    if processed is not None:
-        wanted = skip_processed(wanted, processed, "page_id")
+    wanted = pages_to_parse(pages, bounds, existing, processed)
     wanted = wanted.withColumn("__order", F.col(order))
     articles = extract_articles(wanted, link_prefix, min_title_chars, min_content_chars, ["__order"])
-    chosen = filter_categories(articles, selection)
-    if existing is None:
-        return first_per_id(chosen.filter(has_id()), "__order").drop("__order")
-    return new_rows(existing, chosen, "__order").drop("__order")
+    chosen = stored(filter_categories(articles, selection).filter(has_id()), "scanned")
+    return first_per_id(chosen, "__order").drop("__order")
+
+
+def page_articles(
+    pages: DataFrame, bounds: tuple[int, int], link_prefix: str, order: str = "page_id", **limits: int
+) -> DataFrame:
+    """Accepted articles of the pages in an id range, with ``position``; parsed once and stored.
+
+    The range reaches the page scan, so that no other page is parsed.
+    """
+    wanted = id_range(pages, *bounds, "page_id").withColumn("position", F.col(order))
+    return stored(extract_articles(wanted, link_prefix, keep=["position"], **limits), "page-articles")
 
 
 @dataclass
 class ScanReport:
-    """What became of each id, the progress by batch, and the save points."""
+    """What became of each id, and the progress by batch."""
 
     outcome: DataFrame
     progress: DataFrame
-    saves: DataFrame
 
 
 def scan_report(
@@ -83,17 +103,23 @@ def scan_report(
     bounds: tuple[int, int],
     batch_size: int,
     reverse: bool = True,
-    frequency: int = DEFAULT_SAVE_FREQUENCY,
     step: int = 1,
     selection: Sequence[str] | None = None,
     seen: DataFrame | None = None,
+    order: str | None = None,
 ) -> ScanReport:
-    """Report on a batched scan that can find ``articles``, one row per id."""
+    """Report on a batched scan that can find ``articles``."""
     plan = batch_plan(articles.sparkSession, *bounds, batch_size, step, reverse)
-    outcome = scan_outcome(plan, articles, selection, seen)
-    progress = batch_progress(outcome)
-    batches = max(0, bounds[1] - bounds[0]) // batch_size + 1
-    return ScanReport(outcome, progress, save_points(progress, frequency, batches))
+    outcome = scan_outcome(plan, articles, selection, seen, order)
+    return ScanReport(outcome, batch_progress(outcome))
+
+
+def page_scan_report(
+    pages: DataFrame, bounds: tuple[int, int], batch_size: int, link_prefix: str, order: str = "page_id", **options
+) -> ScanReport:
+    """``scan_report`` from pages; ``options`` as there."""
+    articles = page_articles(pages, bounds, link_prefix, order)
+    return scan_report(articles, bounds, batch_size, order="position", **options)
 
 
 def sample_categories(articles: DataFrame, latest: int, order: str, span: int = SAMPLE_SPAN) -> DataFrame:
@@ -102,12 +128,21 @@ def sample_categories(articles: DataFrame, latest: int, order: str, span: int =
     return ranked_shares(stored(counts, "category-counts"))
 
 
+def page_sample_categories(
+    pages: DataFrame, latest: int, link_prefix: str, order: str = "page_id", span: int = SAMPLE_SPAN
+) -> DataFrame:
+    """``sample_categories`` from pages."""
+    articles = page_articles(pages, newest_span(latest, span), link_prefix, order)
+    return sample_categories(articles, latest, "position", span)
+
+
 @dataclass
 class CategoryAnalysis:
     """Results of an analysis. Only the counts behind them are computed at once."""
 
     listing: DataFrame
     report: DataFrame
+    report_rows: DataFrame
     exported: DataFrame | None
 
 
@@ -129,6 +164,20 @@ def category_analysis(
     return _analysis(scanned, category_counts(saved, order), order, analysis_date, picks)
 
 
+def page_category_analysis(
+    pages: DataFrame,
+    latest: int,
+    link_prefix: str,
+    analysis_date: str,
+    picks: str | None = None,
+    span: int | None = ANALYSIS_SPAN,
+    order: str = "page_id",
+) -> CategoryAnalysis:
+    """``category_analysis`` from pages, each parsed once for listing, report and export."""
+    articles = page_articles(pages, newest_span(latest, span), link_prefix, order)
+    return category_analysis(articles, latest, "position", analysis_date, picks, span)
+
+
 def post_filter(articles: DataFrame, order: str, analysis_date: str, picks: str) -> CategoryAnalysis:
     """Filter a finished corpus by picks; the report counts all of it."""
     return _analysis(articles, category_counts(articles, order), order, analysis_date, picks)
@@ -145,4 +194,5 @@ def _analysis(
         picked = resolve_picks(listing, picks, allow_all=False).select("category").distinct()
         names = [row.category for row in picked.collect()]
         exported = exported_articles(articles, names, order) if names else None
-    return CategoryAnalysis(listing, category_report(counts, analysis_date), exported)
+    document, rows = category_report(counts, analysis_date), category_report_rows(counts, analysis_date)
+    return CategoryAnalysis(listing, document, rows, exported)

@@ -1,10 +1,8 @@
-"""Plans, outcomes, progress and save points."""
-
-import random
+"""Plans, outcomes and progress."""
 
 import pytest
 
-from newsloom.operators.ordering import running_total_by
+from newsloom.operators.ordering import number_rows, running_total_by
 from newsloom.operators.scan import (
     batch_plan,
     batch_progress,
@@ -13,9 +11,6 @@ from newsloom.operators.scan import (
     id_bounds,
     newest_first,
     newest_span,
-    save_frequency,
-    save_every_k,
-    save_points,
     scan_outcome,
     with_fallback,
 )
@@ -47,7 +42,6 @@ def test_newest_span():
 
 def test_choices():
     assert [newest_first(c) for c in ("A", "b ", "", "x")] == [True, False, True, True]
-    assert [save_frequency(c) for c in ("1", " 2", "3", "4", "", "9")] == [25, 50, 100, 200, 100, 100]
     assert preset_bounds("medium", 200_000) == (190_001, 200_000)
     assert preset_bounds("maximum", 7) == (1, 7)
 
@@ -73,41 +67,15 @@ def test_outcome_of_each_id(spark):
     assert {r.id for r in collect_scan(spark, articles, 1, 5, step=2).collect()} == {1, 3, 5}
 
 
-def progress(spark, found):
-    total, rows = 0, []
-    for batch_no, n in enumerate(found):
-        total += n
-        rows.append((batch_no, n, total))
-    return spark.createDataFrame(rows, "batch_no bigint, found bigint, found_so_far bigint").repartition(4)
-
-
-def expected_saves(found, frequency):
-    total, last, saves = 0, 0, []
-    for batch_no, n in enumerate(found):
-        total += n
-        if total >= frequency and total - last >= frequency:
-            saves.append((batch_no, total, False))
-            last = total
-    return saves + ([(len(found) - 1, total, True)] if total else [])
+def test_repeated_articles_count_once(spark):
+    articles = spark.createDataFrame([(1, "B", 2), (1, "A", 1), (1, "A", 3), (2, "B", 1)], "id bigint, category string, position bigint")
+    plan = batch_plan(spark, 1, 3, 2)
+    outcome = scan_outcome(plan, articles, ["A"], order="position").orderBy("id").collect()
+    assert [r.outcome for r in outcome] == ["found", "category not selected", "not found"]
+    assert [r.found for r in batch_progress(scan_outcome(plan, articles)).orderBy("batch_no").collect()] == [1, 1]
 
 
-@pytest.mark.parametrize(
-    "found, frequency",
-    [
-        ([30, 30, 30, 60, 10], 50),
-        ([10, 10], 50),
-        ([50], 50),
-        ([0, 0], 25),
-        ([random.Random(1).randrange(40) for _ in range(700)], 100),
-        ([random.Random(2).randrange(4) for _ in range(5000)], 25),
-    ],
-)
-def test_save_points(spark, found, frequency):
-    rows = save_points(progress(spark, found), frequency).collect()
-    assert sorted(map(tuple, rows), key=lambda r: (r[2], r[0])) == expected_saves(found, frequency)
-
-
-def test_progress_and_saves_of_an_unbatched_scan(spark):
+def test_progress_of_a_long_scan(spark):
     outcome = batch_plan(spark, 1, 3000, 7).withColumn(
         "outcome", F.when(F.col("id") % 3 == 0, "found").otherwise("not found")
     )
@@ -117,8 +85,6 @@ def test_progress_and_saves_of_an_unbatched_scan(spark):
         total += row.found
         assert row.found_so_far == total
     assert total == 1000 and sum(r.ids for r in rows) == 3000
-    saves = save_every_k(outcome).collect()
-    assert len(saves) == 201 and [tuple(r) for r in saves if r.final] == [(2997, 1000, True)]
 
 
 def test_running_total_crosses_buckets(spark):
@@ -128,3 +94,14 @@ def test_running_total_crosses_buckets(spark):
     for row in result:
         total += row.v
         assert row.total == total
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.range(5000).select((F.col("id") % 97).alias("v"), F.col("id").alias("w")).repartition(5)
+    numbered, total = number_rows(rows, [F.desc("v"), "w"], "no")
+    found = numbered.orderBy("no").collect()
+    assert total == 5000 and [r.no for r in found] == list(range(5000))
+    assert [(r.v, r.w) for r in found] == sorted(((r.v, r.w) for r in found), key=lambda x: (-x[0], x[1]))
+    ties, total = number_rows(rows.select(F.lit(1).alias("v")), ["v"], "no")
+    assert total == 5000 and sorted(r.no for r in ties.collect()) == list(range(5000))
+    assert number_rows(rows.limit(0), ["v"], "no")[1] == 0
