@@ -133,11 +133,12 @@ def followed(documents: DataFrame, compute: Callable, added: str, parts: int | N
     if not heads:
         return spark.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, {added}")
     before = {row["r"]: heads[i - 1]["r"] for i, row in enumerate(heads)}
+    # One row per range, hence safe to broadcast; the planner cannot know.
     head_rows = spark.createDataFrame(
         [(row["r"], row["head"]["doc_id"], row["head"]["h"], before[row["r"]]) for row in heads], "r int, i bigint, g bigint, b int"
     )
     at_head = (keyed["r"] == head_rows["r"]) & keyed["doc_id"].eqNullSafe(head_rows["i"]) & (keyed["h"] == head_rows["g"])
-    guests = keyed.join(head_rows, at_head).groupBy("b").agg(F.min("text").alias("text"))
+    guests = keyed.join(F.broadcast(head_rows), at_head).groupBy("b").agg(F.min("text").alias("text"))
     guests = guests.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("h"), F.col("b").alias("r"), F.lit(1).alias("guest"))
     dealt = keyed.withColumn("guest", F.lit(0)).unionByName(guests).repartitionById(parts, "r")
     names = [part.split()[0] for part in added.split(",")]
