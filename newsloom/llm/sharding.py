@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import text_or_empty, without
-from newsloom.session import stored
+from newsloom.operators.ordering import number_rows
 
 ROUNDS = 6
 
@@ -74,36 +74,10 @@ def row_at(shard: int, slot: int, total: int, shards: int, seed: int) -> int:
     return int(permute(np.array([slot * shards + shard]), total, seed, back=True)[0])
 
 
-def number_rows(rows: DataFrame, order_by: Sequence[str], column: str = "row_number") -> tuple[DataFrame, int]:
-    """Rows with gapless numbers in the order of ``order_by``, and how many there are.
-
-    Rows are dealt by ranges, sorted and numbered within each, and written once: the
-    ranges come from a sample, so the numbers must not be computed twice. Only the
-    sizes of the ranges reach the driver. Ties are spread over several ranges.
-    """
-    spark = rows.sparkSession
-    inner = ("__tie", "__range", "__place")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in order_by]
-    source = without(rows, column, *inner).withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = source.repartitionByRange(parts, *keys, "__tie").sortWithinPartitions(*keys, "__tie").drop("__tie")
-    first = F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
-    dealt = stored(
-        dealt.select("*", F.spark_partition_id().alias("__range"), (F.monotonically_increasing_id() - first).alias("__place")),
-        "numbered",
-    )
-    starts, total = [], 0
-    for row in dealt.groupBy("__range").count().orderBy("__range").collect():
-        starts.append((row["__range"], total))
-        total += row["count"]
-    offsets = spark.createDataFrame(starts, "__range int, __start bigint")
-    numbered = dealt.join(offsets, "__range").withColumn(column, F.col("__start") + F.col("__place"))
-    return numbered.drop(*inner, "__start"), total
-
-
 def shard_rows(rows: DataFrame, order_by: Sequence[str], shards: int, seed: int = 0) -> DataFrame:
     """``rows`` with row_number, shard and slot."""
-    numbered, total = number_rows(without(rows, "shard", "slot"), order_by)
+    source = without(rows, "row_number", "shard", "slot", "__tie", "__range", "__place", "__start", "__at")
+    numbered, total = number_rows(source, order_by, "row_number")
 
     @F.pandas_udf("bigint")
     def target(numbers: pd.Series) -> pd.Series:
