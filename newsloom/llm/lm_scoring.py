@@ -37,6 +37,7 @@ END = 256  # the symbol after a text's last byte
 ALPHABET = 257
 BLOCK_BYTES = 16 << 20  # text in a block
 CHUNK_SYMBOLS = 1 << 17  # symbols taken through the model at a time, apart from longer texts
+LONG_TEXT = 1 << 20  # a text is read in parts of this many bytes, each with contexts and refinement of its own
 SLOTS = (20, 22, 22, 22)  # bits of a slot number, per predictor
 CHUNK = 1 << 17  # counters in a chunk of a table
 TASKS_A_SUM = 64  # tables added up in the first step of two
@@ -77,8 +78,10 @@ def token_list(raw: bytes) -> list[bytes]:
 # ---- symbols, contexts and bits ----
 
 
-def symbols_of(texts: list[bytes]) -> np.ndarray:
-    """Bytes of the texts, each followed by the end."""
+def symbols_of(texts: list[bytes], ended: bool = True) -> np.ndarray:
+    """Bytes of the texts, each followed by the end; not so the only part of a text that goes on."""
+    if not ended:
+        return np.frombuffer(texts[0], np.uint8).astype(np.int64)
     sizes = np.array([len(t) + 1 for t in texts])
     symbols = np.full(int(sizes.sum()), END, np.int64)
     inside = np.ones(len(symbols), bool)
@@ -139,8 +142,8 @@ def prefix_codes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Bits:
     """The bits of some texts: of which symbol each is, its value, and its slot for each predictor."""
 
-    def __init__(self, texts: list[bytes], lengths: np.ndarray, codes: np.ndarray) -> None:
-        self.symbols = symbols_of(texts)
+    def __init__(self, texts: list[bytes], lengths: np.ndarray, codes: np.ndarray, ended: bool = True) -> None:
+        self.symbols = symbols_of(texts, ended)
         before, self.contexts = contexts_of(self.symbols)
         length, code = lengths[before, self.symbols], codes[before, self.symbols]
         self.symbol = np.repeat(np.arange(len(self.symbols), dtype=np.int32), length)
@@ -156,16 +159,23 @@ class Bits:
         return mixed >> np.uint32(32 - SLOTS[predictor])
 
 
-def bundles(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in runs of some size, with the number of the first."""
-    start, size = 0, 0
+def bundles(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bool]]:
+    """Texts in runs of some size, with the number of the first; a part of a long text that goes on comes alone, as not ended."""
+    start, held, size = 0, [], 0
     for i, text in enumerate(texts):
+        while len(text) > LONG_TEXT:
+            if held:
+                yield start, held, True
+            yield i, [text[:LONG_TEXT]], False
+            text = text[LONG_TEXT:]
+            start, held, size = i, [], 0
+        held.append(text)
         size += len(text)
         if size >= CHUNK_SYMBOLS:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+            yield start, held, True
+            start, held, size = i + 1, [], 0
+    if held:
+        yield start, held, True
 
 
 # ---- the model ----
@@ -195,10 +205,10 @@ class Model:
     def losses(self, texts: list[bytes]) -> np.ndarray:
         """Minus the natural log probability of each text."""
         result = np.zeros(len(texts))
-        for start, some in bundles(texts):
-            bits = Bits(some, self.lengths, self.codes)
+        for start, some, ended in bundles(texts):
+            bits = Bits(some, self.lengths, self.codes, ended)
             odds, gate = self.odds(bits)
-            sizes = np.array([len(t) + 1 for t in some])
+            sizes = np.array([len(t) + ended for t in some])
             text = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             begin = np.cumsum(sizes) - sizes
             segment = ((np.arange(len(text)) - begin[text]) // SEGMENT).astype(np.int32)
@@ -222,7 +232,7 @@ class Model:
                     bend += np.bincount(of, weights=z * z * wrong * (1 - wrong), minlength=len(bend))
                     scale = np.clip(scale + slope / (bend + 20), 0.3, 3).astype(np.float32)
                     slope[:] = 0
-            result[start : start + len(some)] = lost
+            result[start : start + len(some)] += lost
         return result
 
 
@@ -308,8 +318,8 @@ def symbol_pairs(blocks: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ALPHABET * ALPHABET, np.int64)
         for part in slices(batches, 1):
-            for _, some in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
-                symbols = symbols_of(some)
+            for _, some, ended in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
+                symbols = symbols_of(some, ended)
                 before = np.append(END, symbols[:-1])
                 counts += np.bincount(before * ALPHABET + symbols, minlength=len(counts))
         at = np.flatnonzero(counts)
@@ -352,22 +362,22 @@ def trained(blocks: DataFrame) -> Model:
     lengths, codes = prefix_codes(symbol_pairs(blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << bits, np.int64) for bits in SLOTS]
+        tables = [np.zeros(2 << bits, np.int32) for bits in SLOTS]
         seen = False
         for part in slices(batches, 1):
-            for _, some in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
-                bits, seen = Bits(some, lengths, codes), True
+            for _, some, ended in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
+                bits, seen = Bits(some, lengths, codes, ended), True
                 value = bits.value.astype(np.uint32)
                 for k, table in enumerate(tables):
                     at, n = np.unique((bits.slots(k) << np.uint32(1)) | value, return_counts=True)
-                    table[at] += n
+                    table[at] += n.astype(np.int32)
         if seen:
             group = TaskContext.get().partitionId() // TASKS_A_SUM
             for k, table in enumerate(tables):
                 for chunk in range(len(table) // CHUNK):
                     data = table[chunk * CHUNK : (chunk + 1) * CHUNK]
                     if data.any():
-                        columns = [pa.array([x]) for x in (k, chunk, group, _squeezed(data.tobytes()))]
+                        columns = [pa.array([x]) for x in (k, chunk, group, _squeezed(data.astype(np.int64).tobytes()))]
                         yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "part", "data"])
 
     counted = blocks.select("held", "texts").mapInArrow(run, "kind bigint, chunk bigint, part bigint, data binary")

@@ -81,6 +81,16 @@ def test_bit_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-5) and len(bits.symbols) == 1
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LONG_TEXT", 1000)
+    texts = [b"ab", b"x" * 3500, b"", b"cd " * 300]
+    parts = [(i, list(map(len, some)), ended) for i, some, ended in lm_scoring.bundles(texts)]
+    assert parts == [(0, [2], True), (1, [1000], False), (1, [1000], False), (1, [1000], False), (1, [500, 0, 900], True)]
+    model = lm_scoring.Model(*lm_scoring.prefix_codes(np.zeros((257, 257), np.int64)), [np.zeros(1 << b, np.int16) for b in lm_scoring.SLOTS])
+    # Even bits: the code lengths.
+    assert model.losses(texts)[[0, 2]] == pytest.approx([-np.log(p) for p in (2.0 ** -sum(model.lengths[a, b] for a, b in ((256, 97), (97, 98), (98, 256))), 2.0 ** -float(model.lengths[256, 256]))])
+
+
 def test_scores_do_not_depend_on_partitioning(documents):
     docs = documents([(i, f"the {i % 7} quick brown foxes jump over {i % 3} lazy dogs " * 5) for i in range(60)])
     first = sorted(map(tuple, lm_scoring.score_documents(docs).collect()))
