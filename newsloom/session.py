@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -59,8 +60,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-# Folders of stored results by owner: the process, or the innermost ``scratch``.
-_OWNED: list[list[str]] = [[]]
+# Folders of stored results by owner: the innermost ``scratch`` of the thread, else the process.
+_PROCESS: list[str] = []
+_BLOCKS = threading.local()
+
+
+def _owner() -> list[str]:
+    blocks = getattr(_BLOCKS, "open", None)
+    return blocks[-1] if blocks else _PROCESS
 
 
 def _remove(paths: list[str]) -> None:
@@ -73,22 +80,21 @@ def _remove(paths: list[str]) -> None:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Results stored inside belong to this block and are removed at its end.
+    """Results that this thread stores inside belong to this block and are removed at its end.
 
     So what is computed from them has to be written or collected inside as well.
     """
-    _OWNED.append([])
+    _BLOCKS.open = [*getattr(_BLOCKS, "open", []), []]
     try:
         yield
     finally:
-        _remove(_OWNED.pop())
+        _remove(_BLOCKS.open.pop())
 
 
 @atexit.register
 def _remove_all() -> None:
     with suppress(Exception):  # the JVM may be gone
-        for paths in _OWNED:
-            _remove(paths)
+        _remove(_PROCESS)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -100,6 +106,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     enclosing ``scratch`` block, or of the process.
     """
     path = shared_folder(df.sparkSession, purpose)
-    _OWNED[-1].append(path)
+    _owner().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
