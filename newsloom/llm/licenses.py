@@ -31,7 +31,6 @@ SENTENCES = {
     "mit.copies": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit.as_is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
     "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "isc.as_is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
     "bsd.grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
@@ -79,7 +78,7 @@ RULES = [
 WITHIN = [("BSD-3-Clause", "BSD-2-Clause")]
 
 # Every known sentence holds one of these.
-NEEDED = "(?i)licen|permission|warrant|redistribut"
+NEEDED = "(?i)licen|permission|warrant|redistribut|software"
 KEPT = "[^a-z0-9.;:!?\n]+"
 LINE_ENDS = "[.;:!?]+ |[.;:!?]*\n"
 SENTENCE_ENDS = "[.;:!?]+ "

@@ -1,6 +1,7 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and clashing names; and the parts of the operators."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -258,6 +259,11 @@ def test_licence_rules(documents):
     assert found == {1: ["MIT"], 2: ["MIT"], 3: ["BSD-2-Clause"], 4: ["BSD-3-Clause"], 5: [], 6: ["Apache-2.0", "GPL-3.0"], 7: []}
 
 
+def test_texts_left_uncut_hold_no_known_sentence():
+    assert all(re.search(licenses.NEEDED, sentence) for sentence in licenses.KNOWN)
+    assert {name for _, names in licenses.RULES for name in names} == set(licenses.SENTENCES)
+
+
 def test_licence_scan_is_native(documents):
     text = licenses.scan_licences(documents(ODD))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
