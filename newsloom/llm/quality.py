@@ -124,9 +124,9 @@ def fences(counts: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) ->
     packed = wide.select("level", "lang", "source", "rows", F.struct(*names).alias("own"))
     groups = packed.where("level = 0").select("lang", "source", "rows", "own")
     languages = packed.where("level = 1").select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), F.col("own").alias("l_own"))
-    everything = packed.where("level = 2").select(F.lit(2).alias("all"), F.col("own").alias("a_own"))
-    joined = groups.join(languages, F.col("lang").eqNullSafe(F.col("l"))).withColumn("all", F.lit(2)).join(everything, "all")
-    chosen = F.when(F.col("rows") >= min_rows, F.col("own")).when(F.col("l_rows") >= min_rows, F.col("l_own")).otherwise(F.col("a_own"))
+    everything = packed.where("level = 2").select("own").scalar()
+    joined = groups.join(languages, F.col("lang").eqNullSafe(F.col("l")))
+    chosen = F.when(F.col("rows") >= min_rows, F.col("own")).when(F.col("l_rows") >= min_rows, F.col("l_own")).otherwise(everything)
     return joined.select("lang", "source", chosen.alias("use")).select("lang", "source", "use.*")
 
 
