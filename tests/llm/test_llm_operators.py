@@ -240,6 +240,12 @@ def test_sketch_buckets(spark):
     assert edges[:5] == [0, 1, 63, 64, 64] and edges[5] == 992 and 0 <= 10**12 - edges[6] < 10**12 / 32
 
 
+def test_fences_join_by_keys_only(documents):
+    counts = quality.measured(quality.texts_of(documents(ODD)))
+    text = quality.judge(counts, quality.fences(counts))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
 # ---- 8
 
 
