@@ -35,7 +35,7 @@ from newsloom.session import stored
 
 END = 256  # the symbol after a text's last byte
 ALPHABET = 257
-BLOCK_BYTES = 16 << 20  # text in a block
+BLOCK_BYTES = 10 << 20  # text in a block
 CHUNK_SYMBOLS = 1 << 17  # symbols taken through the model at a time, apart from longer texts
 LONG_TEXT = 1 << 20  # a text is read in parts of this many bytes, each with contexts and refinement of its own
 SLOTS = (20, 22, 22, 22)  # bits of a slot number, per predictor
@@ -139,24 +139,42 @@ def prefix_codes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lengths, codes
 
 
+class Code:
+    """The bits of every symbol after every other one, laid out one after the other."""
+
+    def __init__(self, lengths: np.ndarray, codes: np.ndarray) -> None:
+        self.lengths = lengths.ravel().astype(np.int32)
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        self.starts = (ends - self.lengths).astype(np.int32)
+        pair = np.repeat(np.arange(len(ends)), self.lengths)
+        place = np.arange(len(pair)) - self.starts[pair]
+        left, code = self.lengths[pair] - place, codes.ravel()[pair]
+        self.value = ((code >> (left - 1)) & 1).astype(np.int8)
+        # Which bit of which symbols this is: the bits before it, and the symbol before.
+        node = ((np.int64(1) << place) | (code >> left)).astype(np.uint32)
+        self.node = node * np.uint32(0x9E3779B1) + (pair // ALPHABET).astype(np.uint32)
+
+
 class Bits:
     """The bits of some texts: of which symbol each is, its value, and its slot for each predictor."""
 
-    def __init__(self, texts: list[bytes], lengths: np.ndarray, codes: np.ndarray, ended: bool = True) -> None:
+    def __init__(self, texts: list[bytes], code: Code, ended: bool = True) -> None:
         self.symbols = symbols_of(texts, ended)
         before, self.contexts = contexts_of(self.symbols)
-        length, code = lengths[before, self.symbols], codes[before, self.symbols]
-        self.symbol = np.repeat(np.arange(len(self.symbols), dtype=np.int32), length)
-        place = np.arange(len(self.symbol), dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
-        left = np.repeat(length, length) - place
-        code = np.repeat(code, length)
-        self.value = ((code >> (left - 1)) & 1).astype(np.int32)
-        node = ((np.int64(1) << place) | (code >> left)).astype(np.uint32)
-        self.node = node * np.uint32(0x9E3779B1) + np.repeat(before, length).astype(np.uint32)
+        pair = before * ALPHABET + self.symbols
+        self.lengths = code.lengths[pair]
+        ends = np.cumsum(self.lengths, dtype=np.int32)
+        self.symbol = np.repeat(np.arange(len(pair), dtype=np.int64), self.lengths)
+        shift = code.starts[pair] - (ends - self.lengths)
+        at = np.arange(len(self.symbol), dtype=np.int32) + shift[self.symbol]
+        self.value, self.node = code.value[at], code.node[at]
 
     def slots(self, predictor: int) -> np.ndarray:
-        mixed = (self.contexts[predictor][self.symbol] ^ self.node) * np.uint32(0x2C1B3C6D)
-        return mixed >> np.uint32(32 - SLOTS[predictor])
+        mixed = self.contexts[predictor][self.symbol]
+        mixed ^= self.node
+        mixed *= np.uint32(0x2C1B3C6D)
+        mixed >>= np.uint32(32 - SLOTS[predictor])
+        return mixed
 
 
 def bundles(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bool]]:
@@ -192,47 +210,51 @@ def slot_values(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, lengths: np.ndarray, codes: np.ndarray, tables: list[np.ndarray]) -> None:
         self.lengths, self.codes, self.tables = lengths, codes, tables
+        self.code = Code(lengths, codes)
+        self.weights = [np.ascontiguousarray(w) for w in (WEIGHTS / UNIT).astype(np.float32).T]
 
     def odds(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
         """Mixed log odds and gate of each bit."""
         found = [self.tables[k][bits.slots(k)] for k in range(len(SLOTS))]
-        gate = ((found[2] & 3) << 2) | (found[1] & 3)
+        gate = (((found[2] & 3) << 2) | (found[1] & 3)).astype(np.int64)
         mixed = np.zeros(len(gate), np.float32)
         for k, values in enumerate(found):
-            mixed += (values >> 2).astype(np.float32) * (WEIGHTS[:, k] / UNIT).astype(np.float32)[gate]
+            term = self.weights[k][gate]
+            term *= values >> 2
+            mixed += term
         return mixed, gate
 
     def losses(self, texts: list[bytes]) -> np.ndarray:
         """Minus the natural log probability of each text."""
         result = np.zeros(len(texts))
         for start, some, ended in bundles(texts):
-            bits = Bits(some, self.lengths, self.codes, ended)
+            bits = Bits(some, self.code, ended)
             odds, gate = self.odds(bits)
             sizes = np.array([len(t) + ended for t in some])
-            text = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             begin = np.cumsum(sizes) - sizes
-            segment = ((np.arange(len(text)) - begin[text]) // SEGMENT).astype(np.int32)
-            state = text[bits.symbol] * np.int32(16) + gate
-            wave = segment[bits.symbol]
-            # Signed so that right predictions are positive.
-            right = np.where(bits.value == 1, odds, -odds)
-            order = np.argsort(wave.astype(np.uint16) if wave.max() < 1 << 16 else wave, kind="stable")
-            ends = np.cumsum(np.bincount(wave))
+            # Bits by segment, so that each wave of segments is a slice; within it texts stay in order.
+            text = np.repeat(np.arange(len(some)), sizes)
+            segment = ((np.arange(len(text)) - begin[text]) // SEGMENT).astype(np.uint16 if len(text) < SEGMENT << 16 else np.int64)
+            order = np.argsort(np.repeat(segment, bits.lengths), kind="stable")
+            ends = np.cumsum(np.bincount(segment, weights=bits.lengths)).astype(np.int64)
+            # Signed so that right predictions are negative.
+            wrong_way = np.where(bits.value == 1, -odds, odds)[order]
+            state = ((text * 16)[bits.symbol] + gate)[order]
             scale = np.ones(16 * len(some), np.float32)
-            slope, bend = (np.zeros(16 * len(some)) for _ in range(2))
-            lost = np.zeros(len(some))
+            bend = np.full(len(scale), 20.0)
+            lost = np.zeros(len(scale))
             for low, high in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                chosen = order[low:high]
-                z, of = right[chosen], state[chosen]
-                wrong = 1 / (1 + np.exp(np.minimum(z * scale[of], 60)))
-                lost += np.bincount(of >> 4, weights=-np.log1p(-np.minimum(wrong, 1 - 1e-7)), minlength=len(some))
+                z, of = wrong_way[low:high], state[low:high]
+                ratio = np.exp(np.minimum(z * scale[of], np.float32(60)))
+                lost += np.bincount(of, weights=np.log(1 + ratio), minlength=len(scale))
                 if high < len(order):
                     # A step of Newton's method on all segments so far, held towards a factor of 1.
-                    slope += np.bincount(of, weights=z * wrong, minlength=len(slope))
-                    bend += np.bincount(of, weights=z * z * wrong * (1 - wrong), minlength=len(bend))
-                    scale = np.clip(scale + slope / (bend + 20), 0.3, 3).astype(np.float32)
-                    slope[:] = 0
-            result[start : start + len(some)] += lost
+                    wrong = ratio / (1 + ratio)
+                    slope = z * wrong
+                    bend += np.bincount(of, weights=slope * z * (1 - wrong), minlength=len(scale))
+                    slope = np.bincount(of, weights=slope, minlength=len(scale))
+                    scale = np.clip(scale - slope / bend, 0.3, 3).astype(np.float32)
+            result[start : start + len(some)] += lost.reshape(-1, 16).sum(axis=1)
         return result
 
 
@@ -363,10 +385,10 @@ def trained(blocks: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << bits, np.int32) for bits in SLOTS]
-        seen = False
+        code, seen = Code(lengths, codes), False
         for part in slices(batches, 1):
             for _, some, ended in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
-                bits, seen = Bits(some, lengths, codes, ended), True
+                bits, seen = Bits(some, code, ended), True
                 value = bits.value.astype(np.uint32)
                 for k, table in enumerate(tables):
                     at, n = np.unique((bits.slots(k) << np.uint32(1)) | value, return_counts=True)

@@ -71,10 +71,10 @@ def test_bit_probabilities_sum_to_one():
     losses = model.losses([stem + bytes([b]) for b in range(256)])
     assert np.exp(-losses).sum() < 1
     # The end after the stem takes what the 256 bytes leave, so first symbols alone sum to one.
-    bits = lm_scoring.Bits([b""], model.lengths, model.codes)
+    bits = lm_scoring.Bits([b""], model.code)
     total = 0.0
     for symbol in range(257):
-        some = lm_scoring.Bits([b"" if symbol == 256 else bytes([symbol])], model.lengths, model.codes)
+        some = lm_scoring.Bits([b"" if symbol == 256 else bytes([symbol])], model.code)
         odds, _ = model.odds(some)
         mine = some.symbol == 0
         right = np.where(some.value == 1, odds, -odds)[mine]
