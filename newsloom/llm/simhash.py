@@ -272,7 +272,8 @@ def classified(rows: DataFrame, keys: Column, radius: int, words: int) -> DataFr
     distinct = stored(rows.select("fingerprint", keys.alias("keys")).distinct(), "fingerprints")
     roots = fingerprint_classes(distinct, F.col("keys"), radius, words)
     rooted = rows.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that no aggregation sits between the shuffle and the join and AQE can split a large class.
+    least = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
     return without(rooted, "component_id").join(least, "root").drop("root")
 
 
