@@ -307,7 +307,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         places.groupBy("g", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "n", "at")).alias("sample")), "contexts"
     )
     # Grams with several distinct contexts; very many are dealt to parts.
-    kinds = distinct.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = stored(distinct.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     parts = F.ceil(F.col("kinds") / PART)
     mixed = distinct.join(kinds, "g").withColumn("parts", parts).withColumn("part", F.pmod("c", "parts"))
     wants = F.collect_list(F.struct("sample.at", "g", "part", "parts", "c", "times"))
@@ -344,6 +344,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     text = text_or_empty()
     named = source.withColumns({"__k": F.xxhash64(text), "__n": F.octet_length(text).cast("bigint")})
     joined = named.join(spans.withColumnRenamed("spans", "__spans"), ["__k", "__n"], "left").drop("__k", "__n")
+    joined = joined.withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     names = source.columns
     position = [c.lower() for c in names].index("text")
 
