@@ -274,11 +274,13 @@ def _plain(data: bytes) -> bytes:
 
 
 def corpus_blocks(documents: DataFrame, held_out_of: tuple[int, int] = (7, 2)) -> DataFrame:
-    """(block, ids, held, texts): normalised texts, compressed in blocks of bounded size, written once."""
+    """(block, rows, texts): normalised texts, compressed in blocks of bounded size, written once.
+
+    ``rows`` holds their ids and whether they are held out, as an Arrow stream.
+    """
     modulus, held = held_out_of
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     source = documents.select("doc_id", (F.pmod(crc, F.lit(modulus)) == held).alias("held"), text_or_empty().alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[pa.Array] = []
@@ -287,10 +289,12 @@ def corpus_blocks(documents: DataFrame, held_out_of: tuple[int, int] = (7, 2)) -
         size, made = 0, TaskContext.get().partitionId() << 32
 
         def block() -> pa.RecordBatch:
-            blob = _squeezed(b"\n".join(texts))
-            lists = [pa.concat_arrays(x) for x in (ids, held)]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            return pa.RecordBatch.from_arrays([pa.array([made]), *lists, pa.array([blob])], ["block", "ids", "held", "texts"])
+            rows = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (ids, held)], ["doc_id", "held_out"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_batch(rows)
+            values = [pa.array([x]) for x in (made, sink.getvalue().to_pybytes(), _squeezed(b"\n".join(texts)))]
+            return pa.RecordBatch.from_arrays(values, ["block", "rows", "texts"])
 
         for part in slices(batches, 64):
             ids.append(part.column(0))
@@ -303,13 +307,17 @@ def corpus_blocks(documents: DataFrame, held_out_of: tuple[int, int] = (7, 2)) -
         if texts:
             yield block()
 
-    schema = f"block bigint, ids array<{kind}>, held array<boolean>, texts binary"
-    return stored(source.mapInArrow(run, schema), "blocks")
+    return stored(source.mapInArrow(run, "block bigint, rows binary, texts binary"), "blocks")
+
+
+def _rows(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
 
 
-def _texts(held: list[bool], blob: bytes, training: bool) -> list[bytes]:
-    texts = _plain(blob).split(b"\n")
-    return [t for t, h in zip(texts, held) if not h] if training else texts
+def _training_texts(part: pa.RecordBatch) -> list[bytes]:
+    """Of one block, given as (rows, texts)."""
+    held = _rows(part.column(0)[0].as_py()).column(1).to_pylist()
+    return [t for t, h in zip(_plain(part.column(1)[0].as_py()).split(b"\n"), held) if not h]
 
 
 def block_tokens(blocks: DataFrame) -> DataFrame:
@@ -317,9 +325,9 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            number, held, blob = (part.column(i)[0].as_py() for i in range(3))
+            number, rows, blob = (part.column(i)[0].as_py() for i in range(3))
             counts: Counter[bytes] = Counter()
-            for text, out in zip(_texts(held, blob, False), held):
+            for text, out in zip(_plain(blob).split(b"\n"), _rows(rows).column(1).to_pylist()):
                 if out:
                     for token in token_list(text):
                         counts.setdefault(token, 0)
@@ -331,7 +339,7 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
                 columns = [pa.array(tokens[at:end], pa.binary()), pa.array([number] * len(n[at:end])), pa.array(n[at:end], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "block", "n"])
 
-    return blocks.select("block", "held", "texts").mapInArrow(run, "token binary, block bigint, n bigint")
+    return blocks.select("block", "rows", "texts").mapInArrow(run, "token binary, block bigint, n bigint")
 
 
 def symbol_pairs(blocks: DataFrame) -> np.ndarray:
@@ -340,14 +348,14 @@ def symbol_pairs(blocks: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ALPHABET * ALPHABET, np.int64)
         for part in slices(batches, 1):
-            for _, some, ended in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
+            for _, some, ended in bundles(_training_texts(part)):
                 symbols = symbols_of(some, ended)
                 before = np.append(END, symbols[:-1])
                 counts += np.bincount(before * ALPHABET + symbols, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["pair", "n"])
 
-    rows = blocks.select("held", "texts").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("rows", "texts").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     pairs = np.zeros(ALPHABET * ALPHABET, np.int64)
     for row in rows:
         pairs[row["pair"]] = row["n"]
@@ -387,7 +395,7 @@ def trained(blocks: DataFrame) -> Model:
         tables = [np.zeros(2 << bits, np.int32) for bits in SLOTS]
         code, seen = Code(lengths, codes), False
         for part in slices(batches, 1):
-            for _, some, ended in bundles(_texts(part.column(0)[0].as_py(), part.column(1)[0].as_py(), True)):
+            for _, some, ended in bundles(_training_texts(part)):
                 bits, seen = Bits(some, code, ended), True
                 value = bits.value.astype(np.uint32)
                 for k, table in enumerate(tables):
@@ -402,7 +410,7 @@ def trained(blocks: DataFrame) -> Model:
                         columns = [pa.array([x]) for x in (k, chunk, group, _squeezed(data.astype(np.int64).tobytes()))]
                         yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "part", "data"])
 
-    counted = blocks.select("held", "texts").mapInArrow(run, "kind bigint, chunk bigint, part bigint, data binary")
+    counted = blocks.select("rows", "texts").mapInArrow(run, "kind bigint, chunk bigint, part bigint, data binary")
     sums = _added(_added(counted, ["kind", "chunk", "part"], False), ["kind", "chunk"], True)
     tables = [np.zeros(1 << bits, np.int16) for bits in SLOTS]
     for row in sums.toLocalIterator():
@@ -421,13 +429,16 @@ def score_documents(documents: DataFrame) -> DataFrame:
     counts = stored(counts, "token-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    kind = dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    kind = dict(documents.dtypes)["doc_id"]
 
+    # No NULLs: rows without a value would make each of them cost a pass over its batch on the way to Python.
+    none = F.lit(b"")
     known = block_tokens(blocks).select("token", "block").join(counts, "token")
-    known = known.select("block", F.lit(0).alias("kind"), "token", "c")
-    texts = blocks.select("block", F.lit(1).alias("kind"), "ids", "held", "texts")
+    known = known.select("block", F.lit(0).alias("kind"), "token", "c", none.alias("rows"), none.alias("texts"))
+    zero = F.lit(0).cast("bigint")
+    texts = blocks.select("block", F.lit(1).alias("kind"), none.alias("token"), zero.alias("c"), "rows", "texts")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = known.unionByName(texts, allowMissingColumns=True).repartition(width, "block").sortWithinPartitions("block", "kind")
+    together = known.unionByName(texts).repartition(width, "block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -442,8 +453,8 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 logs.update(zip(tokens.column(2).to_pylist(), np.log10(tokens.column(3).to_numpy() + 1.0).tolist()))
                 if high == batch.num_rows:
                     continue
-                ids, held, blob = (batch.column(i)[high] for i in (4, 5, 6))
-                some = _texts([], blob.as_py(), False)
+                rows, blob = (batch.column(i)[high].as_py() for i in (4, 5))
+                rows, some = _rows(rows), _plain(blob).split(b"\n")
                 losses = model.losses(some)
                 n_tokens, n_known, base = [], [], []
                 for text in some:
@@ -453,8 +464,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
                     base.append(math.fsum(found) - len(found) * least)
                 sizes = np.array([len(t) + 1 for t in some])
                 columns = [
-                    ids.values,
-                    held.values,
+                    *rows.columns,
                     pa.array(n_tokens, pa.int64()),
                     pa.array(n_known, pa.int64()),
                     pa.array([n] * len(some), pa.int64()),
@@ -465,9 +475,8 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
                 logs = {}
 
-    order = ["block", "kind", "token", "c", "ids", "held", "texts"]
     schema = (
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double, bits_per_byte double"
     )
-    return together.select(*order).mapInArrow(run, schema)
+    return together.mapInArrow(run, schema)
