@@ -10,6 +10,11 @@ with a block of 64 is abandoned once all its counters exceed the radius. A bucke
 fingerprint that is linked, to the smallest of its local component, not all pairs. A bucket larger
 than `CELL` is cut into parts and compared part against part in separate groups, so that none grows with the input.
 
+Where near duplicates are dropped, fingerprints only propose. They are made of the set of shingles, and the radius is wide enough to
+lose none (`radius_for`). Of the texts with such a neighbour the sets are hashed again and brought into the buckets, and only pairs
+with the Jaccard similarity asked for are linked. A pair that shares several buckets is compared in the first
+one, if its texts have no reason to be in the others.
+
 Equal fingerprints meet once. NULL and empty texts have the zero fingerprint, which is linked like any other. Rows
 without doc_id are linked as well; a class of which no row has one has a NULL id. An empty table gives no
 rows. Columns named like the added ones are replaced.
@@ -19,6 +24,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +40,8 @@ CELL = 4096  # fingerprints of one bucket in one group
 SEED = 42
 BANDS, PER_BAND = 8, 2
 BATCH = 1 << 15  # fingerprints compared in one go, apart from larger buckets
+CELL_BYTES = 32 << 20  # shingle hashes of one bucket in one group
+LOOKS = 8  # neighbours in each block of 64 that are looked at for one that no earlier bucket compares
 PLANES = 12  # differences between two looks at whether a block is still alive
 
 
@@ -75,22 +84,35 @@ def _signed(values) -> np.ndarray:
 
 
 def with_fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, bands: bool = False, text: str = "text") -> DataFrame:
-    """``df`` with fingerprint, an array of 64-bit words, and, if asked for, band keys."""
+    """``df`` with fingerprint, an array of 64-bit words, and, if asked for, band keys, and hash and size of the set of shingles.
+
+    With bands the fingerprint is that of the set: repeated shingles count once.
+    """
 
     def compute() -> Callable[[list[str]], list]:
+        import xxhash
+
         def columns(texts: list[str]) -> list:
-            prints, keys = [], []
+            prints, keys, nodes, sizes = [], [], [], []
             for hashes in (shingle_hashes(t, shingle) for t in texts):
+                if bands:
+                    hashes = np.unique(hashes)
+                    nodes.append([xxhash.xxh64_intdigest(hashes.tobytes(), k) for k in range(2)])
+                    sizes.append(len(hashes))
                 prints.append([majority(_remixed(hashes, k)) for k in range(words)])
                 if bands:
                     least = [int(_remixed(hashes, 100 + k).min()) if len(hashes) else 0 for k in range(BANDS * PER_BAND)]
                     keys.append([hash_pair(least[k * PER_BAND : (k + 1) * PER_BAND]) for k in range(BANDS)])
             found = [pa.array([_signed(p) for p in prints], pa.list_(pa.int64()))]
-            return found + [pa.array([_signed(k) for k in keys], pa.list_(pa.int64()))] * bands
+            if bands:
+                found += [pa.array([_signed(x) for x in some], pa.list_(pa.int64())) for some in (keys, nodes)]
+                found.append(pa.array(sizes, pa.int64()))
+            return found
 
         return columns
 
-    return with_columns(df, text, "fingerprint array<bigint>" + ", bands array<bigint>" * bands, compute)
+    added = "fingerprint array<bigint>" + ", bands array<bigint>, node array<bigint>, size bigint" * bands
+    return with_columns(df, text, added, compute)
 
 
 def hash_pair(values: list[int]) -> int:
@@ -286,26 +308,212 @@ def linked_documents(documents: DataFrame, shingle: int = 4, radius: int = 4) ->
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
+# ---- near duplicates: fingerprints propose, sets of shingles decide ----
+
+
+def with_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """``df`` with shingles, the sorted distinct shingle hashes as bytes."""
+
+    def compute() -> Callable[[list[str]], list]:
+        return lambda texts: [pa.array([np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in texts], pa.binary())]
+
+    return with_columns(df, "text", "shingles binary", compute, rows=32)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Sorted rows by whole cells (kind, key, cell, the first columns): the rows of cells with several, their starts and sizes."""
+
+    def several(table: pa.Table, keys: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        sizes = np.diff(np.append(starts, len(keys)))
+        table, sizes = table.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks(), sizes[sizes > 1]
+        return table, np.cumsum(sizes) - sizes, sizes
+
+    held: list[pa.RecordBatch] = []
+    rows = bytes_held = 0
+    for batch in batches:
+        held.append(batch)
+        rows, bytes_held = rows + batch.num_rows, bytes_held + batch.nbytes
+        if rows < BATCH and bytes_held < CELL_BYTES:
+            continue
+        # The last cell may go on in the next batch.
+        table = pa.Table.from_batches(held)
+        keys = columns_of(table, ["kind", "key", "cell"])
+        change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield several(table.slice(0, cut), keys[:cut])
+            held = table.slice(cut).combine_chunks().to_batches()
+            rows, bytes_held = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield several(table, columns_of(table, ["kind", "key", "cell"]))
+
+
+def columns_of(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Whole-number columns side by side."""
+    if not table.num_rows:
+        return np.zeros((0, len(names)), np.int64)
+    return np.ascontiguousarray(np.stack([table.column(n).to_numpy().astype(np.int64) for n in names], axis=1))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, "kind", "key", "cell").sortWithinPartitions("kind", "key", "cell", "n0", "n1")
+
+
+def proposed_rows(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, bands: np.ndarray, kinds: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which rows may have a neighbour within the radius that no earlier bucket and no other cell of this one compares them with."""
+    row, first, lanes = linked_lanes(prints, starts, sizes, radius)
+    inside = (row >= first) & (row < first + 64)
+    lanes = lanes & ~np.where(inside, np.uint64(1) << np.where(inside, row - first, 0).astype(np.uint64), np.uint64(0))
+    chosen = np.zeros(len(prints), bool)
+    live = np.flatnonzero(lanes)
+    for _ in range(LOOKS):
+        mine, other = row[live], first[live] + _lowest(lanes[live])
+        before = (bands[mine] == bands[other]) & (np.arange(bands.shape[1]) < kinds[mine][:, None])
+        new = (sides[mine] != sides[other]) & ~before.any(axis=1)
+        chosen[mine[new]] = chosen[other[new]] = True
+        lanes[live] &= lanes[live] - np.uint64(1)
+        live = live[(lanes[live] != 0) & ~chosen[row[live]]]
+        if not len(live):
+            return chosen
+    chosen[row[live]] = True  # not looked at to the end: compared, needed or not
+    return chosen
+
+
+def similar_roots(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
+    """For each row the first row of its component within the bucket; pairs within the radius are linked by their sets."""
+    row, first, lanes = linked_lanes(prints, starts, sizes, radius)
+    # Each pair once, at its later row.
+    below = np.clip(row - first, 0, 64)
+    lanes = lanes & np.where(below == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(below, 63).astype(np.uint64)) - np.uint64(1))
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    roots = np.arange(len(prints))
+    amounts = np.array([len(s) for s in sets])
+    over, under = similarity.numerator, similarity.denominator
+
+    def similar(i: int, j: int) -> bool:
+        both = np.concatenate((sets[i], sets[j]))
+        both.sort(kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common * under >= over * (len(both) - common)
+
+    live = np.flatnonzero(lanes)
+    while len(live):
+        # One pair of each row at a time, so that most others are connected before they are looked at.
+        at = live[np.append(True, row[live][1:] != row[live][:-1])]
+        mine, other = row[at], first[at] + _lowest(lanes[at])
+        lanes[at] &= lanes[at] - np.uint64(1)
+        less, more = np.minimum(amounts[mine], amounts[other]), np.maximum(amounts[mine], amounts[other])
+        tested = (roots[mine] != roots[other]) & (less * under >= more * over)
+        pairs = [(i, j) for i, j in zip(mine[tested].tolist(), other[tested].tolist()) if similar(i, j)]
+        if pairs:
+            a, b = np.array(pairs).T
+            while (roots[a] != roots[b]).any():
+                np.minimum.at(roots, np.maximum(roots[a], roots[b]), np.minimum(roots[a], roots[b]))
+                while (roots != roots[roots]).any():
+                    roots = roots[roots]
+            # Rows of their bucket's largest component have no business with each other any more.
+            count, largest = np.bincount(roots, minlength=len(roots)), starts.copy()
+            for k in np.flatnonzero(sizes > 2).tolist():
+                largest[k] += count[starts[k] : starts[k] + sizes[k]].argmax()
+            inside = roots == largest[bucket]
+            padded = np.zeros(-(-len(roots) // 64) * 64, bool)
+            padded[: len(roots)] = inside
+            masks = np.packbits(padded, bitorder="little").view("<u8")
+            done = live[inside[row[live]]]
+            lanes[done] &= ~masks[first[done] // 64]
+        live = live[lanes[live] != 0]
+    return roots
+
+
+def similar_edges(nodes: DataFrame, texts: DataFrame, radius: int, words: int, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between the sets of shingles that are similar, from ``nodes`` (one row per set) and ``texts`` (of nodes, by doc_id and __hash)."""
+    names, keys = [f"w{k}" for k in range(words)], [f"b{k}" for k in range(BANDS)]
+    ids = [F.element_at("node", k + 1).alias(f"n{k}") for k in range(2)]
+    split = [F.element_at("fingerprint", k + 1).alias(name) for k, name in enumerate(names)]
+    located = nodes.select("node", "fingerprint", "bands", "size", F.posexplode("bands").alias("kind", "key"))
+    weighed = located.groupBy("kind", "key").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / CELL, F.sum("size") * 8 / CELL_BYTES)).cast("int").alias("parts"))
+    large = stored(weighed.where("n > 1 AND parts > 1").select(F.col("kind").alias("k"), F.col("key").alias("v"), "parts"), "large-buckets")
+    parted = located.join(large, (F.col("kind") == F.col("k")) & (F.col("key") == F.col("v")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, part) * F.col("parts") + F.greatest(o, part))
+    bands = [F.element_at("bands", k + 1).alias(name) for k, name in enumerate(keys)]
+    spread = parted.select("kind", "key", F.explode(cells).alias("cell"), "parts", part.alias("part"), *ids, *split, *bands)
+    # Rows of one part meet in the cell of that part alone.
+    alone = F.expr("cell div parts = cell % parts")
+    side = F.when(alone, F.col("n0")).otherwise(F.col("part").cast("bigint")).alias("side")
+    dealt = _dealt(spread.select("kind", "key", F.col("cell").cast("bigint").alias("cell"), "n0", "n1", *names, *keys, side))
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, sizes in whole_cells(batches):
+            if len(sizes):
+                held = columns_of(table, ["kind", "key", "cell", "n0", "n1"])
+                prints = columns_of(table, names).view(np.uint64)
+                chosen = proposed_rows(prints, starts, sizes, radius, columns_of(table, keys), held[:, 0], table.column("side").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held[chosen].T], ["kind", "key", "cell", "n0", "n1"])
+
+    found = stored(dealt.mapInArrow(propose, "kind bigint, key bigint, cell bigint, n0 bigint, n1 bigint"), "proposed")
+    wanted = nodes.select(F.col("first.doc_id").alias("__id"), F.col("first.__hash").alias("__h"), *ids, *split).join(found.select("n0", "n1").distinct(), ["n0", "n1"], "left_semi")
+    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
+    sets = with_sets(chosen.select("n0", "n1", *names, "text"), shingle).drop("text")
+    placed = _dealt(found.join(sets, ["n0", "n1"]).select("kind", "key", "cell", "n0", "n1", *names, "shingles"))
+    exact = Fraction(str(similarity))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, sizes in whole_cells(batches):
+            if len(sizes):
+                held = columns_of(table, ["n0", "n1"])
+                sets = [np.frombuffer(x.as_buffer(), "<u8") for chunk in table.column("shingles").chunks for x in chunk]
+                roots = similar_roots(columns_of(table, names).view(np.uint64), starts, sizes, radius, sets, exact)
+                linked = np.flatnonzero(roots != np.arange(len(roots)))
+                both = np.hstack([held[roots[linked]], held[linked]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both.T], ["a0", "a1", "b0", "b1"])
+
+    edges = placed.mapInArrow(decide, "a0 bigint, a1 bigint, b0 bigint, b1 bigint")
+    return edges.select(F.array("a0", "a1").alias("a"), F.array("b0", "b1").alias("b")).distinct()
+
+
+@cache
+def _differing(similarity: float) -> float:
+    """The largest expected share of differing bits of two sets at least so similar: of large sets, and of small ones, where ties matter."""
+    largest = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    least = Fraction(str(similarity))
+    for common in range(1, 17):
+        for a in range(common + 1):
+            for b in range(a, common + 1):
+                if Fraction(common, common + a + b) < least:
+                    break
+                share = 0.0
+                for ones in range(common + 1):
+                    p, q = (sum(math.comb(n, k) for k in range(n + 1) if 2 * (ones + k) > common + n) / 2**n for n in (a, b))
+                    share += math.comb(common, ones) / 2**common * (p * (1 - q) + q * (1 - p))
+                largest = max(largest, share)
+    return largest
+
+
 def radius_for(similarity: float, words: int) -> int:
-    """Differing bits expected at a Jaccard similarity of shingle sets of one size, and one standard deviation."""
-    cosine = 2 * similarity / (1 + similarity)
-    share, bits = math.acos(cosine) / math.pi, 64 * words
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    """Differing bits that sets at least so similar pass only beyond four standard deviations, whatever their sizes."""
+    share, bits = _differing(similarity), 64 * words
+    return round(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
     """``documents`` with one row of each class of near duplicates: one with the smallest doc_id.
 
-    Texts are hashed where they are read; classes are made of fingerprints. Rows without a doc_id stay only where no
+    Texts are near duplicates if the Jaccard similarity of their shingle sets is ``similarity`` or more, and in one class
+    if a chain of such pairs connects them. Texts are hashed where they are read. Rows without a doc_id stay only where no
     row of their class has one. Among rows equal in doc_id and text any one stays.
     """
     # The key of a row within its class; distinct texts with one doc_id are ordered by their hash.
     keyed = without(documents, "__hash", "__keep", "__copies").withColumn("__hash", F.xxhash64(text_or_empty()))
     texts = keyed.select("doc_id", F.col("__hash"), text_or_empty().alias("text"))
     rows = stored(with_fingerprints(texts, shingle, words, bands=True).drop("text"), "simhash")
-    roots = fingerprint_classes(stored(rows.select("fingerprint", "bands").distinct(), "fingerprints"), F.col("bands"), radius_for(similarity, words), words)
-    rooted = rows.join(roots, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("root"), "doc_id", "__hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash"))
+    nodes = stored(rows.groupBy("node", "fingerprint", "bands", "size").agg(first.alias("first")), "fingerprints")
+    roots = components(similar_edges(nodes, texts, radius_for(similarity, words), words, shingle, similarity))
+    rooted = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "__hash")
     kept = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("__keep"), F.col("first.__hash").alias("__h"))
     copies = rows.groupBy("doc_id", "__hash").count().where("count > 1").select(F.col("doc_id").alias("__twice"), F.col("__hash").alias("__t"))
     kept = stored(kept.join(copies, F.col("__keep").eqNullSafe(F.col("__twice")) & (F.col("__h") == F.col("__t")), "left").select("__keep", "__h", F.col("__t").isNotNull().alias("__copies")), "kept")

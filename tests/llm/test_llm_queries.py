@@ -212,3 +212,37 @@ def test_near_copies_go_and_others_stay(spark, documents):
         assert jaccard(rows[-1][1], copies[1000 + i]) > 0.85
     kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(rows + list(copies.items()))).collect()}
     assert kept == set(range(60))
+
+
+def edited_to(rng, words, low, high):
+    """``words`` with single words replaced until the similarity of five-word shingles is between low and high."""
+    copy = list(words)
+    while jaccard(" ".join(words), " ".join(copy)) > high:
+        copy[int(rng.integers(len(copy)))] = f"edit{rng.integers(10**6)}"
+    return " ".join(copy) if jaccard(" ".join(words), " ".join(copy)) >= low else None
+
+
+def test_the_similarity_of_shingles_decides(spark, documents):
+    rng = np.random.default_rng(5)
+    rows, stay = [], set()
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        far = i % 2 == 1
+        copy = None
+        while copy is None:
+            copy = edited_to(rng, words, *((0.70, 0.79) if far else (0.80, 0.82)))
+        # Repeated sentences do not change a set of shingles much, but would a fingerprint that counts them.
+        rows += [(i, " ".join(words)), (1000 + i, copy + (" " + copy if i % 6 == 0 else ""))]
+        if jaccard(rows[-2][1], rows[-1][1]) < 0.8:
+            stay.add(1000 + i)
+    assert 70 < len(stay) < 110
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(rows)).collect()}
+    assert kept == set(range(150)) | stay
+
+
+def test_cut_cells_find_the_same_near_copies(spark, documents, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([*words[: i % 40], f"new{i}", *words[i % 40 :]])) for i in range(90)]
+    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "CELL_BYTES", 1 << 14)
+    assert [r.doc_id for r in simhash.drop_near_duplicates(documents(rows)).collect()] == [0]
