@@ -141,13 +141,15 @@ def grams(documents: DataFrame) -> DataFrame:
 def _shared(groups: np.ndarray, sides: list[bytes]) -> np.ndarray:
     """How many leading bytes each side shares with another one of its group: with a neighbour in their order."""
     size = len(sides)
-    table = np.zeros((size, 4 + AROUND), np.uint8)
+    table = np.zeros((size, 8 + AROUND), np.uint8)
     table[:, :4] = groups.astype(">u4").view(np.uint8).reshape(-1, 4)
     lengths = np.array([len(s) for s in sides])
     flat = np.frombuffer(b"".join(sides), np.uint8)
-    table[:, 4:][np.arange(AROUND) < lengths[:, None]] = flat
-    order = np.argsort(table.view(f"S{4 + AROUND}")[:, 0], kind="stable")
-    ordered, long = table[order], lengths[order]
+    table[:, 4 : 4 + AROUND][np.arange(AROUND) < lengths[:, None]] = flat
+    # A side that ends in NULs looks like a shorter one, padded: the shorter one comes first.
+    table[:, 4 + AROUND :] = lengths.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = np.argsort(table.view(f"S{8 + AROUND}")[:, 0], kind="stable")
+    ordered, long = table[order, : 4 + AROUND], lengths[order]
     differ = ordered[1:] != ordered[:-1]
     equal = np.where(differ.any(axis=1), differ.argmax(axis=1), 4 + AROUND) - 4
     equal = np.minimum(equal, np.minimum(long[1:], long[:-1]))

@@ -224,6 +224,11 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)} | {200: 199}
 
 
+def test_sides_that_end_in_nul():
+    sides = [b"ab\0", b"ab", b"ab\0c", b"\0\0", b"", b"\0"]
+    assert suffix_dedup._shared(np.zeros(6, np.int64), sides).tolist() == [3, 2, 3, 1, 0, 1]
+
+
 # ---- 7
 
 
