@@ -304,6 +304,19 @@ def _page_sample_categories(spark, sf_dir):
     return page_sample_categories(source, id_bounds(source, "page_id")[1], LINK_PREFIX)
 
 
+@query(
+    "page_sample_repeats",
+    f"""WITH {PAGE_ARTICLES_SQL}, articles AS (
+          SELECT id, category, id AS position FROM page_articles
+          WHERE id BETWEEN greatest(1, (SELECT max(page_id) FROM pages) - 49) AND (SELECT max(page_id) FROM pages)),
+        {LISTING_SQL} SELECT * FROM listing""",
+)
+def _page_sample_repeats(spark, sf_dir):
+    """The same sample of pages that were landed twice: an id counts once."""
+    source = table(spark, sf_dir, "pages")
+    return page_sample_categories(source.unionByName(source), id_bounds(source, "page_id")[1], LINK_PREFIX)
+
+
 @query("post_filter", f"WITH {ARTICLES_SQL}, {LISTING_SQL} SELECT * FROM listing")
 def _post_filter(spark, sf_dir):
     return post_filter(articles(spark, sf_dir), "position", ANALYSIS_DATE, "2").listing

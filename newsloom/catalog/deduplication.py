@@ -102,3 +102,40 @@ def _merge_metrics(spark, sf_dir):
 def _skip_processed(spark, sf_dir):
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return skip_processed(articles(spark, sf_dir), labelled)
+
+
+# Turns as articles whose order ties (the half turns of a conversation) or is missing (every seventh conversation).
+TIES_SQL = f"""
+{TURNS_SQL},
+tied AS (SELECT title, content, id, CASE WHEN id % 7 <> 0 THEN position // 2 END AS "order" FROM turns),
+old AS (SELECT title, content, id, CAST(NULL AS BIGINT) AS "order" FROM turns WHERE id % 5 = 0),
+numbered AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY id ORDER BY "order" NULLS LAST, title NULLS FIRST, content NULLS FIRST) AS rn FROM tied)
+"""
+
+
+def _tied(spark, sf_dir):
+    order = F.when(F.col("id") % 7 != 0, F.expr("position div 2"))
+    return turns(spark, sf_dir).select("title", "content", "id", order.alias("order"))
+
+
+@query(
+    "dedupe_ties",
+    f"""WITH {TIES_SQL} SELECT title, content, id, "order" FROM numbered WHERE rn = 1 OR coalesce(id, 0) = 0""",
+)
+def _dedupe_ties(spark, sf_dir):
+    return dedupe_keep_first(_tied(spark, sf_dir), "order")
+
+
+@query(
+    "merge_ties",
+    f"""WITH {TIES_SQL}
+        SELECT title, content, id, "order" FROM old UNION ALL
+        SELECT title, content, id, "order" FROM numbered
+        WHERE rn = 1 AND id <> 0 AND id NOT IN (SELECT id FROM old WHERE id <> 0)""",
+)
+def _merge_ties(spark, sf_dir):
+    batch = _tied(spark, sf_dir)
+    old = batch.where("id % 5 = 0").withColumn("order", F.lit(None).cast("bigint"))
+    return merge_new(old, batch, "order")

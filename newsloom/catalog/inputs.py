@@ -11,10 +11,11 @@ from newsloom.operators.categories import category_counts
 from newsloom.operators.dedup import merge_new
 from newsloom.operators.extraction import extract_articles
 from newsloom.operators.scan import feed_id_range, feed_ids, with_fallback
-from newsloom.schema import ARTICLE
+from newsloom.schema import ARTICLE, CATEGORY_VOCABULARY
 from newsloom.session import shared_folder
 from newsloom.sources.readers import (
     decode_pages,
+    default_category_list,
     feed_items,
     read_articles,
     read_articles_or_empty,
@@ -142,7 +143,7 @@ def _write_read_default(spark, sf_dir):
         WHERE coalesce(id, 0) <> 0 AND id NOT IN (SELECT id FROM old WHERE id % 9 <> 0)""",
 )
 def _append_corpus(spark, sf_dir):
-    """A corpus with ids of a wrong type in some records is read back, and all articles are merged into it."""
+    """A corpus with ids of a wrong type in some records is read back, and all articles are merged into it, twice in the batch."""
     path = shared_folder(spark, "corpus")
     corpus = articles(spark, sf_dir)
     record = F.to_json(F.struct(*ARTICLE.names))
@@ -150,7 +151,8 @@ def _append_corpus(spark, sf_dir):
     old = corpus.filter(F.col("id") % 3 == 0).select(F.when(F.col("id") % 9 == 0, wrong).otherwise(record).alias("value"))
     old.write.text(path)
     existing = read_articles_or_empty(spark, path)
-    return merge_new(existing, corpus.select(*ARTICLE.names), "id")
+    batch = corpus.select(*ARTICLE.names)
+    return merge_new(existing, batch.unionByName(batch), "id")
 
 
 @query("write_read_by_category", CORPUS_SQL)
@@ -206,6 +208,22 @@ def _read_category_list(spark, sf_dir):
     return read_category_list(spark, path)
 
 
+DEFAULT_NAMES_SQL = ", ".join(f"('{name}', {pos})" for pos, name in enumerate(CATEGORY_VOCABULARY))
+
+
+@query(
+    "default_category_list",
+    f"""WITH vocabulary(category, pos) AS (VALUES {DEFAULT_NAMES_SQL})
+        SELECT v.pos, v.category, count(d.doc_id) AS n
+        FROM vocabulary v LEFT JOIN documents d ON d.doc_id % 20 = v.pos GROUP BY v.pos, v.category""",
+)
+def _default_category_list(spark, sf_dir):
+    """Documents dealt to the built-in categories, counted in the order of the list."""
+    listed = default_category_list(spark).drop("n")
+    dealt = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 20).alias("pos")).agg(F.count("*").alias("n"))
+    return listed.join(dealt, "pos", "left").select("pos", "category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     "write_category_report",
     f"""WITH {ARTICLES_SQL} SELECT category, count(*) AS n FROM

@@ -203,6 +203,15 @@ def _range_scan_maximum(spark, sf_dir):
     return range_scan(pages(spark, sf_dir), None, preset_bounds("maximum", latest), LINK_PREFIX)
 
 
+@query("range_scan_repeats", f"WITH {PAGE_ARTICLES_SQL} SELECT * FROM page_articles WHERE id >= 1")
+def _range_scan_repeats(spark, sf_dir):
+    """All pages, landed twice by a crawl that was repeated, and one of three a third time: no order tells them apart."""
+    source = table(spark, sf_dir, "pages")
+    latest = id_bounds(source, "page_id")[1]
+    landed = source.unionByName(source).unionByName(source.where("page_id % 3 = 0"))
+    return range_scan(spread(landed), None, preset_bounds("maximum", latest), LINK_PREFIX)
+
+
 def _page_progress_sql(batch: int, reverse: bool) -> str:
     article_id = "hi - scan_no" if reverse else "lo + scan_no"
     return f"""{PAGE_ARTICLES_SQL}, bounds AS (SELECT 1 AS lo, max(page_id) AS hi FROM pages),

@@ -1,13 +1,13 @@
 """Keep-first deduplication and insert-only merging by article id.
 
-"First" always follows an explicit order column (or struct), unique within an
-id and not NULL, so results do not depend on partitioning. An id that is NULL
-or 0 counts as absent.
+"First" follows an explicit order column (or struct), so results do not depend on partitioning: the least
+value comes first, NULL last. Of rows that tie, the one comes first that is least column by column, NULL before
+all values; there is always one row per id. An id that is NULL or 0 counts as absent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from newsloom.session import stored
 
@@ -25,19 +25,34 @@ def _repeated(df: DataFrame, order: str, id_column: str) -> DataFrame:
     """
     groups = df.select(F.col(id_column).alias("__id"), F.col(order).alias("__at")).groupBy("__id")
     counted = groups.agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    return stored(counted.where("__n > 1").select("__id", "__first", F.lit(True).alias("__several")), "repeated-ids")
+    return stored(counted.where("__n > 1").select("__id", "__first"), "repeated-ids")
+
+
+def _least(df: DataFrame) -> Column:
+    """The row, whole, that is least column by column; maps have no order and are not compared."""
+    ordered = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.min_by(F.struct(*df.columns), F.struct(*ordered))
 
 
 def _first_rows(df: DataFrame, order: str, id_column: str, repeated: DataFrame) -> DataFrame:
-    # A left join with one row per id on the right: AQE splits a hot id of ``df``.
-    joined = df.join(repeated, F.col(id_column).eqNullSafe(F.col("__id")), "left")
-    return joined.filter(F.col("__several").isNull() | (F.col(order) == F.col("__first"))).select(*df.columns)
+    """Rows of ids that are not ``repeated``, and the first row of each that is.
+
+    Both joins keep rows of ``df``, the side that AQE splits at a hot id. Those that carry the first order value
+    of their id, one unless orders tie, are reduced before they are shuffled.
+    """
+    if repeated.isEmpty():
+        return df
+    same = F.col(id_column).eqNullSafe(F.col("__id"))
+    alone = df.join(repeated, same, "left_anti")
+    candidates = df.join(repeated, same & F.col(order).eqNullSafe(F.col("__first")), "left_semi")
+    first = candidates.groupBy(F.col(id_column).alias("__of")).agg(_least(df).alias("__row"))
+    return alone.unionByName(first.select("__row.*"))
 
 
 def first_per_id(df: DataFrame, order: str, id_column: str = "id") -> DataFrame:
     """First row of each id; rows without an id form one group.
 
-    ``df`` is read twice, once for two of its columns; store it first if it is dear to compute.
+    ``df`` is read up to three times, first for two of its columns; store it if it is dear to compute.
     """
     return _first_rows(df, order, id_column, _repeated(df, order, id_column))
 

@@ -70,7 +70,7 @@ def range_scan(
     """Articles that a scan of an id range adds to a corpus.
 
     Only ``pages_to_parse`` are parsed, and their articles stored once. ``order`` is the page column that
-    tells which of several pages with one id comes first.
+    tells which of several pages with one id comes first; of those that tie the least article does.
     """
     wanted = pages_to_parse(pages, bounds, existing, processed)
     wanted = wanted.withColumn("__order", F.col(order))
@@ -131,9 +131,9 @@ def sample_categories(articles: DataFrame, latest: int, order: str, span: int =
 def page_sample_categories(
     pages: DataFrame, latest: int, link_prefix: str, order: str = "page_id", span: int = SAMPLE_SPAN
 ) -> DataFrame:
-    """``sample_categories`` from pages."""
+    """``sample_categories`` from pages; an id that was landed several times counts once, as first landed."""
     articles = page_articles(pages, newest_span(latest, span), link_prefix, order)
-    return sample_categories(articles, latest, "position", span)
+    return sample_categories(first_per_id(articles, "position"), latest, "position", span)
 
 
 @dataclass

@@ -24,22 +24,6 @@ PAGE = T.StructType(
     ]
 )
 
-RAW_PAGE = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()),
-        T.StructField("body", T.BinaryType()),
-        T.StructField("charset", T.StringType()),
-    ]
-)
-
-REPORT = T.StructType(
-    [
-        T.StructField("analysis_date", T.StringType()),
-        T.StructField("total_categories", T.LongType()),
-        T.StructField("categories", T.MapType(T.StringType(), T.LongType())),
-    ]
-)
-
 # Folder column of a corpus written by category.
 CATEGORY_KEY = "category_key"
 # Folders of such a corpus: a category's name may be longer than a file name, so folders are numbered by its hash.
@@ -80,18 +64,6 @@ SCAN_SPANS = {
 ANALYSIS_SPAN = 200
 SAMPLE_SPAN = 50
 
-# Batch sizes of the scan presets.
-SCAN_BATCHES = {
-    "test": 50,
-    "small": 100,
-    "medium": 500,
-    "large": 500,
-    "massive": 500,
-    "maximum": 500,
-}
-ANALYSIS_BATCH = 50
-SAMPLE_BATCH = 25
-
 # Preview lengths.
 PREVIEW_TITLE_CHARS = 50
 PREVIEW_KEYWORDS_CHARS = 30

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from newsloom.operators.dedup import (
     dedupe_keep_first,
     dedupe_metrics,
+    first_per_id,
     merge_metrics,
     merge_new,
     skip_processed,
@@ -86,3 +87,50 @@ def test_hot_id_does_not_reach_one_task_whole(spark, hot):
     )
     result = dedupe_keep_first(rows, "position")
     assert result.count() == (20_001 if hot else 30_000)
+
+
+def least(rows):
+    """First of (order, text) rows as documented: by order, NULL last, then by text, NULL first."""
+    return min(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.integers(0, 2)), st.sampled_from([None, "", "a", "b"])
+        ),
+        max_size=40,
+    ),
+    st.lists(st.integers(0, 4), max_size=3),
+)
+def test_ties_and_missing_orders_against_plain_python(spark, rows, known):
+    """One row per id whatever ties: the least order, then the least row."""
+    schema = "id bigint, order int, text string"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    existing = spark.createDataFrame([(i, None, "old") for i in known], schema)
+    groups = {}
+    for i, order, text in rows:
+        groups.setdefault(i, []).append((order, text))
+    first = {i: (i, *least(found)) for i, found in groups.items()}
+    without = [tuple(r) for r in rows if not r[0]]
+    key = repr
+    got = [tuple(r) for r in dedupe_keep_first(df, "order").collect()]
+    assert sorted(got, key=key) == sorted(without + [r for i, r in first.items() if i], key=key)
+    got = [tuple(r) for r in first_per_id(df, "order").collect()]
+    assert sorted(got, key=key) == sorted(first.values(), key=key)
+    got = [tuple(r) for r in merge_new(existing, df, "order").collect()]
+    fresh = [r for i, r in first.items() if i and i not in known]
+    assert sorted(got, key=key) == sorted([(i, None, "old") for i in known] + fresh, key=key)
+
+
+def test_columns_without_an_order_are_carried(spark):
+    rows = spark.sql("select 1L as id, 1 as at, map('k', v) as extra from values ('a'), ('a') as t(v)")
+    assert [tuple(r) for r in dedupe_keep_first(rows, "at").collect()] == [(1, 1, {"k": "a"})]
+
+
+def test_hot_ties_are_reduced_before_they_are_shuffled(spark):
+    """All rows share an id and an order: one candidate per task reaches the reducer."""
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("1L as id", "0 as at", "id % 9 as payload")
+    result = first_per_id(rows, "at")
+    assert [tuple(r) for r in result.collect()] == [(1, 0, 0)]
