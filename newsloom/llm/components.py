@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from newsloom.session import stored
 
 
-def _jumped(parents: DataFrame) -> DataFrame:
+def followed(parents: DataFrame) -> DataFrame:
     """(node, up) with every chain followed to its end; each step doubles the reach."""
     while True:
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("further"))
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         hooked = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).where("up < node")
-        parents = _jumped(stored(hooked, "hooks"))
+        parents = followed(stored(hooked, "hooks"))
         if labels is None:
             labels = parents
         else:

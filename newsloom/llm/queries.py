@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chunk_fingerprints, licenses, lm_scoring, mixing, quality, sharding, simhash, sql, suffix_dedup, url_filters
+from newsloom.llm import (
+    bpe,
+    chunk_fingerprints,
+    grid_join,
+    licenses,
+    lm_scoring,
+    merkle,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    spelling,
+    sql,
+    suffix_dedup,
+    url_filters,
+)
 from newsloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +103,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_document_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_fingerprints.document_fingerprints(documents(spark, sf_dir))
+
+
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(documents(spark, sf_dir))
+
+
+@query("op12_spelling_variants", sql.SPELLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(documents(spark, sf_dir))
+
+
+@query("op13_embedding_dedup", sql.GRID_JOIN)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.linked_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

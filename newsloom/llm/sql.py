@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import licenses, quality, url_filters
+from newsloom.llm import licenses, quality, spelling, url_filters
 
 
 def _text(value: str) -> str:
@@ -141,6 +141,122 @@ def _quality_rules() -> str:
     """
 
 
+
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ASCII and Latin-1 letters, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+    utf8 = f"flatten(list_transform({codes}, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))"
+    eight = f"list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda crc, _: xor(crc >> 1, 3988292384 * (crc & 1)), xor(crc, byte))"
+    return f"xor(4294967295, list_reduce({utf8}, lambda crc, byte: {eight}, 4294967295::BIGINT))"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Levels of a tree over ``name``_0 (l, i, d, n), and what stands beside each node."""
+    parts = []
+    for k in range(levels):
+        parts.append(
+            f"""{name}_beside_{k} AS (SELECT l, i, n,
+              coalesce(string_agg(d, '') OVER (PARTITION BY l, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+              coalesce(string_agg(d, '') OVER (PARTITION BY l, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+              FROM {name}_{k})"""
+        )
+        parts.append(
+            f"""{name}_{k + 1} AS (SELECT l, i // 8 AS i, (any_value(n) + 7) // 8 AS n,
+              CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+              FROM {name}_{k} GROUP BY l, i // 8)"""
+        )
+    return ", ".join(parts)
+
+
+def _merkle(levels: int = 6, tops: int = 2) -> str:
+    """For up to 8^levels documents per language and 8^tops languages."""
+
+    def leaf(text: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+    path = [("a", k, f"a_beside_{k} b{k} ON b{k}.l = p.l AND b{k}.i = p.i // {8**k}") for k in range(levels)]
+    path += [("t", k, f"t_beside_{k} c{k} ON c{k}.i = p.l // {8**k}") for k in range(tops)]
+    joins = " ".join(f"JOIN {on}" for _, _, on in path)
+    siblings, steps = [], []
+    for j, (kind, k, _) in enumerate(path):
+        b = f"{'b' if kind == 'a' else 'c'}{k}"
+        siblings.append(f"CASE WHEN {b}.n > 1 THEN {b}.lft || {b}.rgt ELSE '' END")
+        steps.append(f"CASE WHEN {b}.n > 1 THEN {b}.lft END AS l{j}, CASE WHEN {b}.n > 1 THEN {b}.rgt END AS r{j}")
+    before = "(SELECT *, coalesce(claimed, leaf) AS f FROM beside)"
+    for j in range(len(path)):
+        before = f"(SELECT * REPLACE (CASE WHEN l{j} IS NULL THEN f ELSE sha256(l{j} || f || r{j}) END AS f) FROM {before})"
+    return f"""
+    WITH leaves AS (
+      SELECT doc_id, lang, {leaf("text")} AS leaf,
+        CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(f"translate(text, {_UPPER}, {_LOWER})")} END AS claimed FROM documents
+    ), p AS (
+      SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS l,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+    ), a_0 AS (SELECT l, i, n, leaf AS d FROM p), {_tree("a", levels)},
+    t_0 AS (SELECT 0 AS l, l AS i, count(*) OVER () AS n, d FROM a_{levels}), {_tree("t", tops)},
+    beside AS (
+      SELECT p.doc_id, p.leaf, p.claimed, s.d AS subroot, r.d AS root, sha256({" || ".join(siblings)}) AS proof_sha256, {", ".join(steps)}
+      FROM p {joins} JOIN a_{levels} s ON s.l = p.l CROSS JOIN t_{tops} r
+    )
+    SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM {before}
+    """
+
+
+def _spelling() -> str:
+    return f"""
+    WITH RECURSIVE runs AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '{spelling.LETTERS}')), {_UPPER}, {_LOWER}) AS run FROM documents
+    ), each AS (
+      SELECT run, count(*) AS times, {_crc32("any_value(coalesce(doc_id::VARCHAR, '')) || ':' || run")} AS h
+      FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+    ), spelt AS (
+      SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM each
+    ), words AS (
+      SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+    ), holes AS (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), pairs AS (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+    ), best AS (
+      SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+    ), formed AS (
+      SELECT word, CASE WHEN near_n >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+      FROM words LEFT JOIN best USING (word)
+    ), chains AS (
+      SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS more FROM formed
+      UNION ALL SELECT c.word, coalesce(f.form, c.root), f.form IS NOT NULL FROM chains c JOIN formed f ON f.word = c.root WHERE c.more
+    )
+    SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chains c ON c.word = f.word AND NOT c.more
+    """
+
+
+GRID_JOIN = """
+    WITH RECURSIVE rows AS (
+      SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    ), units AS (
+      SELECT r, vec_id, e FROM rows WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0
+    ), links AS (
+      SELECT a.r AS a, b.r AS b FROM units a JOIN units b ON a.r <> b.r AND len(a.e) = len(b.e)
+      WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE false END
+    ), reached AS (
+      SELECT r AS a, r AS b FROM rows UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+    ), least AS (
+      SELECT reached.a AS r, min(rows.vec_id) AS component_id FROM reached JOIN rows ON rows.r = reached.b GROUP BY reached.a
+    )
+    SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = rows.r) AS n_links, component_id,
+      vec_id IS NOT DISTINCT FROM component_id AS kept FROM rows JOIN least USING (r)
+    """
+
 URL_FILTERS = _url_filters()
 LICENSE_SCANS = _license_scans()
 QUALITY_RULES = _quality_rules()
+MERKLE = _merkle()
+SPELLING = _spelling()
