@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog.fixtures import ARTICLES_SQL, TURNS_SQL, articles, turns
 from newsloom.catalog.registry import query, table
+from newsloom.operators.bitmaps import bitmap_size, id_bitmaps, merge_known, skip_known
 from newsloom.operators.dedup import (
     dedupe_keep_first,
     dedupe_metrics,
@@ -13,6 +14,7 @@ from newsloom.operators.dedup import (
     merge_new,
     skip_processed,
 )
+from newsloom.session import stored
 
 
 @query(
@@ -95,6 +97,38 @@ def _merge_metrics(spark, sf_dir):
     return merge_metrics(*_merge_inputs(spark, sf_dir))
 
 
+@query(
+    "merge_new_bitmaps",
+    f"""WITH {MERGE_SQL} SELECT id, title, content, position FROM existing
+        UNION ALL SELECT id, title, content, position FROM fresh""",
+)
+def _merge_new_bitmaps(spark, sf_dir):
+    """The same merge, by the bitmaps of the corpus."""
+    existing, batch = _merge_inputs(spark, sf_dir)
+    return merge_known(existing, stored(id_bitmaps(existing), "bitmaps"), batch, "position")[0]
+
+
+@query(
+    "skip_processed_bitmaps",
+    f"WITH {ARTICLES_SQL} SELECT * FROM articles WHERE id NOT IN (SELECT doc_id FROM labels)",
+)
+def _skip_processed_bitmaps(spark, sf_dir):
+    """Labelled ids as two overlapping bitmap tables, as two epochs leave them."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    parts = id_bitmaps(labelled.where("id % 3 <> 0")).unionByName(id_bitmaps(labelled.where("id % 3 < 2")))
+    return skip_known(articles(spark, sf_dir), stored(parts, "bitmaps"))
+
+
+@query(
+    "bitmap_size",
+    """SELECT count(DISTINCT l_orderkey) AS ids, count(DISTINCT CASE WHEN l_orderkey > 0 THEN 1 + (l_orderkey - 1) // 32768 ELSE l_orderkey // 32768 END) AS buckets,
+              4096 * count(DISTINCT CASE WHEN l_orderkey > 0 THEN 1 + (l_orderkey - 1) // 32768 ELSE l_orderkey // 32768 END) AS bytes FROM lineitem""",
+)
+def _bitmap_size(spark, sf_dir):
+    """Order keys of all lines as a set, with the bytes that it takes."""
+    return bitmap_size(id_bitmaps(table(spark, sf_dir, "lineitem"), "l_orderkey"))
+
+
 @query(
     "skip_processed",
     f"WITH {ARTICLES_SQL} SELECT * FROM articles WHERE id NOT IN (SELECT doc_id FROM labels)",

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from newsloom.operators.bitmaps import id_bitmaps, merge_known, skip_known
 from newsloom.operators.dedup import (
     dedupe_keep_first,
     dedupe_metrics,
@@ -134,3 +135,21 @@ def test_hot_ties_are_reduced_before_they_are_shuffled(spark):
     rows = spark.range(0, 40_000, 1, 8).selectExpr("1L as id", "0 as at", "id % 9 as payload")
     result = first_per_id(rows, "at")
     assert [tuple(r) for r in result.collect()] == [(1, 0, 0)]
+
+
+def test_bitmaps_know_exactly_their_ids(spark):
+    """Ids at the edges of bytes and buckets, negative and very large ones."""
+    ids = [-32769, -32768, -32767, -8, -1, 0, 1, 7, 8, 9, 32767, 32768, 32769, 65536, 65537, 2**40, 2**62]
+    around = sorted({i + d for i in ids for d in (-2, -1, 0, 1, 2)})
+    df = spark.createDataFrame([(i,) for i in [*around, None]], "id bigint")
+    bitmaps = id_bitmaps(spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "id bigint"))
+    left = [r.id for r in skip_known(df, bitmaps).collect()]
+    assert sorted(i for i in left if i is not None) == [i for i in around if i not in ids]
+    assert left.count(None) == 1
+
+
+def test_merge_by_bitmaps_equals_merge(spark):
+    existing, batch = corpus(spark, [7, 7, None, 3], 100), corpus(spark, [7, 3, 8, 8, 0, None, 40_000])
+    merged, added = merge_known(existing, id_bitmaps(existing), batch, "position")
+    assert positions(merged) == positions(merge_new(existing, batch, "position"))
+    assert positions(skip_known(batch, added)) == [1, 2, 5, 6]

@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from newsloom.catalog.incremental import page_to_article
+from newsloom.operators.bitmaps import bitmap_size
 from newsloom.operators.dedup import first_per_id
 from newsloom.plans.analysis import range_scan
 from newsloom.sources.readers import read_pages
@@ -13,9 +14,11 @@ from newsloom.streaming.ingest import (
     append_stream,
     latest_category_counts,
     read_corpus,
+    read_passed,
     stream_category_counts,
     stream_ingest,
     stream_pages,
+    stream_pass_once,
     stream_skip_processed,
 )
 
@@ -104,13 +107,71 @@ def test_skip_processed_once_per_run(spark, tmp_path):
     assert sorted(r.page_id for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2, 3]
 
 
-def test_category_counts_grow(spark, tmp_path):
-    root, schema = str(tmp_path), "id bigint, category string"
-    for ids in ([(1, "A"), (2, None)], [(3, "A")]):
-        spark.createDataFrame(ids, schema).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+def folders(path):
+    return sorted((int(p.parent.name.split("=")[1]), int(p.name.split("=")[1])) for p in Path(path).glob("run=*/level=*/first=*"))
+
+
+def land_categories(spark, path, *batches):
+    for rows in batches:
+        df = spark.createDataFrame(rows, "id bigint, category string")
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+
+
+def count(spark, root, order=None):
+    rows = spark.readStream.schema("id bigint, category string").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    stream_category_counts(rows, f"{root}/counts", f"{root}/checkpoint", order).awaitTermination()
+    return sorted(tuple(r) for r in latest_category_counts(spark, f"{root}/counts", "bigint" if order else None).collect())
+
+
+def test_category_counts_grow_by_levels(spark, tmp_path):
+    """Each epoch writes its own counts; eight of them become one folder, which the next epoch clears away."""
+    root = str(tmp_path)
+    land_categories(spark, f"{root}/landed", [(9, "A"), (2, None)], *([(10 + k, "A")] for k in range(6)))
+    assert count(spark, root, "id") == [("A", 7, 9), ("Uncategorized", 1, 2)]
+    assert folders(f"{root}/counts") == [(0, k) for k in range(7)]
+    land_categories(spark, f"{root}/landed", [(1, "B")])
+    assert count(spark, root, "id") == [("A", 7, 9), ("B", 1, 1), ("Uncategorized", 1, 2)]
+    assert folders(f"{root}/counts") == [*((0, k) for k in range(8)), (1, 0)]
+    land_categories(spark, f"{root}/landed", [(0, "B")])
+    assert count(spark, root, "id") == [("A", 7, 9), ("B", 2, 0), ("Uncategorized", 1, 2)]
+    assert folders(f"{root}/counts") == [(0, 8), (1, 0)]
+    # What an epoch writes has the size of its own categories.
+    assert spark.read.parquet(*map(str, Path(root, "counts").glob("run=*/level=0/first=8"))).count() == 1
+
+
+def test_a_repeated_epoch_merges_again(spark, tmp_path):
+    root = str(tmp_path)
+    land_categories(spark, f"{root}/landed", *([(k, "A")] for k in range(8)))
+    assert count(spark, root) == [("A", 8)]
+    # Without its commit the epoch that merged runs again, as after a crash.
+    Path(root, "checkpoint/commits/7").unlink()
+    for crc in Path(root, "checkpoint/commits").glob(".7.crc"):
+        crc.unlink()
+    assert count(spark, root) == [("A", 8)]
+    land_categories(spark, f"{root}/landed", [(9, "A")])
+    assert count(spark, root) == [("A", 9)]
+
+
+def test_ingest_compacts_epochs(spark, tmp_path):
+    root = str(tmp_path)
+    for k in range(9):
+        land(spark, f"{root}/landed", page(20 + k, f"alpha{k}"), page(20, "again"))
+        time.sleep(0.02)
+    assert ingest(spark, root) == [(20 + k, f"alpha{k}") for k in range(9)]
+    assert folders(f"{root}/corpus/articles") == folders(f"{root}/corpus/ids") == [(0, 8), (1, 0)]
+
+
+def test_pass_once_keeps_ids_as_bits(spark, tmp_path):
+    root, schema = str(tmp_path), "page_id bigint, at int"
+    batches = [[(1, 5), (1, 4), (None, 1), (2, 1)], [(2, 0), (3, 1), (3, 1)], [(40_000_000_000, 1), (-5, 2), (1, 0)], [(-5, 1), (40_000_000_000, 0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        time.sleep(0.02)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
-    stream_category_counts(rows, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
-    counts = {r.category: r.n for r in latest_category_counts(spark, f"{root}/counts").collect()}
-    assert counts == {"A": 2, "Uncategorized": 1}
-    steps = spark.read.parquet(f"{root}/counts").groupBy("epoch").agg(F.sum("n")).orderBy("epoch").collect()
-    assert [r[1] for r in steps] == [2, 3]
+    for _ in range(2):  # a restart adds nothing
+        stream_pass_once(rows, f"{root}/out", f"{root}/checkpoint", "at").awaitTermination()
+        passed = read_passed(spark, f"{root}/out", rows.schema)
+        assert sorted(tuple(r) for r in passed.collect()) == [(-5, 2), (1, 4), (2, 1), (3, 1), (40_000_000_000, 1)]
+    ids = spark.read.parquet(*map(str, Path(root, "out/ids").glob("run=*/level=*/first=*")))
+    assert bitmap_size(ids).first().asDict() == {"ids": 5, "buckets": 3, "bytes": 3 * 4096}
