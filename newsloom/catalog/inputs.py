@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsloom.catalog.extraction import PAGE_ARTICLES_SQL
 from newsloom.catalog.fixtures import ARTICLES_SQL, HOST, LINK_PREFIX, articles
 from newsloom.catalog.registry import query, table
+from newsloom.functions.charset import CharsetModel, character_pairs, charsets_of_groups
+from newsloom.functions.decode import decode_body
 from newsloom.operators.categories import category_counts
 from newsloom.operators.dedup import merge_new
 from newsloom.operators.extraction import extract_articles
 from newsloom.operators.scan import feed_id_range, feed_ids, with_fallback
 from newsloom.schema import ARTICLE, CATEGORY_VOCABULARY
-from newsloom.session import shared_folder
+from newsloom.session import shared_folder, stored
 from newsloom.sources.readers import (
     decode_pages,
     default_category_list,
@@ -112,6 +115,52 @@ def _page_robust(spark, sf_dir):
     return pages.select("page_id").join(found, "page_id", "left")
 
 
+# Charsets of the documents of `detect_charset`, by id; a text that its charset cannot hold is left in UTF-8.
+ENCODINGS = [
+    "utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32-le",
+    "windows-1252", "windows-1250", "iso-8859-15", "cp850", "mac-roman", "iso-8859-2",
+]
+
+
+def _encoded(documents, names):
+    """Documents as bodies in one of the named charsets."""
+
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        bodies = []
+        for text, number in zip(texts, numbers):
+            try:
+                bodies.append(None if text is None else text.encode(names[number]))
+            except UnicodeEncodeError:
+                bodies.append(text.encode())
+        return pd.Series(bodies, dtype=object)
+
+    number = F.pmod("doc_id", F.lit(len(names))).cast("int")
+    return documents.withColumn("body", encode(F.col("text"), number)).drop("text")
+
+
+@query("detect_charset", "SELECT doc_id, text FROM documents")
+def _detect_charset(spark, sf_dir):
+    """Every document in one of twelve charsets, told from its bytes alone, and decoded."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = CharsetModel(character_pairs(documents))
+    raw = _encoded(documents, ENCODINGS).withColumnRenamed("doc_id", "page_id").withColumn("charset", F.lit(None).cast("string"))
+    return decode_pages(raw, LINK_PREFIX, model).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+
+
+@query("detect_charset_groups", "SELECT doc_id, text FROM documents")
+def _detect_charset_groups(spark, sf_dir):
+    """Three dumps, each in one charset, judged by the added scores of its pages that are not UTF-8."""
+    names = ["windows-1252", "cp850", "mac-roman"]
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = CharsetModel(character_pairs(documents))
+    bodies = stored(_encoded(documents, names).withColumn("dump", F.pmod("doc_id", F.lit(len(names)))), "bodies")
+    plain = F.is_valid_utf8(F.col("body").cast("string"))
+    found = charsets_of_groups(bodies.where(~plain), "dump", "body", model)
+    named = bodies.join(found, "dump", "left").withColumn("charset", F.when(~plain, F.col("charset")))
+    return named.select("doc_id", decode_body(F.col("body"), F.col("charset")).alias("text"))
+
+
 # ---- corpora -------------------------------------------------------------------------
 
 

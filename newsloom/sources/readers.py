@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from newsloom.functions.charset import CharsetModel, detect_charset
 from newsloom.functions.decode import decode_body
 from newsloom.functions.text import category_folder, category_or_default
 from newsloom.schema import (
@@ -38,11 +39,16 @@ def read_pages(spark: SparkSession, path: str, position: str | None = None) -> D
 
 
 def read_raw_pages(
-    spark: SparkSession, path: str, link_prefix: str, charset: str | None = None, glob: str = "*.html"
+    spark: SparkSession,
+    path: str,
+    link_prefix: str,
+    charset: str | None = None,
+    glob: str = "*.html",
+    model: CharsetModel | None = None,
 ) -> DataFrame:
     """Pages from a dump with one file per page, named by its id.
 
-    ``charset`` is the declared one of the dump. Files without digits in their
+    ``charset`` is the declared one of the dump; without one ``model`` tells each page's. Files without digits in their
     name get no id.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
@@ -51,19 +57,26 @@ def read_raw_pages(
     return files.select(
         page_id.alias("page_id"),
         F.concat(F.lit(link_prefix), page_id.cast("string")).alias("url"),
-        decode_body(F.col("content"), F.lit(charset).cast("string")).alias("html"),
+        decode_body(F.col("content"), _charset(F.lit(charset).cast("string"), F.col("content"), model)).alias("html"),
     )
 
 
-def decode_pages(raw: DataFrame, link_prefix: str) -> DataFrame:
-    """Pages from (page_id, body, charset) rows."""
+def decode_pages(raw: DataFrame, link_prefix: str, model: CharsetModel | None = None) -> DataFrame:
+    """Pages from (page_id, body, charset) rows; where no charset is given ``model`` tells it, or else it is UTF-8."""
     return raw.select(
         "page_id",
         F.concat(F.lit(link_prefix), F.col("page_id").cast("string")).alias("url"),
-        decode_body(F.col("body"), F.col("charset")).alias("html"),
+        decode_body(F.col("body"), _charset(F.col("charset"), F.col("body"), model)).alias("html"),
     )
 
 
+def _charset(given: Column, body: Column, model: CharsetModel | None) -> Column:
+    if model is None:
+        return given
+    given = F.nullif(given, F.lit(""))
+    return F.coalesce(given, detect_charset(F.when(given.isNull(), body), model))
+
+
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     """Links of the items of RSS files; items without a link are left out."""
     items = spark.read.format("xml").option("rowTag", "item").schema("link string").load(path)
