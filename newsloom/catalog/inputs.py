@@ -20,6 +20,7 @@ from newsloom.sources.readers import (
     decode_pages,
     default_category_list,
     feed_items,
+    read_article_arrays,
     read_articles,
     read_articles_or_empty,
     read_categories,
@@ -177,6 +178,16 @@ query("write_read_jsonl", CORPUS_SQL)(_round_trip("jsonl"))
 query("read_articles", CORPUS_SQL)(_round_trip("json"))
 
 
+@query("read_article_arrays", CORPUS_SQL)
+def _read_article_arrays(spark, sf_dir):
+    """Arrays read by byte ranges, one of them damaged and left out."""
+    path = shared_folder(spark, "corpus")
+    corpus = articles(spark, sf_dir)
+    write_articles(corpus, path, "json")
+    corpus.limit(1).select(F.lit('[{"title": "cut", "content": "}').alias("value")).write.mode("append").text(path)
+    return read_article_arrays(spark, path, broken="skip")
+
+
 @query("write_read_default", CORPUS_SQL)
 def _write_read_default(spark, sf_dir):
     path = shared_folder(spark, "corpus")

@@ -18,6 +18,7 @@ from newsloom.schema import (
     DEFAULT_CORPUS_FORMAT,
     PAGE,
 )
+from newsloom.sources.arrays import read_records
 
 
 def landing_order() -> Column:
@@ -110,8 +111,8 @@ def read_articles(
     """An article corpus: ``jsonl`` (a record a line), ``json`` (an array a file) or ``parquet``.
 
     Records that cannot be read, of JSON cut short for instance, end the job; see
-    ``read_articles_or_empty`` for a corpus that may be damaged. A file holding one array
-    cannot be split, so large corpora belong in one of the other formats.
+    ``read_articles_or_empty`` for a corpus that may be damaged. One task reads a file holding one array;
+    ``read_article_arrays`` splits it.
     ``position`` adds a column in the order of file name and row.
     """
     _check_format(fmt)
@@ -124,6 +125,16 @@ def read_articles(
     return ordered.select(*ARTICLE.names, *([position] if position else []))  # without columns found in folder names
 
 
+def read_article_arrays(spark: SparkSession, path: str, position: str | None = None, broken: str = "fail") -> DataFrame:
+    """``read_articles`` of ``json`` for arrays of any size: many tasks read one file.
+
+    A file that is not a whole array ends the job, or is left out if ``broken`` is "skip"; a record that is no JSON ends it in any case.
+    """
+    found = read_records(spark, path, broken).select(F.from_json("value", ARTICLE, {"mode": "FAILFAST"}).alias("a"), "position")
+    columns = [F.col("a")[name].alias(name) for name in ARTICLE.names]
+    return found.select(*columns, *([F.col("position").alias(position)] if position else []))
+
+
 def _check_format(fmt: str) -> None:
     if fmt not in CORPUS_FORMATS:
         raise ValueError(f"unknown corpus format: {fmt}")
