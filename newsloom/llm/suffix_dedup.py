@@ -11,9 +11,11 @@ the edges of copied passages. Each distinct one of them is fetched once, cut dow
 nearest others in the order of its right and of its left side share with it, and a suffix array over these pieces
 (see `suffix_groups`) brings equal windows next to each other; in it the common gram is one symbol.
 
-A gram with more than `PART` distinct contexts is dealt to several parts; each part adds up its windows by
-its own suffix array and sends one digest per distinct window, whose counts decide. So neither copies, hot passages nor hot grams
-gather in one task, and nothing is left out.
+The contexts of a gram with more than `PART` distinct ones, a common passage with many surroundings, are first cut down by all of them
+together: their sides are sorted by range partitions, and neighbours, also those across the edge of two partitions, tell how much a side
+shares with any other. What differs everywhere is gone then, at no row per window. If more than `PART` contexts are still
+left they are dealt to several parts; each part adds up the windows left by its own suffix array and sends one digest per distinct one,
+whose counts decide. So neither copies, hot passages nor hot grams gather in one task, and nothing is left out.
 
 Texts are named by a 64-bit hash and their length. A NULL or empty text has no bytes and no spans; texts under 200 bytes
 are kept whole. Repeated rows are copies of each other: their texts go, from 200 bytes on. An empty table gives
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.llm.common import fields, slices, text_or_empty, without
@@ -162,17 +165,24 @@ def _shared(groups: np.ndarray, sides: list[bytes]) -> np.ndarray:
 
 
 def repeated_windows(
-    groups: np.ndarray, before: np.ndarray, contexts: list[bytes], counts: np.ndarray, trim: bool = True
+    groups: np.ndarray,
+    before: np.ndarray,
+    contexts: list[bytes],
+    counts: np.ndarray,
+    bounds: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of contexts by class, from the suffix array of the contexts.
 
     ``groups`` numbers the grams, ``before`` tells where in its context each gram begins. Gives for each window: its
     context, how many bytes it begins before the gram, the class of windows equal to it, and how often its class occurs.
-    With ``trim`` windows that cannot have an equal one are left out.
+    Windows that cannot have an equal one among these contexts are left out, or those outside ``bounds``, the least and most bytes
+    that windows begin before the gram.
     """
-    low = before + WINDOW - np.array([len(c) for c in contexts])
-    high = before.copy()
-    if trim:
+    if bounds is not None:
+        low, high = bounds
+    else:
+        low = before + WINDOW - np.array([len(c) for c in contexts])
+        high = before.copy()
         right = _shared(groups, [c[b + GRAM :] for c, b in zip(contexts, before.tolist())])
         left = _shared(groups, [c[:b][::-1] for c, b in zip(contexts, before.tolist())])
         low, high = np.maximum(low, AROUND - right), np.minimum(high, left)
@@ -220,8 +230,83 @@ def _ranges(owner: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner[first], distance[first], distance[last]
 
 
+def _shared_by_any(sides: DataFrame) -> DataFrame:
+    """(g, c, shared): how many leading bytes the side of (g, c, side) shares with any other of its gram.
+
+    The sides of a gram may fill many partitions. Of each partition the first and the last side reach the driver, to be
+    compared with their neighbours.
+    """
+    names = ["g", "c", "shared", "edge", "range", "side"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        last: tuple | None = None
+        met = 0  # bytes that the last row shares with the one before it
+
+        def row(*values: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+        for part in slices(batches, 4096):
+            g, c, side = (part.column(i).to_pylist() for i in range(3))
+            if not g:
+                continue
+            if last is None:
+                yield row(g[0], c[0], 0, 0, number, side[0])
+            else:
+                g, c, side = [last[0], *g], [last[1], *c], [last[2], *side]
+            next_to = [_common(a, b) if x == y else 0 for x, y, a, b in zip(g, g[1:], side, side[1:])]
+            both = np.maximum([met, *next_to], [*next_to, 0])[:-1]
+            columns = [pa.array(g[:-1]), pa.array(c[:-1]), pa.array(both, pa.int64())]
+            size = len(g) - 1
+            nothing = [pa.nulls(size, k) for k in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([*(x.cast(pa.int64()) for x in columns), *nothing], names)
+            last, met = (g[-1], c[-1], side[-1]), next_to[-1] if next_to else met
+        if last is not None:
+            yield row(*last[:2], met, 1, number, last[2])
+
+    width = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.select("g", "c", "side").repartitionByRange(width, "g", "side", "c").sortWithinPartitions("g", "side", "c")
+    found = stored(dealt.mapInArrow(run, "g bigint, c bigint, shared bigint, edge int, range int, side binary"), "shared-sides")
+    edges = found.where("edge IS NOT NULL").orderBy("range", "edge").collect()
+    across = []
+    for before, after in zip(edges[1::2], edges[2::2]):
+        if before.g == after.g:
+            size = _common(before.side, after.side)
+            across += [(before.g, before.c, size), (after.g, after.c, size)]
+    more = sides.sparkSession.createDataFrame(across, "g bigint, c bigint, shared bigint")
+    return found.select("g", "c", "shared").union(more).groupBy("g", "c").agg(F.max("shared").alias("shared"))
+
+
+def _common(one: bytes, two: bytes) -> int:
+    size = min(len(one), len(two))
+    if one[:size] == two[:size]:
+        return size
+    low, high = 0, size  # equal up to low, not up to high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if one[:middle] == two[:middle] else (low, middle)
+    return low
+
+
+def _cut_down(contexts: DataFrame, part: int) -> DataFrame:
+    """Contexts of common grams with low and high as far as another context shares both sides; dealt to parts if still many."""
+    before = F.col("before").cast("int")
+    right = F.substring("context", before + (GRAM + 1), F.octet_length("context"))
+    left = F.reverse(F.hex(F.substring("context", F.lit(1), before)))
+    sides = [_shared_by_any(contexts.select("g", "c", side.alias("side"))) for side in (right, left.cast("binary"))]
+    shared = sides[0].withColumnRenamed("shared", "right").join(sides[1].withColumnRenamed("shared", "nibbles"), ["g", "c"])
+    low = F.greatest(F.col("before") + WINDOW - F.octet_length("context"), AROUND - F.col("right"))
+    high = F.least(F.col("before"), F.floor(F.col("nibbles") / 2))
+    cut = contexts.drop("low", "high", "part", "parts").join(shared, ["g", "c"]).withColumns({"low": low, "high": high})
+    left_over = stored(cut.where("low <= high").drop("right", "nibbles"), "cut-contexts")
+    kinds = left_over.groupBy("g").agg(F.ceil(F.count("*") / part).alias("parts"))
+    dealt = left_over.join(stored(kinds, "kinds"), "g").withColumn("part", F.pmod("c", "parts"))
+    return dealt.select(*contexts.columns)
+
+
 def _decided(contexts: DataFrame) -> DataFrame:
-    """From distinct contexts (g, part, parts, c, times, before, context): ranges (g, c, low, high) of repeated windows.
+    """From distinct contexts (g, part, parts, c, times, before, context, low, high): ranges (g, c, low, high) of repeated windows.
 
     Of a gram in several parts, also a row for each distinct window: digest and weight (2: repeated within its
     part), with the context of those not decided yet.
@@ -234,7 +319,8 @@ def _decided(contexts: DataFrame) -> DataFrame:
             gram, context = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
             times, before = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
             raw = [r[6] for r in rows]
-            owner, distance, classes, total = repeated_windows(groups, before, raw, times, trim)
+            bounds = None if trim else (np.array([r[7] for r in rows]), np.array([r[8] for r in rows]))
+            owner, distance, classes, total = repeated_windows(groups, before, raw, times, bounds)
             again = (total > 1) & (times[owner] == 1)
             who, low, high = _ranges(owner[again], distance[again])
             none = pa.nulls(len(who), pa.int64())
@@ -256,7 +342,7 @@ def _decided(contexts: DataFrame) -> DataFrame:
         group: list[tuple] = []
         size = 0
         for part in slices(batches, 1024):
-            for row in zip(*(part.column(i).to_pylist() for i in range(7))):
+            for row in zip(*(part.column(i).to_pylist() for i in range(9))):
                 if group and group[-1][:2] != row[:2]:
                     if group[0][2] > 1:
                         yield from decide(group, False)
@@ -281,40 +367,48 @@ def _decided(contexts: DataFrame) -> DataFrame:
 
 
 def _fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The distinct contexts of (k, n, wants), where wants lists (at, g, part, parts, c, times)."""
+    """The distinct contexts of (k, n, wants), where wants lists (at, g, parts, c, times); low and high are not bound yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "part", "parts", "c", "times", "before", "context"]
+        names = ["g", "parts", "c", "times", "before", "context"]
         for part in slices(batches):
             rows = []
             for raw, wants in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for want in wants:
                     position, most, few = want["at"] >> 16, want["at"] >> 8 & 255, want["at"] & 255
                     context = raw[position - most : position - few + WINDOW]
-                    rows.append((want["g"], want["part"], want["parts"], want["c"], want["times"], most, context))
-            columns = list(zip(*rows)) or [()] * 7
+                    rows.append((want["g"], want["parts"], want["c"], want["times"], most, context))
+            columns = list(zip(*rows)) or [()] * 6
             arrays = [pa.array(c, pa.binary() if name == "context" else pa.int64()) for c, name in zip(columns, names)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     joined = _keyed(documents).where(f"n >= {WINDOW}").join(wanted, ["k", "n"]).select("raw", "wants")
-    found = joined.mapInArrow(run, "g bigint, part bigint, parts bigint, c bigint, times bigint, before bigint, context binary")
-    return found.distinct()
+    found = joined.mapInArrow(run, "g bigint, parts bigint, c bigint, times bigint, before bigint, context binary").distinct()
+    unbound = F.lit(None).cast("bigint")
+    return found.select("g", F.lit(0).cast("bigint").alias("part"), "parts", "c", "times", "before", "context", unbound.alias("low"), unbound.alias("high"))
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(k, n, spans): for texts with repeated strings, the bytes these cover, as (start, end) pairs that may overlap."""
+def repeated_spans(documents: DataFrame, part: int | None = None) -> DataFrame:
+    """(k, n, spans): for texts with repeated strings, the bytes these cover, as (start, end) pairs that may overlap.
+
+    ``part`` is the number of distinct contexts in one suffix array, `PART` if not given.
+    """
+    part = part or PART
     often = stored(grams(documents).groupBy("g").count().where("count > 1").select("g"), "grams")
     places = stored(anchors(documents).join(often, "g", "left_semi"), "anchors")
     distinct = stored(
         places.groupBy("g", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "n", "at")).alias("sample")), "contexts"
     )
-    # Grams with several distinct contexts; very many are dealt to parts.
+    # Grams with several distinct contexts; those with very many are cut down together first.
     kinds = stored(distinct.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
-    parts = F.ceil(F.col("kinds") / PART)
-    mixed = distinct.join(kinds, "g").withColumn("parts", parts).withColumn("part", F.pmod("c", "parts"))
-    wants = F.collect_list(F.struct("sample.at", "g", "part", "parts", "c", "times"))
+    mixed = distinct.join(kinds, "g").withColumn("parts", F.ceil(F.col("kinds") / part))
+    wants = F.collect_list(F.struct("sample.at", "g", "parts", "c", "times"))
     wanted = mixed.groupBy("sample.k", "sample.n").agg(wants.alias("wants"))
-    decided = stored(_decided(_fetched(documents, wanted)), "decided")
+    fetched = _fetched(documents, wanted)
+    if not kinds.where(f"kinds > {part}").isEmpty():
+        fetched = stored(fetched, "fetched")
+        fetched = fetched.where("parts = 1").unionByName(_cut_down(fetched.where("parts > 1"), part))
+    decided = stored(_decided(fetched), "decided")
     # Windows of grams in several parts: repeated if all parts together hold two.
     open_windows = decided.where("digest IS NOT NULL")
     more = open_windows.groupBy("g", "digest").agg(F.sum("weight").alias("all")).where("all > 1").select("g", "digest")
@@ -338,11 +432,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in runs]
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
+def without_repeats(documents: DataFrame, part: int | None = None) -> DataFrame:
     """``documents`` with n_bytes, removed (the maximal runs, as start and end) and kept (the remaining bytes)."""
     added = ("n_bytes", "removed", "kept")
     source = without(documents, *added, "__k", "__n", "__raw")
-    spans = repeated_spans(source).select(F.col("k").alias("__k"), F.col("n").alias("__n"), "spans")
+    spans = repeated_spans(source, part).select(F.col("k").alias("__k"), F.col("n").alias("__n"), "spans")
     text = text_or_empty()
     named = source.withColumns({"__k": F.xxhash64(text), "__n": F.octet_length(text).cast("bigint")})
     joined = named.join(spans.withColumnRenamed("spans", "__spans"), ["__k", "__n"], "left").drop("__k", "__n")

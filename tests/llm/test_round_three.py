@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import rows_of
 
-from newsloom.llm import grid_join, merkle, spelling
+from newsloom.llm import grid_join, merkle, spelling, suffix_dedup
 from pyspark.sql import functions as F
 
 
@@ -282,3 +282,60 @@ def test_join_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as n_links", "2 as component_id", "3 as number")
     assert rows_of(grid_join.linked_embeddings(df)) == brute_links(rows)
     assert grid_join.linked_embeddings(df.limit(0)).collect() == []
+
+
+# ---- hot grams of the suffix operator ----
+
+
+def brute_removed(rows):
+    seen = collections.Counter(t.encode()[i : i + 200] for _, t in rows for i in range(len(t.encode()) - 199))
+    result = {}
+    for doc_id, t in rows:
+        raw, gone = t.encode(), set()
+        for i in range(len(raw) - 199):
+            if seen[raw[i : i + 200]] > 1:
+                gone.update(range(i, i + 200))
+        result[doc_id] = bytes(c for i, c in enumerate(raw) if i not in gone)
+    return result
+
+
+def test_hot_grams_against_brute_force(spark, documents):
+    """Copies of passages with an edit, and of shorter ones with the same or other surroundings, all dealt to parts of a few contexts."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcd ") for _ in range(420))
+    rows = []
+    for i in range(60):
+        k = rng.randrange(len(passage))
+        rows.append((i, passage[:k] + rng.choice("XYZ") + passage[k + 1 :]))
+    for i in range(60, 140):
+        sides = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 90))) for _ in range(2)]
+        rows.append((i, sides[0] + passage[100 : 100 + rng.choice([150, 190, 199, 205])] + sides[1]))
+    expected = brute_removed(rows)
+    for part in (1, 7):
+        found = suffix_dedup.without_repeats(documents(rows), part)
+        assert {r.doc_id: bytes(r.kept) for r in found.collect()} == expected
+
+
+def test_shared_sides_across_partitions(spark):
+    rng = random.Random(2)
+    sides = [(rng.randrange(2), i, bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    df = spark.createDataFrame(sides, "g bigint, c bigint, side binary")
+    found = {(r.g, r.c): r.shared for r in suffix_dedup._shared_by_any(df).collect()}
+    for g, c, side in sides:
+        others = [o for h, d, o in sides if h == g and d != c]
+        assert found[g, c] == max(next((k for k, (x, y) in enumerate(zip(side, o)) if x != y), min(len(side), len(o))) for o in others)
+
+
+def test_a_hot_gram_sends_few_rows(spark):
+    """10,000 contexts of one gram that differ on both sides: no digest, nor more than a few rows for each."""
+    rng = random.Random(4)
+    gram = bytes(rng.randrange(97, 123) for _ in range(suffix_dedup.GRAM))
+    rows = [(1, 0, 5, i, 1, 136, rng.randbytes(136) + gram + rng.randbytes(136), None, None) for i in range(10_000)]
+    schema = "g bigint, part bigint, parts bigint, c bigint, times bigint, before bigint, context binary, low bigint, high bigint"
+    cut = suffix_dedup._cut_down(spark.createDataFrame(rows, schema), 2048)
+    assert suffix_dedup._decided(cut).count() == 0
+    # With a common passage around the gram, windows that reach little beyond it are all that is left to tell apart.
+    common = rng.randbytes(60), rng.randbytes(60)
+    rows = [(*r[:6], rng.randbytes(76) + common[0] + gram + common[1] + rng.randbytes(76), None, None) for r in rows]
+    cut = suffix_dedup._cut_down(spark.createDataFrame(rows, schema), 2048)
+    assert suffix_dedup._decided(cut).count() < 10_000
