@@ -42,6 +42,7 @@ SLOTS = (20, 22, 22, 22)  # bits of a slot number, per predictor
 CHUNK = 1 << 17  # counters in a chunk of a table
 TASKS_A_SUM = 64  # tables added up in the first step of two
 SEGMENT = 384  # symbols between two refinements
+PACKED = 1 << 20  # counts that a task packs at a time
 PRIOR = 0.3  # added to both counts of a slot
 UNIT = 256  # steps of stored log odds
 CLIP = 7.9
@@ -321,7 +322,7 @@ def _training_texts(part: pa.RecordBatch) -> list[bytes]:
 
 
 def block_tokens(blocks: DataFrame) -> DataFrame:
-    """(token, block, n): the distinct tokens of each block and how often its training texts hold them."""
+    """(token, block, place, n): the distinct tokens of each block, numbered as they first occur, and how often its training texts hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -335,11 +336,39 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
                     counts.update(token_list(text))
             tokens, n = list(counts), list(counts.values())
             for at in range(0, len(tokens), 1 << 16):
-                end = at + (1 << 16)
-                columns = [pa.array(tokens[at:end], pa.binary()), pa.array([number] * len(n[at:end])), pa.array(n[at:end], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "block", "n"])
+                end = min(len(tokens), at + (1 << 16))
+                values = [pa.array([number] * (end - at)), pa.array(np.arange(at, end, dtype=np.int32)), pa.array(n[at:end], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[at:end], pa.binary()), *values], ["token", "block", "place", "n"])
 
-    return blocks.select("block", "rows", "texts").mapInArrow(run, "token binary, block bigint, n bigint")
+    return blocks.select("block", "rows", "texts").mapInArrow(run, "token binary, block bigint, place int, n bigint")
+
+
+def packed_counts(known: DataFrame) -> DataFrame:
+    """(block, places, counts) from (block, place, c): what a task has for a block in few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            block, place, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(block, kind="stable")
+            block, place, c = block[order], place[order], c[order]
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            rows = [(int(block[i]), place[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "places", "counts"])
+
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size >= PACKED:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return known.select("block", "place", "c").mapInArrow(run, "block bigint, places binary, counts binary")
 
 
 def symbol_pairs(blocks: DataFrame) -> np.ndarray:
@@ -425,18 +454,17 @@ def score_documents(documents: DataFrame) -> DataFrame:
     blocks = corpus_blocks(documents)
     model = trained(blocks)
     parts = spark.sparkContext.broadcast((model.lengths, model.codes, model.tables))
-    counts = block_tokens(blocks).groupBy("token").agg(F.sum("n").alias("c")).where("c > 0")
-    counts = stored(counts, "token-counts")
+    tokens = stored(block_tokens(blocks), "tokens")
+    counts = stored(tokens.where("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     kind = dict(documents.dtypes)["doc_id"]
 
-    # No NULLs: rows without a value would make each of them cost a pass over its batch on the way to Python.
+    # A block's tokens come back as numbers and counts, not as text: the block has them in the same order.
     none = F.lit(b"")
-    known = block_tokens(blocks).select("token", "block").join(counts, "token")
-    known = known.select("block", F.lit(0).alias("kind"), "token", "c", none.alias("rows"), none.alias("texts"))
-    zero = F.lit(0).cast("bigint")
-    texts = blocks.select("block", F.lit(1).alias("kind"), none.alias("token"), zero.alias("c"), "rows", "texts")
+    known = packed_counts(tokens.select("token", "block", "place").join(counts, "token"))
+    known = known.select("block", F.lit(0).alias("kind"), "places", "counts", none.alias("rows"), none.alias("texts"))
+    texts = blocks.select("block", F.lit(1).alias("kind"), none.alias("places"), none.alias("counts"), "rows", "texts")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = known.unionByName(texts).repartition(width, "block").sortWithinPartitions("block", "kind")
 
@@ -444,36 +472,34 @@ def score_documents(documents: DataFrame) -> DataFrame:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         least = math.log10(n + v + 1)
         model = Model(*parts.value)
-        logs: dict[bytes, float] = {}
-        for batch in batches:
-            kinds = batch.column(1).to_numpy()
-            edges = [-1, *np.flatnonzero(kinds == 1).tolist(), batch.num_rows]
-            for low, high in zip(edges, edges[1:]):
-                tokens = batch.slice(low + 1, high - low - 1)
-                logs.update(zip(tokens.column(2).to_pylist(), np.log10(tokens.column(3).to_numpy() + 1.0).tolist()))
-                if high == batch.num_rows:
-                    continue
-                rows, blob = (batch.column(i)[high].as_py() for i in (4, 5))
-                rows, some = _rows(rows), _plain(blob).split(b"\n")
-                losses = model.losses(some)
-                n_tokens, n_known, base = [], [], []
-                for text in some:
-                    found = [logs.get(token, 0.0) for token in token_list(text)]
-                    n_tokens.append(len(found))
-                    n_known.append(len(found) - found.count(0.0))
-                    base.append(math.fsum(found) - len(found) * least)
-                sizes = np.array([len(t) + 1 for t in some])
-                columns = [
-                    *rows.columns,
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()),
-                    pa.array([n] * len(some), pa.int64()),
-                    pa.array(base),
-                    pa.array(-losses / math.log(10)),
-                    pa.array(losses / math.log(2) / sizes),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                logs = {}
+        places: list[np.ndarray] = []
+        logs: list[np.ndarray] = []
+        for part in slices(batches, 1):
+            if part.column(1)[0].as_py() == 0:
+                places.append(np.frombuffer(part.column(2)[0].as_py(), np.int32))
+                logs.append(np.log10(np.frombuffer(part.column(3)[0].as_py(), np.int64) + 1.0))
+                continue
+            rows, some = _rows(part.column(4)[0].as_py()), _plain(part.column(5)[0].as_py()).split(b"\n")
+            numbers: dict[bytes, int] = {}
+            found = [[numbers.setdefault(token, len(numbers)) for token in token_list(text)] for text in some]
+            values = np.zeros(len(numbers))
+            if places:
+                values[np.concatenate(places)] = np.concatenate(logs)
+            places, logs = [], []
+            of_texts = [values[ids] for ids in found]
+            del found, numbers
+            losses = model.losses(some)
+            sizes = np.array([len(t) + 1 for t in some])
+            columns = [
+                *rows.columns,
+                pa.array([len(x) for x in of_texts], pa.int64()),
+                pa.array([int(np.count_nonzero(x)) for x in of_texts], pa.int64()),
+                pa.array([n] * len(some), pa.int64()),
+                pa.array([math.fsum(x) - len(x) * least for x in of_texts]),
+                pa.array(-losses / math.log(10)),
+                pa.array(losses / math.log(2) / sizes),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = (
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
