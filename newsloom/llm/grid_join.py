@@ -152,7 +152,7 @@ def interval_pairs(blocks: DataFrame, count: int, eps: float) -> DataFrame:
     while SPLIT**levels < count:
         levels += 1
     boxes = stored(blocks.select("block", *LOWS, *HIGHS), "boxes")
-    pairs = boxes.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    pairs = boxes.sparkSession.createDataFrame([(0, 0)], "a bigint, b bigint")
     for level in range(levels - 1, 0, -1):
         parts = stored(_boxes(boxes, level).withColumn("of", F.floor(F.col("at") / SPLIT)), "intervals")
         left = parts.select(F.col("of").alias("a"), F.col("at").alias("x"), *(F.col(c).alias(f"x_{c}") for c in (*LOWS, *HIGHS)))
