@@ -37,22 +37,27 @@ def _least(df: DataFrame) -> Column:
 def _first_rows(df: DataFrame, order: str, id_column: str, repeated: DataFrame) -> DataFrame:
     """Rows of ids that are not ``repeated``, and the first row of each that is.
 
-    Both joins keep rows of ``df``, the side that AQE splits at a hot id. Those that carry the first order value
-    of their id, one unless orders tie, are reduced before they are shuffled.
+    The joins keep rows of ``df``, the side that AQE splits at a hot id. Only where several rows of an id carry its first order value, which
+    two narrow columns tell, are these rows reduced to the least, before they are shuffled.
     """
     if repeated.isEmpty():
         return df
-    same = F.col(id_column).eqNullSafe(F.col("__id"))
-    alone = df.join(repeated, same, "left_anti")
-    candidates = df.join(repeated, same & F.col(order).eqNullSafe(F.col("__first")), "left_semi")
-    first = candidates.groupBy(F.col(id_column).alias("__of")).agg(_least(df).alias("__row"))
-    return alone.unionByName(first.select("__row.*"))
+    same, at_first = F.col(id_column).eqNullSafe(F.col("__id")), F.col(order).eqNullSafe(F.col("__first"))
+    candidates = df.select(id_column, order).join(repeated, same & at_first, "left_semi").groupBy(F.col(id_column).alias("__tied"))
+    tied = stored(candidates.count().where("count > 1").select("__tied"), "tied-ids")
+    marked = repeated.withColumn("__several", F.lit(True))
+    first = df.join(marked, same, "left").filter(F.col("__several").isNull() | at_first).select(*df.columns)
+    if tied.isEmpty():
+        return first
+    among = F.col(id_column).eqNullSafe(F.col("__tied"))
+    tying = first.join(tied, among, "left_semi").groupBy(F.col(id_column).alias("__of")).agg(_least(df).alias("__row"))
+    return first.join(tied, among, "left_anti").unionByName(tying.select("__row.*"))
 
 
 def first_per_id(df: DataFrame, order: str, id_column: str = "id") -> DataFrame:
     """First row of each id; rows without an id form one group.
 
-    ``df`` is read up to three times, first for two of its columns; store it if it is dear to compute.
+    ``df`` is read more than once, at first for two of its columns; store it if it is dear to compute.
     """
     return _first_rows(df, order, id_column, _repeated(df, order, id_column))
 
