@@ -18,6 +18,7 @@ from newsloom.operators.scan import (
     newest_first,
     newest_n,
     scan_outcome,
+    scan_outcome_runs,
 )
 from newsloom.plans.analysis import page_scan_report, preset_bounds, range_scan
 from newsloom.schema import SCAN_SPANS
@@ -173,6 +174,32 @@ def _collect_scan(spark, sf_dir):
     return scan.select("scan_no", "id", "outcome")
 
 
+def _runs_sql(batch: str, step: int, reverse: bool, selected: bool, seen: bool) -> str:
+    return f"""
+    WITH {_outcome_sql(_plan_sql(batch, step, reverse), selected, seen)},
+    placed AS (SELECT *, row_number() OVER (ORDER BY scan_no) AS no FROM outcome),
+    grouped AS (SELECT *, no - row_number() OVER (PARTITION BY outcome ORDER BY scan_no) AS run FROM placed)
+    SELECT min(scan_no) AS from_no, arg_min(id, scan_no) AS from_id, arg_max(id, scan_no) AS to_id, count(*) AS ids, outcome
+    FROM grouped GROUP BY outcome, run"""
+
+
+def _runs(spark, sf_dir, batch, step=1, reverse=True, selection=None, seen=False):
+    handled = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")) if seen else None
+    lo, hi = id_bounds(table(spark, sf_dir, "documents"), "doc_id")
+    return scan_outcome_runs(_found_articles(spark, sf_dir), lo, hi, batch, step, reverse, selection, handled)
+
+
+@query("scan_outcome_runs", _runs_sql("50", 1, True, True, True))
+def _scan_outcome_runs(spark, sf_dir):
+    return _runs(spark, sf_dir, 50, selection=SELECTED, seen=True)
+
+
+@query("scan_outcome_runs_steps", _runs_sql("70", 3, False, False, False))
+def _scan_outcome_runs_steps(spark, sf_dir):
+    """Every third id, oldest first: neighbours in the plan are three ids apart, and less at the end of a batch."""
+    return _runs(spark, sf_dir, 70, step=3, reverse=False)
+
+
 # ---- scans of pages ------------------------------------------------------------------
 
 

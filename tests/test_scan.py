@@ -12,6 +12,7 @@ from newsloom.operators.scan import (
     newest_first,
     newest_span,
     scan_outcome,
+    scan_outcome_runs,
     with_fallback,
 )
 from newsloom.plans.analysis import preset_bounds
@@ -105,3 +106,38 @@ def test_rows_are_numbered_in_order(spark):
     ties, total = number_rows(rows.select(F.lit(1).alias("v")), ["v"], "no")
     assert total == 5000 and sorted(r.no for r in ties.collect()) == list(range(5000))
     assert number_rows(rows.limit(0), ["v"], "no")[1] == 0
+
+
+def _expanded(runs, min_id, max_id, batch, step, reverse):
+    """Outcome of each planned id by runs, which must follow each other and differ."""
+    planned = [n for n in range(max(0, max_id - min_id + 1)) if n % batch % step == 0]
+    outcomes = []
+    for run in sorted(runs):
+        assert planned[len(outcomes)] == run.from_no and (not outcomes or outcomes[-1] != run.outcome)
+        outcomes += [run.outcome] * run.ids
+        ends = [run.from_no, planned[len(outcomes) - 1]]
+        assert [run.from_id, run.to_id] == [max_id - n if reverse else min_id + n for n in ends]
+    assert len(outcomes) == len(planned)
+    return dict(zip(planned, outcomes, strict=True))
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 20])
+@pytest.mark.parametrize("plan", [(1, 60, 7, 1, True), (1, 60, 7, 3, True), (5, 58, 100, 2, False), (-9, 40, 4, 1, False)])
+def test_runs_equal_the_expanded_plan(spark, bits, plan):
+    ids = [*range(3, 21), 21, 21, 25, 26, 27, 40, 41, 58, 59, 60, 61, 400, None]
+    rows = [(i, "BA"[i % 7 == 0] if i and i > 10 else "A", -(i or 0)) for i in ids] + [(21, "A", -50), (26, None, 3)]
+    articles = spark.createDataFrame(rows, "id bigint, category string, at bigint")
+    seen = spark.createDataFrame([(5,), (5,), (6,), (30,), (31,), (None,)], "id bigint")
+    for selection, handled, order in [(["A"], seen, "at"), (None, None, None)]:
+        runs = scan_outcome_runs(articles, *plan, selection, handled, order, bits).collect()
+        outcome = scan_outcome(batch_plan(spark, *plan), articles, selection, handled, order).collect()
+        assert _expanded(runs, *plan) == {r.scan_no: r.outcome for r in outcome}
+
+
+def test_runs_of_nothing(spark):
+    none = spark.createDataFrame([], "id bigint, category string")
+    assert [tuple(r) for r in scan_outcome_runs(none, 1, 10**15, 50).collect()] == [(0, 10**15, 1, 10**15, "not found")]
+    assert scan_outcome_runs(none, 5, 4, 50).collect() == []
+    one = spark.createDataFrame([(10**14, "A")], "id bigint, category string")
+    runs = sorted(scan_outcome_runs(one, 1, 10**15, 50, reverse=False).collect())
+    assert [(r.from_id, r.to_id) for r in runs] == [(1, 10**14 - 1), (10**14, 10**14), (10**14 + 1, 10**15)]
