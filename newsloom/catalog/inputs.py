@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from newsloom.functions.decode import decode_body
 from newsloom.operators.categories import category_counts
 from newsloom.operators.dedup import merge_new
 from newsloom.operators.extraction import extract_articles
-from newsloom.operators.scan import feed_id_range, feed_ids, with_fallback
+from newsloom.operators.scan import feed_id_range, feed_ids, id_bounds, newest_span, with_fallback
 from newsloom.schema import ARTICLE, CATEGORY_VOCABULARY
 from newsloom.session import shared_folder, stored
+from newsloom.sources.clustered import ClusteredCorpus
 from newsloom.sources.readers import (
     decode_pages,
     default_category_list,
@@ -32,8 +35,10 @@ from newsloom.sources.writers import (
     enclosed,
     export_filtered,
     output_name_column,
+    read_category_report_fragments,
     write_articles,
     write_category_report,
+    write_category_report_fragments,
 )
 
 CORPUS_SQL = f"WITH {ARTICLES_SQL} SELECT title, content, link, id, date, keywords, category FROM articles"
@@ -162,6 +167,31 @@ def _detect_charset_groups(spark, sf_dir):
     return named.select("doc_id", decode_body(F.col("body"), F.col("charset")).alias("text"))
 
 
+# ---- corpora by id -------------------------------------------------------------------
+
+
+def _clustered(spark, rows):
+    """A new table of these articles, with small folders so that there are many."""
+    corpus = ClusteredCorpus(f"corpus_{uuid.uuid4().hex}", width=128, buckets=4)
+    corpus.append(rows, shared_folder(spark, "clustered"))
+    return corpus
+
+
+@query("clustered_merge", CORPUS_SQL)
+def _clustered_merge(spark, sf_dir):
+    """One of three articles first, then all of them, one of four twice."""
+    rows = articles(spark, sf_dir)
+    corpus = _clustered(spark, rows.where("id % 3 = 0"))
+    corpus.merge(rows.unionByName(rows.where("id % 4 = 0")), "position")
+    return corpus.articles(spark)
+
+
+@query("clustered_newest", f"{CORPUS_SQL} WHERE id BETWEEN (SELECT max(id) FROM articles) - 299 AND (SELECT max(id) FROM articles)")
+def _clustered_newest(spark, sf_dir):
+    rows = articles(spark, sf_dir)
+    return _clustered(spark, rows).span(spark, *newest_span(id_bounds(rows)[1], 300))
+
+
 # ---- corpora -------------------------------------------------------------------------
 
 
@@ -296,6 +326,19 @@ def _write_category_report(spark, sf_dir):
     return report.select(F.explode("categories").alias("category", "n"))
 
 
+@query(
+    "report_fragments",
+    """SELECT 'Customer "' || o_custkey || '", ' || o_orderpriority AS category, count(*) AS n FROM orders GROUP BY ALL""",
+)
+def _report_fragments(spark, sf_dir):
+    """Orders as articles of as many categories as there are customers and priorities."""
+    path = shared_folder(spark, "report")
+    name = F.concat(F.lit('Customer "'), F.col("o_custkey").cast("string"), F.lit('", '), F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select(name.alias("category"), "o_orderkey")
+    write_category_report_fragments(category_counts(orders, "o_orderkey"), "2025-10-10T12:00:00", path)
+    return read_category_report_fragments(spark, path)
+
+
 @query(
     "output_names",
     "SELECT event_id, 'articles_' || strftime(ts, '%Y%m%d_%H%M%S') AS name FROM events",

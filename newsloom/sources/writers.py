@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions.text import category_folder, category_or_default
 from newsloom.operators.categories import category_report, filter_categories
 from newsloom.operators.dedup import first_per_id, has_id
+from newsloom.operators.ordering import number_rows
 from newsloom.schema import ARTICLE, CATEGORY_KEY, CORPUS_FORMATS, DEFAULT_CORPUS_FORMAT, FILE_TIMESTAMP_FORMAT
 
 
@@ -72,6 +73,45 @@ def write_category_report(counts: DataFrame, analysis_date: str, path: str) -> N
     category_report(counts, analysis_date).coalesce(1).write.json(path)
 
 
+# Folders of a report in fragments.
+FRAGMENTS, MANIFEST = "fragments", "manifest"
+
+
+def write_category_report_fragments(counts: DataFrame, analysis_date: str, path: str) -> None:
+    """Write the report document in fragments, for any number of categories: no task holds more than a range of them.
+
+    Takes ``category_counts`` with an order column; names keep first-seen order. The files under ``fragments``, one after another by
+    name, are one JSON object: a line per category, the first one behind the head, the last one before the tail. ``manifest``
+    has a row per file: its name, lines and bytes.
+    """
+    numbered, total = number_rows(counts.select("category", "n", "first_seen"), ["first_seen", "category"], "no")
+    head = F.to_json(F.struct(F.lit(analysis_date).alias("analysis_date"), F.lit(total).cast("bigint").alias("total_categories")))
+    head = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"categories":{'))
+    if not total:
+        lines = counts.sparkSession.range(1).select(F.concat(head, F.lit("}}")).alias("value"))
+    else:
+        pair = F.to_json(F.create_map("category", "n"))
+        pair = pair.substr(F.lit(2), F.length(pair) - 2)
+        before = F.when(F.col("no") == 0, head).otherwise("")
+        after = F.when(F.col("no") == total - 1, "}}").otherwise(",")
+        parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lines = numbered.repartitionByRange(parts, "no").sortWithinPartitions("no").select(F.concat(before, pair, after).alias("value"))
+    lines.write.text(f"{path}/{FRAGMENTS}")
+    written = counts.sparkSession.read.text(f"{path}/{FRAGMENTS}")
+    sizes = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes")
+    )
+    sizes.write.json(f"{path}/{MANIFEST}")
+
+
+def read_category_report_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (category, n) of a report in fragments, read line by line."""
+    value = F.regexp_replace("value", r"(,|\}\})$", "")
+    line = F.when(F.col("value").startswith("{"), F.concat(value, F.lit("}}"))).otherwise(F.concat(F.lit('{"categories":{'), value, F.lit("}}")))
+    parsed = F.from_json(line, "categories map<string, bigint>")
+    return spark.read.text(f"{path}/{FRAGMENTS}").select(F.explode(parsed["categories"]).alias("category", "n"))
+
+
 def output_name(kind: str, at: datetime) -> str:
     """Name of an output: ``kind`` followed by the time of the run."""
     # Fixed value: the Python spelling of FILE_TIMESTAMP_FORMAT.
