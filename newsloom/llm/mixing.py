@@ -7,8 +7,8 @@ budget the smallest one holds in which every document is used at least once.
 
 A source's tokens are realised as whole rounds over its documents plus a part of one round. Its documents are
 dealt into blocks by hash; each round permutes the blocks, and the part of a round takes the first
-blocks of its permutation until its tokens are met, cutting the last block by row hash. So only sums of blocks
-are ever ordered, never the documents of a source, and a document is known to be in by two comparisons. `order`
+blocks of its permutation until its tokens are met, cutting the last block by row hash: sums of its pieces tell in which piece, and
+that piece alone is ordered. So the documents of a source never are, and a document is known to be in by two comparisons. `order`
 columns (round, block_rank, row_rank) give the training order of a source.
 
 A NULL source is a source of its own. Documents without tokens (NULL or empty text) come along in the whole rounds;
@@ -26,6 +26,7 @@ from newsloom.llm.common import WORD, quoted, text_or_empty, without
 from newsloom.session import stored
 
 BLOCKS = 1024  # per source
+PIECE_BITS = 10  # of the block in which a part round ends: rows ordered are a millionth of the source's
 GRID = 16  # exponents tried at once: a step of the bisection narrows the range 17-fold
 STEPS = 6
 
@@ -119,15 +120,22 @@ def mix_sources(
         .where("upto >= part AND upto - tokens < part")
         .select(F.col("source").alias("__of"), F.col("block").alias("__block"), F.col("block_rank").alias("cut_block"), (F.col("part") - F.col("upto") + F.col("tokens")).alias("rest"))
     )
-    # Within that block: rows up to the first that meets the rest.
-    of_block = Window.partitionBy("source").orderBy(F.xxhash64("__hash"))
+    # Within that block: rows up to the first that meets the rest. Sums tell the piece of the block, so that only a piece is ordered.
+    inside = rows.select("source", "block", "tokens", "__hash").join(last, mine & (F.col("block") == F.col("__block")))
+    inside = stored(inside.select("__of", "cut_block", "rest", "tokens", F.xxhash64("__hash").alias("row_rank")), "mix-cut")
+    piece = F.shiftright("row_rank", 64 - PIECE_BITS).alias("piece")
+    pieces = inside.groupBy("__of", "rest", piece).agg(F.sum("tokens").alias("tokens"))
+    upto = F.sum("tokens").over(Window.partitionBy("__of").orderBy("piece"))
+    met = pieces.withColumn("upto", upto).where("upto >= rest AND upto - tokens < rest")
+    met = met.select(F.col("__of").alias("__p"), F.col("piece").alias("__piece"), (F.col("upto") - F.col("tokens")).alias("start"))
+    of_piece = Window.partitionBy("__of").orderBy("row_rank")
+    earlier = F.sum("tokens").over(of_piece.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("tokens").over(of_piece.rangeBetween(0, 0))
     cut = (
-        rows.select("source", "block", "tokens", "__hash")
-        .join(last, mine & (F.col("block") == F.col("__block")))
-        .withColumn("before", F.sum("tokens").over(of_block.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("tokens").over(of_block.rangeBetween(0, 0)))
+        inside.join(met, F.col("__of").eqNullSafe(F.col("__p")) & (piece == F.col("__piece")))
+        .withColumn("before", F.col("start") + earlier)
         .where("before < rest")
         .groupBy("__of")
-        .agg(F.first("cut_block").alias("cut_block"), F.max(F.xxhash64("__hash")).alias("cut_row"))
+        .agg(F.first("cut_block").alias("cut_block"), F.max("row_rank").alias("cut_row"))
     )
     of = weights.withColumnRenamed("__of", "__w")
     plan = stored(of.join(cut, F.col("__w").eqNullSafe(F.col("__of")), "left").drop("__of").withColumnRenamed("__w", "__of"), "mix-plan")

@@ -2,7 +2,7 @@
 
 A fingerprint bit is set if it is set in over half the hashes of the text's shingles. Candidates come from buckets: by pairs
 of blocks of the fingerprint (with radius + 2 blocks, two fingerprints within the radius agree on two at
-least, so nothing is lost), or, for wide fingerprints and large radii, by pairs of minimal shingle hashes.
+least, so nothing is lost; by triples of radius + 3 or quadruples of radius + 4 for very many fingerprints), or, for wide fingerprints and large radii, by pairs of minimal shingle hashes.
 
 Within a bucket fingerprints lie vertically: plane b holds bit b of 64 of them. A fingerprint is compared with
 64 at once: three planes of differences at a time go through a carry-save adder into bitwise counters, and the comparison
@@ -36,6 +36,7 @@ from newsloom.llm.common import text_or_empty, with_columns, without
 from newsloom.llm.components import components
 from newsloom.session import stored
 
+BUCKET = 256  # fingerprints in a bucket, by the mean of all possible ones, beyond which keys get longer
 CELL = 4096  # fingerprints of one bucket in one group
 SEED = 42
 BANDS, PER_BAND = 8, 2
@@ -123,12 +124,21 @@ def hash_pair(values: list[int]) -> int:
     return mixed
 
 
-def block_keys(radius: int) -> Column:
-    """Keys of a one-word fingerprint: the bits of each pair of its radius + 2 blocks."""
-    edges = [64 * k // (radius + 2) for k in range(radius + 3)]
+def agreeing_blocks(fingerprints: int, radius: int) -> int:
+    """How many blocks a key takes so that buckets stay small: 2, or up to 4 for more fingerprints. It changes no result."""
+    agree = 2
+    while agree < 4 and fingerprints >> 64 * agree // (radius + agree) > BUCKET:
+        agree += 1
+    return agree
+
+
+def block_keys(radius: int, agree: int = 2) -> Column:
+    """Keys of a one-word fingerprint: the bits of every choice of ``agree`` of its radius + agree blocks."""
+    blocks = radius + agree
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(edges, edges[1:])]
     word = F.element_at("fingerprint", 1)
-    signed = [int(_signed([a | b])[0]) for a, b in combinations(masks, 2)]
+    signed = [int(_signed([sum(chosen)])[0]) for chosen in combinations(masks, agree)]
     return F.array(*(word.bitwiseAND(F.lit(mask).cast("bigint")) for mask in signed))
 
 
@@ -303,7 +313,7 @@ def linked_documents(documents: DataFrame, shingle: int = 4, radius: int = 4) ->
     """The contract's columns: fingerprint in hexadecimal and the smallest doc_id reachable by links."""
     texts = documents.select("doc_id", text_or_empty().alias("text"))
     rows = stored(with_fingerprints(texts, shingle).drop("text"), "simhash")
-    found = classified(rows, block_keys(radius), radius, 1)
+    found = classified(rows, block_keys(radius, agreeing_blocks(rows.count(), radius)), radius, 1)
     hexadecimal = F.lower(F.lpad(F.hex(F.element_at("fingerprint", 1)), 16, "0"))
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 

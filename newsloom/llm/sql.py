@@ -51,7 +51,7 @@ def _license_scans() -> str:
     assert known
 
     def identifiers(sentences: str) -> str:
-        name = f"known[regexp_replace(trim(s, ' '), '[.;:!?]+$', '')]"
+        name = f"known[regexp_replace(trim(s, ' '), '[ .;:!?]+$', '')]"
         return f"list_filter(list_transform({sentences}, lambda s: {name}), lambda i: i IS NOT NULL)"
 
     def found(ids: str) -> str:
@@ -62,12 +62,14 @@ def _license_scans() -> str:
         )
         return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
-    longer, shorter = licenses.WITHIN[0]
+    stays = " AND ".join(f"(x <> {_text(shorter)} OR NOT list_contains(l, {_text(longer)}))" for longer, shorter in licenses.WITHIN)
     kept = _text(licenses.KEPT.replace("\n", "\\n"))
     lines, ends = _text(licenses.LINE_ENDS.replace("\n", "\\n")), _text(licenses.SENTENCE_ENDS)
     return f"""
     WITH clean AS (
-      SELECT doc_id, map({keys}, {values}) AS known, regexp_replace(lower(coalesce(text, '')), {kept}, ' ', 'g') AS t FROM documents
+      SELECT doc_id, map({keys}, {values}) AS known,
+        regexp_replace(regexp_replace(lower(coalesce(text, '')), {kept}, ' ', 'g'), {_text(licenses.TAG_COLON)}, {_text(licenses.TAG_KEPT)}, 'g') AS t
+      FROM documents
     ), cut AS (
       SELECT doc_id, {identifiers(f"string_split_regex(t, {lines})")} AS a,
         {identifiers(f"string_split_regex(regexp_replace(t, '\\s+', ' ', 'g'), {ends})")} AS b
@@ -78,7 +80,7 @@ def _license_scans() -> str:
       FROM cut
     )
     SELECT doc_id,
-      array_to_string(list_filter(l, lambda x: x <> {_text(shorter)} OR NOT list_contains(l, {_text(longer)})), ' ') AS licences,
+      array_to_string(list_filter(l, lambda x: {stays}), ' ') AS licences,
       array_to_string(ids, ' ') AS sentence_ids, len(ids) AS n_known
     FROM matched
     """

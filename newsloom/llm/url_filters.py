@@ -103,8 +103,10 @@ def token_counts(df: DataFrame, tokens: Iterable[str], url: str = "url") -> dict
     wanted = spark.createDataFrame([(t,) for t in sorted({*tokens})] or [("",)], "token string")
     after = F.regexp_extract(F.col(quoted(url)), r"(?s)://(.*)", 1)
     held = df.select(F.explode(F.array_distinct(F.regexp_extract_all(after, F.lit(f"({TOKEN})")))).alias("token"))
-    # The host counts in lower case, as the index sees it; so does the rest here, for the order only.
-    return dict(held.withColumn("token", F.lower("token")).groupBy("token").count().join(wanted, "token").collect())
+    # The host counts in lower case, as the index sees it; so does the rest here, for the order only. The wanted tokens come from a list on the
+    # driver and go to all tasks, as the rules do; other tokens leave before they are counted and shuffled.
+    held = held.withColumn("token", F.lower("token")).join(F.broadcast(wanted), "token", "left_semi")
+    return dict(held.groupBy("token").count().collect())
 
 
 def index_rules(rules: list[Rule], counts: dict[str, int]) -> dict[str | None, list[int]]:

@@ -185,9 +185,50 @@ def test_url_verdicts(spark):
     assert (found[-1].host, found[-1].path, found[2].host) == ("", "", "example.org")
 
 
+def test_thousands_of_url_rules_equal_their_expressions(spark):
+    rng = random.Random(5)
+    hosts = [f"{rng.choice('abcdef')}{rng.randrange(60)}.{rng.choice(['net', 'org', 'co.uk'])}" for _ in range(800)]
+    parts = [f"p{i}" for i in range(200)]
+    rules = [url_filters.Rule(f"||{h}^", rng.random() < 0.5) for h in hosts]
+    rules += [url_filters.Rule(f"/{rng.choice(parts)}*{rng.choice(parts)}/", True) for _ in range(1500)]
+    rules += [url_filters.Rule(f"{rng.choice(parts)}.html|", False) for _ in range(100)]
+    rules += [url_filters.site_rule(f"{rng.choice(hosts)}/{rng.choice(parts)}", rng.random() < 0.5) for _ in range(700)]
+    urls = [f"http://www.{rng.choice(hosts)}/{'/'.join(rng.choices(parts, k=rng.randrange(4)))}{rng.choice(['', '/', '.html'])}" for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    found = url_filters.judge_urls(rows, rules).orderBy("page_id").collect()
+    compiled = [re.compile(url_filters.expression(r.pattern), re.DOTALL) for r in rules]
+    for url, row in zip(urls, found, strict=True):
+        fitting = [r for r, c in zip(rules, compiled) if c.search(url_filters.url_parts(url)[2])]
+        site = max((r for r in fitting if r.site), key=lambda r: len(r.site), default=None)
+        other = min((r for r in fitting if not r.site), key=lambda r: r.block, default=None)
+        decides = site or other
+        assert row.rule == (site.site if site else None) and row.verdict == ("block" if decides and decides.block else "allow")
+    # Counted are tokens of rules only, whatever else the URLs hold.
+    counts = url_filters.token_counts(rows, ["p1", "net", "absent"])
+    assert counts == {t: n for t in ("p1", "net") if (n := sum(t in re.findall(url_filters.TOKEN, u.split("://")[1]) for u in urls))}
+
+
 # ---- 6
 
 
+@pytest.mark.parametrize("agree", [2, 3, 4])
+def test_longer_keys_lose_no_link(spark, agree):
+    rng = np.random.default_rng(agree)
+    prints = rng.integers(0, 2**63, 300).astype(np.uint64)
+    near = prints.copy()
+    for k in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    rows = [(i, [int(v)]) for i, v in enumerate(np.concatenate([prints, near]).view(np.int64))]
+    table = spark.createDataFrame(rows, "doc_id bigint, fingerprint array<bigint>")
+    found = simhash.classified(table, simhash.block_keys(4, agree), 4, 1).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 300 for i in range(600)}
+
+
+def test_keys_grow_with_the_table():
+    sizes = [simhash.agreeing_blocks(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**11, 10**13)]
+    assert sizes == [2, 2, 2, 3, 3, 4, 4]
+
+
 @pytest.mark.parametrize("words, radius", [(1, 4), (2, 3), (4, 40)])
 def test_bit_sliced_components(words, radius):
     rng = np.random.default_rng(words)
@@ -270,6 +311,43 @@ def test_licence_rules(documents):
     assert found == {1: ["MIT"], 2: ["MIT"], 3: ["BSD-2-Clause"], 4: ["BSD-3-Clause"], 5: [], 6: ["Apache-2.0", "GPL-3.0"], 7: []}
 
 
+def test_licences_by_tags_titles_and_parts(documents):
+    lines = licenses.SENTENCES
+    apache = lines["apache2.notice_the"] + ";\n" + lines["apache2.not_use"] + "."
+    texts = {
+        "#!/bin/sh\n# SPDX-License-Identifier: MIT\nexit": ["MIT"],
+        "/* SPDX-License-Identifier: Apache-2.0 */": ["Apache-2.0"],
+        "// SPDX-License-Identifier:GPL-2.0-only\n// SPDX-License-Identifier: EPL-2.0": ["EPL-2.0", "GPL-2.0-only"],
+        "SPDX-License-Identifier: Made-Up-1.0": [],
+        "MIT\nGPL-2.0-only": [],
+        apache: ["Apache-2.0"],
+        "Apache License\n   Version 2.0, January 2004\n": ["Apache-2.0"],
+        "Version 2.0, January 2004\nApache License": [],
+        "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007": ["AGPL-3.0"],
+        "This program is free software: " + lines["agpl.3_later"].replace(" the GNU", "\n    the GNU") + ".": ["AGPL-3.0-or-later"],
+        lines["lgpl.notice"] + "; " + lines["lgpl.terms"] + "; " + lines["lgpl.21_later"] + ".": ["LGPL-2.1-or-later"],
+        lines["unlicense.title"] + ".\n": ["Unlicense"],
+        "\n".join(lines[f"bsd.{part}"] + "." for part in ("grant", "source", "binary", "advert", "endorse")): ["BSD-4-Clause"],
+        lines["zlib.as_is"] + ".": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": ["CC-BY-NC-SA-3.0"],
+        lines["mit0.grant"] + "\n": ["MIT-0"],
+    }
+    found = licenses.scan_licences(documents(enumerate(texts))).orderBy("doc_id").collect()
+    assert [r.licences for r in found] == list(texts.values())
+    # A part of a licence is told from none by its sentences.
+    known = dict(zip(texts, (r.sentence_ids for r in found)))
+    assert known[lines["zlib.as_is"] + "."] == ["zlib.as_is"] and known["MIT\nGPL-2.0-only"] == []
+
+
+def test_every_licence_is_found_by_its_rule(documents):
+    texts = [".\n".join(licenses.SENTENCES[n] for n in names) + "." for _, names in licenses.RULES]
+    found = licenses.scan_licences(documents(enumerate(texts))).orderBy("doc_id").collect()
+    hidden = dict((shorter, longer) for longer, shorter in licenses.WITHIN)
+    for r, (licence, _) in zip(found, licenses.RULES, strict=True):
+        assert licence in r.licences or hidden[licence] in r.licences, (licence, r)
+    assert len(licenses.KNOWN) == len(licenses.SENTENCES)
+
+
 def test_texts_left_uncut_hold_no_known_sentence():
     assert all(re.search(licenses.NEEDED, sentence) for sentence in licenses.KNOWN)
     assert {name for _, names in licenses.RULES for name in names} == set(licenses.SENTENCES)
@@ -317,6 +395,32 @@ def test_mix_uses_rows_as_planned(spark):
     assert "Python" not in mixed._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("bits, blocks", [(0, 1), (2, 1), (10, 3), (10, 1024)])
+def test_mix_cuts_at_the_first_row_that_meets_the_rest(spark, monkeypatch, bits, blocks):
+    monkeypatch.setattr(mixing, "PIECE_BITS", bits or 1)
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    words = lambda i: 0 if i % 11 == 0 else 1 + i * 7 % 40
+    rows = [(i, "word " * words(i), "big" if i % 10 else None if i % 20 else "small") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing.mix_sources(docs, limit=2.6, seed=3).collect()
+    totals = docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("word"))).alias("tokens"))
+    plans = mixing.source_weights(totals, limit=2.6).collect()
+    for plan in plans:
+        # Rows of the part round in the order of block and row hashes, up to the first that meets its tokens.
+        hashed = F.xxhash64(F.lit(3), "doc_id", "text")
+        mine = docs.where(F.col("source").eqNullSafe(F.lit(plan.source))).withColumn("block", F.pmod(hashed, F.lit(blocks)))
+        rank = F.xxhash64(F.lit(3), F.lit(plan.full + 1).cast("bigint"), "source", "block")
+        placed = mine.select(rank.alias("rank"), "block", F.xxhash64(hashed).alias("row"), F.regexp_count("text", F.lit("word")).alias("n"), "doc_id")
+        used, expected = 0, set()
+        for r in sorted(placed.collect()):
+            if used < plan.part:
+                expected.add(r.doc_id)
+            used += r.n
+        found = [r.doc_id for r in mixed if r.source == plan.source and r["round"] == plan.full + 1]
+        assert len(found) == len(expected) and {*found} == expected
+    assert any(plan.part for plan in plans)
+
+
 # ---- 10
 
 
