@@ -1,5 +1,7 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and clashing names; and the parts of the operators."""
 
+import base64
+import json
 import random
 import re
 
@@ -460,3 +462,20 @@ def test_next_documents_over_ranges(spark, documents, parts):
         falls += key(following[at]) < key(at)
         at, steps = following[at], steps + 1
     assert at == rows[0][1] and falls == 1
+
+
+# ---- 3
+
+
+def test_both_files_of_the_vocabulary_agree():
+    """The query reads the ranks as JSON; the file of ranks by name holds the same tokens under the same numbers."""
+    with open(vocabulary("byte_bpe_50k.tiktoken")[0], "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+    with open(vocabulary()[0], encoding="utf-8") as file:
+        listed = json.load(file)["model"]["vocab"]
+    # Printable bytes stand for themselves, the others for the characters from 256 on, in their order.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    spelled = {bytes(byte_of[c] for c in token): n for token, n in listed.items() if all(c in byte_of for c in token)}
+    assert spelled.items() >= ranks.items()
+    assert len(ranks) >= 50_000
