@@ -30,6 +30,7 @@ from newsloom.sources.readers import (
     read_category_list,
     read_feed_items,
     read_pages,
+    read_raw_pages,
 )
 from newsloom.sources.writers import (
     enclosed,
@@ -51,7 +52,7 @@ FEED_RANGE_SQL = """
     FROM documents WHERE doc_id % 4 = 0 AND doc_id <> 0"""
 
 
-def _item_column():
+def item_column():
     number = F.col("doc_id").cast("string")
     kind = F.col("doc_id") % 4
     return (
@@ -59,12 +60,13 @@ def _item_column():
         .when(kind == 1, F.lit("<item><title>t</title><link></link></item>"))
         .when(kind == 2, F.lit("<item><title>no link</title></item>"))
         .otherwise(F.concat(F.lit("<item><link>https://other.example.org/?id="), number, F.lit("</link></item>")))
+        .alias("item")
     )
 
 
 @query("feed_range", FEED_RANGE_SQL)
 def _feed_range(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(_item_column().alias("item"))
+    rows = table(spark, sf_dir, "documents").select(item_column().alias("item"))
     return feed_id_range(feed_ids(feed_items(rows, "item"), HOST))
 
 
@@ -74,7 +76,7 @@ def _feed_range(spark, sf_dir):
 )
 def _feed_range_fallback(spark, sf_dir):
     """A feed that links to another site only: the assumed range."""
-    rows = table(spark, sf_dir, "documents").select(_item_column().alias("item"))
+    rows = table(spark, sf_dir, "documents").select(item_column().alias("item"))
     return with_fallback(feed_id_range(feed_ids(feed_items(rows, "item"), "elsewhere.example.net")))
 
 
@@ -82,7 +84,7 @@ def _feed_range_fallback(spark, sf_dir):
 def _read_feed(spark, sf_dir):
     """Items written as feeds, one a partition."""
     path = shared_folder(spark, "feed")
-    items = table(spark, sf_dir, "documents").select(_item_column().alias("value"))
+    items = table(spark, sf_dir, "documents").select(item_column().alias("value"))
     enclosed(items, '<rss version="2.0"><channel>', "", "</channel></rss>").write.text(path)
     return feed_id_range(feed_ids(read_feed_items(spark, path), HOST))
 
@@ -96,6 +98,29 @@ def _read_pages(spark, sf_dir):
     return read_pages(spark, path)
 
 
+def dump_pages(spark, sf_dir):
+    """Pages as a dump of one file each, in folders named by id; the text format ends each with a newline."""
+    path = shared_folder(spark, "dump")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).hint("rebalance", "page_id")
+    pages.write.partitionBy("page_id").text(path)
+    return path
+
+
+RAW_PAGES_SQL = f"SELECT page_id, '{LINK_PREFIX}' || page_id AS url, html || chr(10) AS html FROM pages"
+
+
+@query("read_raw_pages", RAW_PAGES_SQL)
+def _read_raw_pages(spark, sf_dir):
+    return read_raw_pages(spark, dump_pages(spark, sf_dir), LINK_PREFIX, glob="*.txt", id_folder="page_id")
+
+
+@query("raw_pages_newest", f"{RAW_PAGES_SQL} WHERE page_id > greatest(0, (SELECT max(page_id) FROM pages) - 100)")
+def _raw_pages_newest(spark, sf_dir):
+    """The newest span of ids; other folders of the dump are not opened."""
+    span = newest_span(id_bounds(table(spark, sf_dir, "pages"), "page_id")[1], 100)
+    return read_raw_pages(spark, dump_pages(spark, sf_dir), LINK_PREFIX, glob="*.txt", span=span, id_folder="page_id")
+
+
 @query(
     "page_robust",
     f"""WITH {PAGE_ARTICLES_SQL}

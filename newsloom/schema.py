@@ -24,6 +24,16 @@ PAGE = T.StructType(
     ]
 )
 
+# A file as Spark's binary source gives it.
+RAW_FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
 # Folder column of a corpus written by category.
 CATEGORY_KEY = "category_key"
 # Folders of such a corpus: a category's name may be longer than a file name, so folders are numbered by its hash.

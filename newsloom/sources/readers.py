@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,7 @@ from newsloom.schema import (
     CORPUS_FORMATS,
     DEFAULT_CORPUS_FORMAT,
     PAGE,
+    RAW_FILE,
 )
 from newsloom.sources.arrays import read_records
 
@@ -39,6 +41,56 @@ def read_pages(spark: SparkSession, path: str, position: str | None = None) -> D
     return pages.withColumn(position, landing_order()) if position else pages
 
 
+def id_globs(lo: int, hi: int) -> list[str]:
+    """File-name patterns that the decimal numbers from ``lo`` to ``hi`` match, and no others; some two a digit."""
+    globs = ["0"] if lo <= 0 <= hi else []
+    at = max(lo, 1)
+    while at <= hi:
+        size, free = 1, 0
+        while at % (size * 10) == 0 and at + size * 10 - 1 <= hi:
+            size, free = size * 10, free + 1
+        head, digit = divmod(at // size, 10)
+        last = min(9, digit + (hi - at + 1) // size - 1)
+        globs.append((str(head) if head else "") + f"[{digit}-{last}]" + "[0-9]" * free)
+        at += (last - digit + 1) * size
+    return globs
+
+
+def _named_within(glob: str, span: tuple[int, int] | None) -> str:
+    """The glob, narrowed to names whose number lies in the span. A few others may match: digits that follow letters and digits."""
+    if span is None:
+        return glob
+    ending = glob.removeprefix("*")
+    if ending == glob or re.match(r"\d", ending) or set(ending) & set("*?[]{},\\"):
+        raise ValueError(f"ids can be looked for only where the glob is * and an ending: {glob}")
+    zeros = ",".join("0" * n for n in range(19))
+    numbers = ",".join(id_globs(*span)) or "-"  # no name holds a number that is "-"
+    return f"{{,*[^0-9]}}{{{zeros}}}{{{numbers}}}{{,[^0-9]*}}{ending}"
+
+
+def _raw_files(reader, path: str, glob: str, span: tuple[int, int] | None, id_folder: str | None) -> DataFrame:
+    """(page_id, content, modificationTime, path) of files of pages; a span is met by the listing."""
+    schema = T.StructType([*RAW_FILE.fields, *([T.StructField(id_folder, T.LongType())] if id_folder else [])])
+    reader = reader.format("binaryFile").schema(schema)
+    if id_folder:
+        files, page_id = reader.option("pathGlobFilter", glob).load(path), F.col(id_folder)
+    else:
+        files = reader.option("pathGlobFilter", _named_within(glob, span)).load(path)
+        page_id = F.nullif(F.regexp_extract("path", r"(\d+)[^/]*$", 1), F.lit("")).try_cast("bigint")
+    if span is not None:
+        files = files.filter(page_id.between(*span))
+    return files.select(page_id.alias("page_id"), "content", "modificationTime", "path")
+
+
+def _raw_pages(files: DataFrame, link_prefix: str, charset: str | None, model: CharsetModel | None) -> list[Column]:
+    page_id, content = files["page_id"], files["content"]
+    return [
+        page_id,
+        F.concat(F.lit(link_prefix), page_id.cast("string")).alias("url"),
+        decode_body(content, _charset(F.lit(charset).cast("string"), content, model)).alias("html"),
+    ]
+
+
 def read_raw_pages(
     spark: SparkSession,
     path: str,
@@ -46,20 +98,36 @@ def read_raw_pages(
     charset: str | None = None,
     glob: str = "*.html",
     model: CharsetModel | None = None,
+    span: tuple[int, int] | None = None,
+    id_folder: str | None = None,
 ) -> DataFrame:
     """Pages from a dump with one file per page, named by its id.
 
     ``charset`` is the declared one of the dump; without one ``model`` tells each page's. Files without digits in their
-    name get no id.
+    name get no id. With ``id_folder`` the ids stand in names of folders instead, such as ``id=17``.
+
+    ``span`` (from, to) takes the pages with these ids: by patterns of names, or by pruned folders, so that no file beyond
+    them is opened.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    digits = F.regexp_extract("path", r"(\d+)[^/]*$", 1)
-    page_id = F.nullif(digits, F.lit("")).try_cast("bigint")
-    return files.select(
-        page_id.alias("page_id"),
-        F.concat(F.lit(link_prefix), page_id.cast("string")).alias("url"),
-        decode_body(F.col("content"), _charset(F.lit(charset).cast("string"), F.col("content"), model)).alias("html"),
-    )
+    files = _raw_files(spark.read, path, glob, span, id_folder)
+    return files.select(*_raw_pages(files, link_prefix, charset, model))
+
+
+def stream_raw_pages(
+    spark: SparkSession,
+    path: str,
+    link_prefix: str,
+    charset: str | None = None,
+    glob: str = "*.html",
+    model: CharsetModel | None = None,
+    span: tuple[int, int] | None = None,
+    id_folder: str | None = None,
+    files_per_batch: int = 1000,
+) -> DataFrame:
+    """``read_raw_pages`` of a dump that grows, oldest files first, with the ``position`` of each page: file time and name."""
+    files = _raw_files(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path, glob, span, id_folder)
+    position = F.struct(F.unix_micros("modificationTime").alias("landed"), F.col("path").alias("file"))
+    return files.select(*_raw_pages(files, link_prefix, charset, model), position.alias("position"))
 
 
 def decode_pages(raw: DataFrame, link_prefix: str, model: CharsetModel | None = None) -> DataFrame:
@@ -84,6 +152,19 @@ def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     return _with_link(items)
 
 
+def stream_feed_items(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Links of the items of RSS snapshots as they land, with the ``feed`` and ``snapshot`` they come from.
+
+    A feed is a folder below ``path``, a snapshot a file in it.
+    """
+    reader = spark.readStream.format("xml").option("rowTag", "item").option("maxFilesPerTrigger", files_per_batch)
+    items = reader.schema("link string").load(f"{path.rstrip('/')}/*/*")
+    file = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file, r"([^/]*)/[^/]*$", 1)
+    feed = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))  # in paths a plus is no space
+    return items.select("link", feed.alias("feed"), file.alias("snapshot"))
+
+
 def feed_items(feeds: DataFrame, column: str) -> DataFrame:
     """Links of items held one per row as XML text in a column."""
     item = F.from_xml(F.col(column), "link string")

@@ -1,6 +1,7 @@
 """Readers and writers on files."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from newsloom.operators.dedup import dedupe_keep_first
 from newsloom.operators.scan import feed_id_range, feed_ids
 from newsloom.sources.readers import (
     default_category_list,
+    id_globs,
     read_articles,
     read_articles_or_empty,
     read_categories,
@@ -182,3 +184,42 @@ def test_output_summary_of_nothing(spark):
 def test_output_name_column(spark):
     row = spark.sql("select timestamp'2025-01-02 03:04:05' as t").select(output_name_column("content", "t")).first()
     assert row[0] == "content_20250102_030405"
+
+
+@pytest.mark.parametrize("lo, hi", [(0, 0), (0, 9), (1, 10), (7, 123), (95, 105), (100, 999), (1, 1000), (998, 12_345), (5, 4), (-3, 2)])
+def test_id_globs(lo, hi):
+    """Each number of the span matches exactly one pattern, others none."""
+    patterns = [re.compile(g) for g in id_globs(lo, hi)]
+    for number in range(13_000):
+        assert sum(bool(p.fullmatch(str(number))) for p in patterns) == (lo <= number <= hi)
+
+
+def test_id_globs_of_long_spans_are_few():
+    assert len(id_globs(1, 2**63 - 1)) < 60
+
+
+def test_raw_pages_of_a_span(spark, tmp_path):
+    """Only files whose names hold an id of the span are opened, however the number is written."""
+    names = {"9.html": 9, "10.html": 10, "page-011.html": 11, "12-a.html": 12, "0013 x.html": 13, "14.html": 14, "114.html": 114, "a.html": None}
+    for name in names:
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "12.txt").write_bytes(b"x")
+    pages = read_raw_pages(spark, str(tmp_path), "u", span=(10, 13))
+    assert sorted(r.page_id for r in pages.collect()) == [10, 11, 12, 13]
+    assert len(pages.inputFiles()) == 4
+    assert read_raw_pages(spark, str(tmp_path), "u", span=(20, 10)).count() == 0
+    assert sorted(r.page_id for r in read_raw_pages(spark, str(tmp_path), "u").collect() if r.page_id) == [9, 10, 11, 12, 13, 14, 114]
+    with pytest.raises(ValueError, match="ending"):
+        read_raw_pages(spark, str(tmp_path), "u", glob="p*.html", span=(1, 2))
+
+
+def test_raw_pages_in_folders_by_id(spark, tmp_path):
+    """A span prunes folders; what lies in others need not be readable."""
+    for number in (7, 8, 2**40):
+        folder = tmp_path / f"id={number}"
+        folder.mkdir()
+        (folder / "body").write_bytes(b"b%d" % number)
+    pages = read_raw_pages(spark, str(tmp_path), "u", glob="*", span=(8, 2**41), id_folder="id")
+    assert sorted(map(tuple, pages.collect())) == [(8, "u8", "b8"), (2**40, f"u{2**40}", f"b{2**40}")]
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(id" in plan

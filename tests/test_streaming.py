@@ -9,13 +9,15 @@ from newsloom.catalog.incremental import page_to_article
 from newsloom.operators.bitmaps import bitmap_size
 from newsloom.operators.dedup import first_per_id
 from newsloom.plans.analysis import range_scan
-from newsloom.sources.readers import read_pages
+from newsloom.sources.readers import read_pages, stream_feed_items, stream_raw_pages
 from newsloom.streaming.ingest import (
     append_stream,
     latest_category_counts,
+    latest_feed_ranges,
     read_corpus,
     read_passed,
     stream_category_counts,
+    stream_feed_range,
     stream_ingest,
     stream_pages,
     stream_pass_once,
@@ -175,3 +177,46 @@ def test_pass_once_keeps_ids_as_bits(spark, tmp_path):
         assert sorted(tuple(r) for r in passed.collect()) == [(-5, 2), (1, 4), (2, 1), (3, 1), (40_000_000_000, 1)]
     ids = spark.read.parquet(*map(str, Path(root, "out/ids").glob("run=*/level=*/first=*")))
     assert bitmap_size(ids).first().asDict() == {"ids": 5, "buckets": 3, "bytes": 3 * 4096}
+
+
+def test_raw_pages_as_a_stream(spark, tmp_path):
+    """A dump that grows is read file by file, those of the span only; a restart reads none again."""
+    dump, out, checkpoint = (str(tmp_path / name) for name in ("dump", "out", "checkpoint"))
+    Path(dump).mkdir()
+
+    def run():
+        pages = stream_raw_pages(spark, dump, "u", span=(2, 30), files_per_batch=1)
+        append_stream(pages, out, checkpoint).awaitTermination()
+        return sorted((r.page_id, r.html) for r in spark.read.parquet(out).collect())
+
+    for number in (1, 2, 3):
+        Path(dump, f"{number}.html").write_text(f"page {number}")
+    assert run() == [(2, "page 2"), (3, "page 3")]
+    Path(dump, "p-030.html").write_text("page 30")
+    Path(dump, "31.html").write_text("page 31")
+    assert run() == run() == [(2, "page 2"), (3, "page 3"), (30, "page 30")]
+    positions = spark.read.parquet(out).orderBy("position").collect()
+    assert [r.page_id for r in positions][-1] == 30
+
+
+def feed(path, *links):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    items = "".join(f"<item><title>t</title>{f'<link>{x}</link>' if x else ''}</item>" for x in links)
+    path.write_text(f"<rss><channel>{items}</channel></rss>")
+
+
+def test_feed_ranges_with_late_snapshots(spark, tmp_path):
+    """Ranges cover all snapshots, whatever the order they land in; a restart counts none again."""
+    feeds, ranges, checkpoint = (str(tmp_path / name) for name in ("feeds", "ranges", "checkpoint"))
+
+    def run():
+        stream_feed_range(stream_feed_items(spark, feeds, 1), ranges, checkpoint, "h.cz").awaitTermination()
+        return sorted(map(tuple, latest_feed_ranges(spark, ranges).collect()))
+
+    feed(Path(feeds, "a b+c", "1.xml"), "https://h.cz/?id=50", "https://h.cz/?id=48", "https://h.cz/?id=0", "")
+    feed(Path(feeds, "other", "1.xml"), "https://elsewhere.cz/?id=7", None)
+    assert run() == [("a b+c", 50, 48, 2, 1), ("other", None, None, 0, 1)]
+    for n in range(9):  # more epochs than a level holds
+        feed(Path(feeds, "a b+c", f"later-{n}.xml"), f"https://h.cz/?id={60 + n}")
+    feed(Path(feeds, "a b+c", "0.xml"), "https://h.cz/?id=50", "https://h.cz/?id=12")  # an old snapshot that lands last
+    assert run() == run() == [("a b+c", 68, 12, 13, 11), ("other", None, None, 0, 1)]
