@@ -6,16 +6,22 @@ the training texts' pairs), so that likely symbols take few bits; any code gives
 
 Each predictor hashes a context (the last 2, 4 or 6 symbols, or the word so far) and the bit's place in the code to a
 slot, which holds how often the bit was 0 and 1 there in all training texts. Its stretched probability (log odds) enters a mix whose
-weights are chosen by a gate: how well the two longest contexts are known. The mix is refined while a text is
-read: in each gate the log odds are scaled by a factor that starts at 1 and is fitted, segment after segment, to the
-text so far. Nothing is carried from one text to the next, so a score depends on neither order nor partitioning.
+weights are chosen by a gate: how well the two longest contexts are known. The weights are learned: slots are counted
+without every sixteenth training text first, and Newton's steps on sums over those texts fit the weights of each gate; then their
+counts are added. While a text is read the mix is refined: in each gate the log odds are scaled by a factor that starts at 1 and is fitted,
+segment after segment, to the text so far.
+
+Beside the bits a word has a second opinion, its exact number among the words of all training texts, a table that grows with the corpus. The two are mixed
+word by word, with a share that is fitted to the text so far as well. A known word, with what ends it, so gets probability from both, any other from
+its bits alone. Nothing is carried from one text to the next, so a score depends on neither order nor partitioning.
 
 The corpus is kept in compressed blocks, written once. Token counts are exact over all training texts; each block gets those
-of its own distinct tokens by a join. Slot counts are summed in two steps, chunk by chunk of the tables; what
+of its own distinct tokens by a join. Slot counts are summed level by level, chunk by chunk of the tables; what
 all tasks need of them has a fixed size (`SLOTS`, 27 MB in all) and is broadcast.
 
 A NULL or empty text has only the end. Rows without an id, repeated rows and equal texts are scored each by itself. Without training
-texts all counts are zero and the bits even. An empty table gives no rows.
+texts all counts are zero and the bits even. An empty table gives no rows. Long texts are read in parts of about 1 MB, each with contexts and
+refinement of its own; one with a word beyond that size is scored by its bits alone from there on. Columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -40,35 +46,18 @@ CHUNK_SYMBOLS = 1 << 17  # symbols taken through the model at a time, apart from
 LONG_TEXT = 1 << 20  # a text is read in parts of this many bytes, each with contexts and refinement of its own
 SLOTS = (20, 22, 22, 22)  # bits of a slot number, per predictor
 CHUNK = 1 << 17  # counters in a chunk of a table
-TASKS_A_SUM = 64  # tables added up in the first step of two
+TASKS_A_SUM = 64  # tables added up in one step
 SEGMENT = 384  # symbols between two refinements
 PACKED = 1 << 20  # counts that a task packs at a time
 PRIOR = 0.3  # added to both counts of a slot
 UNIT = 256  # steps of stored log odds
 CLIP = 7.9
-# Starting weights of the predictors (columns), per gate (rows): four steps of what is known of the last six symbols, in
-# each of them four of what is known of the last four.
-WEIGHTS = np.array(
-    [
-        [0.57, 0.55, 0.17, 0.15],
-        [0.33, 0.62, 0.41, 0.17],
-        [0.22, 0.65, 0.37, 0.13],
-        [0.19, 0.52, 0.43, 0.11],
-        [0.55, 0.59, 0.0, 0.14],
-        [0.3, 0.69, 0.12, 0.23],
-        [0.15, 0.7, 0.25, 0.27],
-        [0.07, 0.51, 0.44, 0.18],
-        [0.53, 0.68, 0.04, 0.11],
-        [0.27, 0.78, 0.0, 0.21],
-        [0.12, 0.81, 0.11, 0.25],
-        [0.0, 0.47, 0.5, 0.24],
-        [0.54, 0.5, 0.06, 0.27],
-        [0.3, 0.77, 0.06, 0.28],
-        [0.17, 0.8, 0.04, 0.27],
-        [0.0, 0.38, 0.53, 0.28],
-    ],
-    np.float32,
-)
+GATES = 16  # four steps of what is known of the last six symbols, in each of them four of what is known of the last four
+FITTED_ON = 16  # every so manieth training text is for the weights
+FINE = 1 << 14  # parts of one that slopes are added up in
+ROUNDS = 3  # of Newton's method on their sums
+NEUTRAL, TOWARDS = 0.3, 200.0  # weight of a predictor of which nothing is known, and how many bits that counts as
+WORD_SHARE, WORD_TRUST = 0.05, 4.0  # part of the words' own counts in the mix to begin with, and how many words that counts as
 
 
 def token_list(raw: bytes) -> list[bytes]:
@@ -179,14 +168,18 @@ class Bits:
 
 
 def bundles(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bool]]:
-    """Texts in runs of some size, with the number of the first; a part of a long text that goes on comes alone, as not ended."""
+    """Texts in runs of some size, with the number of the first; a part of a long text that goes on comes alone, as not ended.
+
+    Parts end after a space, where there is one.
+    """
     start, held, size = 0, [], 0
     for i, text in enumerate(texts):
         while len(text) > LONG_TEXT:
             if held:
                 yield start, held, True
-            yield i, [text[:LONG_TEXT]], False
-            text = text[LONG_TEXT:]
+            cut = text.rfind(b" ", 0, LONG_TEXT) + 1 or LONG_TEXT
+            yield i, [text[:cut]], False
+            text = text[cut:]
             start, held, size = i, [], 0
         held.append(text)
         size += len(text)
@@ -208,46 +201,134 @@ def slot_values(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (steps << np.int16(2)) | known
 
 
+class Words:
+    """Natural logs of the probability of each word by its number in the training texts, with its end."""
+
+    def __init__(self, words: int, distinct: int, texts: int) -> None:
+        self.total = words + distinct
+        with np.errstate(divide="ignore"):
+            self.goes_on, self.is_last = np.log(np.array([words, texts]) / max(words + texts, 1))
+
+    def logs(self, counts: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of words that go on or are a text's last; minus infinity for unknown ones, whose share stays unused."""
+        with np.errstate(divide="ignore"):
+            return np.log(counts / max(self.total, 1)) + np.where(last, self.is_last, self.goes_on)
+
+
+def word_counts(bundle: tuple[int, list[bytes], bool], counts: list[np.ndarray], used: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a bundle's texts its count, and whether it is its text's last. ``used`` says how many words of a
+    text were read in earlier parts. An empty text is one unknown word, as is one cut in two and all after it."""
+    start, some, ended = bundle
+    found, last = [], []
+    for i, text in enumerate(some, start):
+        whole = ended or text.endswith(b" ")
+        words = text.count(b" ") + (ended or not whole)
+        at = used.get(i, 0)
+        used[i] = at + words if whole else len(counts[i]) + 1
+        here = counts[i][at : at + words]
+        here = here if len(here) == words else np.zeros(words)
+        found.append(here if whole else np.append(here[:-1], 0))
+        last.append(np.arange(1, words + 1) == words if ended else np.zeros(words, bool))
+    return np.concatenate(found), np.concatenate(last)
+
+
 class Model:
-    def __init__(self, lengths: np.ndarray, codes: np.ndarray, tables: list[np.ndarray]) -> None:
+    def __init__(self, lengths: np.ndarray, codes: np.ndarray, tables: list[np.ndarray], weights: np.ndarray | None = None) -> None:
+        """``weights``: one row per gate and one column per predictor; neutral ones if None."""
         self.lengths, self.codes, self.tables = lengths, codes, tables
         self.code = Code(lengths, codes)
-        self.weights = [np.ascontiguousarray(w) for w in (WEIGHTS / UNIT).astype(np.float32).T]
+        weights = np.full((GATES, len(SLOTS)), NEUTRAL) if weights is None else weights
+        self.weights = [np.ascontiguousarray(w) for w in (weights / UNIT).astype(np.float32).T]
 
-    def odds(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed log odds and gate of each bit."""
+    def opinions(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
+        """What each predictor's slots hold for each bit, and its gate."""
         found = [self.tables[k][bits.slots(k)] for k in range(len(SLOTS))]
         gate = (((found[2] & 3) << 2) | (found[1] & 3)).astype(np.int64)
+        return [values >> 2 for values in found], gate
+
+    def odds(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed log odds and gate of each bit."""
+        found, gate = self.opinions(bits)
         mixed = np.zeros(len(gate), np.float32)
         for k, values in enumerate(found):
             term = self.weights[k][gate]
-            term *= values >> 2
+            term *= values
             mixed += term
         return mixed, gate
 
-    def losses(self, texts: list[bytes]) -> np.ndarray:
-        """Minus the natural log probability of each text."""
+    def slopes(self, texts: list[bytes]) -> np.ndarray:
+        """Per gate, the slope of the loss along each weight and the bend along each two, summed over the texts' bits.
+
+        In whole ``FINE`` parts, so that sums do not depend on their order.
+        """
+        sums = np.zeros((GATES, 14), np.int64)
+        for _, some, ended in bundles(texts):
+            bits = Bits(some, self.code, ended)
+            found, gate = self.opinions(bits)
+            views = [values.astype(np.float32) / UNIT for values in found]
+            mixed = sum(self.weights[k][gate] * UNIT * view for k, view in enumerate(views))
+            one = 1 / (1 + np.exp(-mixed))
+            wrong, spread = one - bits.value, one * (1 - one)
+            terms = [wrong * view for view in views]
+            terms += [spread * views[j] * views[k] for j in range(4) for k in range(j, 4)]
+            for column, term in enumerate(terms):
+                sums[:, column] += np.bincount(gate, weights=np.rint(term * FINE), minlength=GATES).astype(np.int64)
+        return sums
+
+    def losses(self, texts: list[bytes], counts: list[np.ndarray] | None = None, words: Words | None = None) -> np.ndarray:
+        """Minus the natural log probability of each text; ``counts`` has the number of each of its words in the training texts."""
         result = np.zeros(len(texts))
-        for start, some, ended in bundles(texts):
+        used: dict[int, int] = {}
+        for bundle in bundles(texts):
+            start, some, ended = bundle
             bits = Bits(some, self.code, ended)
             odds, gate = self.odds(bits)
             sizes = np.array([len(t) + ended for t in some])
             begin = np.cumsum(sizes) - sizes
-            # Bits by segment, so that each wave of segments is a slice; within it texts stay in order.
             text = np.repeat(np.arange(len(some)), sizes)
-            segment = ((np.arange(len(text)) - begin[text]) // SEGMENT).astype(np.uint16 if len(text) < SEGMENT << 16 else np.int64)
-            order = np.argsort(np.repeat(segment, bits.lengths), kind="stable")
-            ends = np.cumsum(np.bincount(segment, weights=bits.lengths)).astype(np.int64)
+            # A word goes up to the space or end behind it.
+            ends = np.flatnonzero((bits.symbols == END) | (bits.symbols == 32))
+            if not len(ends) or ends[-1] + 1 < len(text):
+                ends = np.append(ends, len(text) - 1)
+            first = np.append(0, ends[:-1] + 1)
+            # Words by segment, so that each wave of segments is a slice; within it texts stay in order.
+            segment = (first - begin[text[first]]) // SEGMENT
+            inside = np.repeat(segment, ends + 1 - first)
+            narrow = np.uint16 if segment.max() < 1 << 16 else np.int64
+            order = np.argsort(np.repeat(inside.astype(narrow), bits.lengths), kind="stable")
+            cuts = np.cumsum(np.bincount(inside, weights=bits.lengths)).astype(np.int64)
+            by_wave = np.argsort(segment, kind="stable")
+            sizes_of_words = np.add.reduceat(bits.lengths, first)[by_wave]
+            word_at = np.cumsum(sizes_of_words) - sizes_of_words
+            word_cuts = np.cumsum(np.bincount(segment)).tolist()
+            text_of_word = text[first][by_wave]
+            known = None
+            if counts is not None:
+                known = words.logs(*word_counts(bundle, counts, used))[by_wave]
             # Signed so that right predictions are negative.
             wrong_way = np.where(bits.value == 1, -odds, odds)[order]
-            state = ((text * 16)[bits.symbol] + gate)[order]
-            scale = np.ones(16 * len(some), np.float32)
+            state = ((text * GATES)[bits.symbol] + gate)[order]
+            scale = np.ones(GATES * len(some), np.float32)
             bend = np.full(len(scale), 20.0)
-            lost = np.zeros(len(scale))
-            for low, high in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            lost, of_words, seen = (np.zeros(len(some)) for _ in range(3))
+            share = np.full(len(some), WORD_SHARE)
+            for low, high, low_word, high_word in zip([0, *cuts[:-1].tolist()], cuts.tolist(), [0, *word_cuts[:-1]], word_cuts):
+                if low == high:
+                    continue
                 z, of = wrong_way[low:high], state[low:high]
                 ratio = np.exp(np.minimum(z * scale[of], np.float32(60)))
-                lost += np.bincount(of, weights=np.log(1 + ratio), minlength=len(scale))
+                loss = np.add.reduceat(np.log(1 + ratio), word_at[low_word:high_word] - low, dtype=np.float64)
+                owner = text_of_word[low_word:high_word]
+                if known is not None:
+                    part = share[owner]
+                    by_bits = np.log1p(-part) - loss
+                    both = np.logaddexp(np.log(part) + known[low_word:high_word], by_bits)
+                    loss = -both
+                    of_words += np.bincount(owner, weights=-np.expm1(by_bits - both), minlength=len(some))
+                    seen += np.bincount(owner, minlength=len(some))
+                    share = (WORD_SHARE * WORD_TRUST + of_words) / (WORD_TRUST + seen)
+                    share = np.clip(share, 1e-4, 1 - 1e-4)
+                lost += np.bincount(owner, weights=loss, minlength=len(some))
                 if high < len(order):
                     # A step of Newton's method on all segments so far, held towards a factor of 1.
                     wrong = ratio / (1 + ratio)
@@ -255,7 +336,7 @@ class Model:
                     bend += np.bincount(of, weights=slope * z * (1 - wrong), minlength=len(scale))
                     slope = np.bincount(of, weights=slope, minlength=len(scale))
                     scale = np.clip(scale - slope / bend, 0.3, 3).astype(np.float32)
-            result[start : start + len(some)] += lost.reshape(-1, 16).sum(axis=1)
+            result[start : start + len(some)] += lost
         return result
 
 
@@ -277,20 +358,23 @@ def _plain(data: bytes) -> bytes:
 def corpus_blocks(documents: DataFrame, held_out_of: tuple[int, int] = (7, 2)) -> DataFrame:
     """(block, rows, texts): normalised texts, compressed in blocks of bounded size, written once.
 
-    ``rows`` holds their ids and whether they are held out, as an Arrow stream.
+    ``rows`` holds their ids, whether they are held out, and whether they are for the weights, as an Arrow stream.
     """
     modulus, held = held_out_of
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    source = documents.select("doc_id", (F.pmod(crc, F.lit(modulus)) == held).alias("held"), text_or_empty().alias("text"))
+    out = F.pmod(crc, F.lit(modulus)) == held
+    fit = ~out & (F.pmod(F.shiftright(crc, 8), F.lit(FITTED_ON)) == 0)
+    source = documents.select("doc_id", out.alias("held"), fit.alias("fit"), text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[pa.Array] = []
         held: list[pa.Array] = []
+        fit: list[pa.Array] = []
         texts: list[bytes] = []
         size, made = 0, TaskContext.get().partitionId() << 32
 
         def block() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (ids, held)], ["doc_id", "held_out"])
+            rows = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (ids, held, fit)], ["doc_id", "held_out", "fit"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as writer:
                 writer.write_batch(rows)
@@ -300,11 +384,12 @@ def corpus_blocks(documents: DataFrame, held_out_of: tuple[int, int] = (7, 2)) -
         for part in slices(batches, 64):
             ids.append(part.column(0))
             held.append(part.column(1))
-            texts += [b" ".join((x or "").encode().lower().split()) for x in part.column(2).to_pylist()]
+            fit.append(part.column(2))
+            texts += [b" ".join((x or "").encode().lower().split()) for x in part.column(3).to_pylist()]
             size += sum(map(len, texts[-part.num_rows :]))
             if size >= BLOCK_BYTES:
                 yield block()
-                ids, held, texts, size, made = [], [], [], 0, made + 1
+                ids, held, fit, texts, size, made = [], [], [], [], 0, made + 1
         if texts:
             yield block()
 
@@ -315,10 +400,12 @@ def _rows(packed: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(packed).read_next_batch()
 
 
-def _training_texts(part: pa.RecordBatch) -> list[bytes]:
-    """Of one block, given as (rows, texts)."""
-    held = _rows(part.column(0)[0].as_py()).column(1).to_pylist()
-    return [t for t, h in zip(_plain(part.column(1)[0].as_py()).split(b"\n"), held) if not h]
+def _training_texts(part: pa.RecordBatch, fit: bool | None = None) -> list[bytes]:
+    """Of one block, given as (rows, texts); with ``fit`` those for the weights, or the others."""
+    rows = _rows(part.column(0)[0].as_py())
+    held, fits = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+    texts = _plain(part.column(1)[0].as_py()).split(b"\n")
+    return [t for t, h, f in zip(texts, held, fits) if not h and (fit is None or fit == f)]
 
 
 def block_tokens(blocks: DataFrame) -> DataFrame:
@@ -416,15 +503,14 @@ def _added(tables: DataFrame, key: list[str], last: bool) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{k} bigint" for k in key) + ", data binary")
 
 
-def trained(blocks: DataFrame) -> Model:
-    """The model of the training texts; what reaches the driver has a fixed size."""
-    lengths, codes = prefix_codes(symbol_pairs(blocks))
+def slot_counts(blocks: DataFrame, lengths: np.ndarray, codes: np.ndarray, fit: bool) -> DataFrame:
+    """(kind, chunk, part, data): counters of the training texts for the weights, or of the others, added up over few tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << bits, np.int32) for bits in SLOTS]
         code, seen = Code(lengths, codes), False
         for part in slices(batches, 1):
-            for _, some, ended in bundles(_training_texts(part)):
+            for _, some, ended in bundles(_training_texts(part, fit)):
                 bits, seen = Bits(some, code, ended), True
                 value = bits.value.astype(np.uint32)
                 for k, table in enumerate(tables):
@@ -440,12 +526,59 @@ def trained(blocks: DataFrame) -> Model:
                         yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "part", "data"])
 
     counted = blocks.select("rows", "texts").mapInArrow(run, "kind bigint, chunk bigint, part bigint, data binary")
-    sums = _added(_added(counted, ["kind", "chunk", "part"], False), ["kind", "chunk"], True)
+    groups = -(-blocks.rdd.getNumPartitions() // TASKS_A_SUM)
+    added = _added(counted, ["kind", "chunk", "part"], False)
+    while groups > TASKS_A_SUM:
+        added = _added(added.withColumn("part", F.expr(f"part div {TASKS_A_SUM}")), ["kind", "chunk", "part"], False)
+        groups = -(-groups // TASKS_A_SUM)
+    return stored(added, "slots")
+
+
+def _tables(counts: DataFrame) -> list[np.ndarray]:
     tables = [np.zeros(1 << bits, np.int16) for bits in SLOTS]
-    for row in sums.toLocalIterator():
-        half = CHUNK // 2
+    half = CHUNK // 2
+    for row in _added(counts, ["kind", "chunk"], True).toLocalIterator():
         tables[row["kind"]][row["chunk"] * half : (row["chunk"] + 1) * half] = np.frombuffer(_plain(row["data"]), np.int16)
-    return Model(lengths, codes, tables)
+    return tables
+
+
+def fitted_weights(blocks: DataFrame, lengths: np.ndarray, codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Weights by Newton's method on the texts kept back for them. A round brings 16 rows of whole numbers to the driver,
+    which add up to the same whatever the tasks."""
+    weights = np.full((GATES, len(SLOTS)), NEUTRAL)
+    sent = blocks.sparkSession.sparkContext.broadcast((lengths, codes, tables))
+    names = [f"s{i}" for i in range(14)]
+    for _ in range(ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            model, sums = Model(*sent.value, weights), np.zeros((GATES, 14), np.int64)
+            for part in slices(batches, 1):
+                sums += model.slopes(_training_texts(part, True))
+            yield pa.RecordBatch.from_arrays([pa.array(range(GATES), pa.int64()), *map(pa.array, sums.T)], ["gate", *names])
+
+        schema = "gate bigint, " + ", ".join(f"{n} bigint" for n in names)
+        rows = blocks.select("rows", "texts").mapInArrow(run, schema).groupBy("gate").agg(*(F.sum(n).alias(n) for n in names)).collect()
+        moved = weights.copy()
+        for row in rows:
+            sums = np.array([row[n] for n in names]) / FINE
+            bend = np.eye(4) * TOWARDS
+            upper = np.triu_indices(4)
+            bend[upper] += sums[4:]
+            bend = np.triu(bend) + np.triu(bend, 1).T
+            here = weights[row["gate"]]
+            step = np.linalg.solve(bend, sums[:4] + TOWARDS * (here - NEUTRAL))
+            moved[row["gate"]] = here - np.clip(step, -1, 1)
+        weights = moved
+    sent.destroy()
+    return weights
+
+
+def trained(blocks: DataFrame) -> Model:
+    """The model of the training texts; what reaches the driver has a fixed size."""
+    lengths, codes = prefix_codes(symbol_pairs(blocks))
+    most, rest = slot_counts(blocks, lengths, codes, False), slot_counts(blocks, lengths, codes, True)
+    weights = fitted_weights(blocks, lengths, codes, _tables(most))
+    return Model(lengths, codes, _tables(most.unionByName(rest)), weights)
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -453,11 +586,12 @@ def score_documents(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     blocks = corpus_blocks(documents)
     model = trained(blocks)
-    parts = spark.sparkContext.broadcast((model.lengths, model.codes, model.tables))
+    parts = spark.sparkContext.broadcast((model.lengths, model.codes, model.tables, np.stack(model.weights, axis=1) * UNIT))
     tokens = stored(block_tokens(blocks), "tokens")
     counts = stored(tokens.where("n > 0").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
+    ends = counts.where(F.length("token") == 0).agg(F.sum("c")).first()[0] or 0
     kind = dict(documents.dtypes)["doc_id"]
 
     # A block's tokens come back as numbers and counts, not as text: the block has them in the same order.
@@ -471,31 +605,31 @@ def score_documents(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         least = math.log10(n + v + 1)
-        model = Model(*parts.value)
+        model, of_words = Model(*parts.value), Words(n - ends, v - (ends > 0), ends)
         places: list[np.ndarray] = []
-        logs: list[np.ndarray] = []
+        known: list[np.ndarray] = []
         for part in slices(batches, 1):
             if part.column(1)[0].as_py() == 0:
                 places.append(np.frombuffer(part.column(2)[0].as_py(), np.int32))
-                logs.append(np.log10(np.frombuffer(part.column(3)[0].as_py(), np.int64) + 1.0))
+                known.append(np.frombuffer(part.column(3)[0].as_py(), np.int64))
                 continue
             rows, some = _rows(part.column(4)[0].as_py()), _plain(part.column(5)[0].as_py()).split(b"\n")
             numbers: dict[bytes, int] = {}
             found = [[numbers.setdefault(token, len(numbers)) for token in token_list(text)] for text in some]
             values = np.zeros(len(numbers))
             if places:
-                values[np.concatenate(places)] = np.concatenate(logs)
-            places, logs = [], []
+                values[np.concatenate(places)] = np.concatenate(known)
+            places, known = [], []
             of_texts = [values[ids] for ids in found]
             del found, numbers
-            losses = model.losses(some)
+            losses = model.losses(some, [x[:-1] for x in of_texts], of_words)
             sizes = np.array([len(t) + 1 for t in some])
             columns = [
-                *rows.columns,
+                *rows.columns[:2],
                 pa.array([len(x) for x in of_texts], pa.int64()),
                 pa.array([int(np.count_nonzero(x)) for x in of_texts], pa.int64()),
                 pa.array([n] * len(some), pa.int64()),
-                pa.array([math.fsum(x) - len(x) * least for x in of_texts]),
+                pa.array([math.fsum(np.log10(x + 1)) - len(x) * least for x in of_texts]),
                 pa.array(-losses / math.log(10)),
                 pa.array(losses / math.log(2) / sizes),
             ]

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,12 +87,132 @@ def test_bit_probabilities_sum_to_one():
 
 def test_long_texts_are_read_in_parts(monkeypatch):
     monkeypatch.setattr(lm_scoring, "LONG_TEXT", 1000)
-    texts = [b"ab", b"x" * 3500, b"", b"cd " * 300]
+    texts = [b"ab", b"x" * 3500, b"", b"cd " * 299 + b"cd", b"efg " * 300 + b"h"]
     parts = [(i, list(map(len, some)), ended) for i, some, ended in lm_scoring.bundles(texts)]
-    assert parts == [(0, [2], True), (1, [1000], False), (1, [1000], False), (1, [1000], False), (1, [500, 0, 900], True)]
+    assert parts == [
+        (0, [2], True), (1, [1000], False), (1, [1000], False), (1, [1000], False), (1, [500, 0, 899], True), (4, [1000], False), (4, [201], True),
+    ]
+    assert b"".join(some[0] for i, some, _ in lm_scoring.bundles(texts) if i == 4) == texts[4]
     model = lm_scoring.Model(*lm_scoring.prefix_codes(np.zeros((257, 257), np.int64)), [np.zeros(1 << b, np.int16) for b in lm_scoring.SLOTS])
     # Even bits: the code lengths.
     assert model.losses(texts)[[0, 2]] == pytest.approx([-np.log(p) for p in (2.0 ** -sum(model.lengths[a, b] for a, b in ((256, 97), (97, 98), (98, 256))), 2.0 ** -float(model.lengths[256, 256]))])
+    # Counts go with their words over all parts; a word cut in two has none, nor has what follows it.
+    counts, used = [np.arange(1.0, len(t.split()) + 1) for t in texts], {}
+    found = [lm_scoring.word_counts(bundle, counts, used) for bundle in lm_scoring.bundles(texts)]
+    assert [list(c) for c, _ in found[1:4]] == [[0]] * 3 and list(found[0][0]) == [1]
+    assert list(found[4][0]) == [0, 0, *range(1, 301)] and list(np.flatnonzero(found[4][1])) == [0, 1, 301]
+    assert list(found[5][0]) == [*range(1, 251)] and not found[5][1].any()
+    assert list(found[6][0]) == [*range(251, 302)] and list(np.flatnonzero(found[6][1])) == [50]
+
+
+def plain_loss(model, weights, text, counts, words):
+    """The loss of one text, symbol by symbol and bit by bit in plain Python."""
+    m32 = 2**32 - 1
+
+    def scrambled(x, factor):
+        x = x * factor & m32
+        return x ^ x >> 15
+
+    symbols = [*text, lm_scoring.END]
+    ends = [i for i, s in enumerate(symbols) if s in (32, lm_scoring.END)]
+    state = {g: [1.0, 20.0, 0.0, 0.0] for g in range(16)}  # scale, bend; slope and bend of the segment
+    share, hits, seen, total, segment = lm_scoring.WORD_SHARE, 0.0, 0, 0.0, 0
+
+    def refine():
+        nonlocal share
+        for g in state.values():
+            g[1] += g[3]
+            g[0] = min(max(g[0] - g[2] / g[1], 0.3), 3)
+            g[2:] = 0.0, 0.0
+        if seen:
+            share = min(max((lm_scoring.WORD_SHARE * lm_scoring.WORD_TRUST + hits) / (lm_scoring.WORD_TRUST + seen), 1e-4), 1 - 1e-4)
+
+    begin = 0
+    for number, end in enumerate(ends):
+        if begin // lm_scoring.SEGMENT != segment:
+            refine()
+            segment = begin // lm_scoring.SEGMENT
+        loss = 0.0
+        for at in range(begin, end + 1):
+            back = [symbols[at - k] if at >= k else lm_scoring.END for k in range(1, 7)]
+            two = scrambled(back[0] * 521 + back[1] + 1 & m32, 0x9E3779B1)
+            four = scrambled((two ^ back[2] * 521 + back[3]) + 2 & m32, 0x85EBCA6B)
+            six = scrambled((four ^ back[4] * 521 + back[5]) + 3 & m32, 0xC2B2AE35)
+            so_far = sum((s + 7) * 0x01000193**i for i, s in enumerate(symbols[begin:at]))
+            word = scrambled(so_far + 4 & m32, 0x27D4EB2F)
+            length, code = int(model.lengths[back[0], symbols[at]]), int(model.codes[back[0], symbols[at]])
+            for place in range(length):
+                node = ((1 << place | code >> length - place) * 0x9E3779B1 + back[0]) & m32
+                held = [int(model.tables[k][((c ^ node) * 0x2C1B3C6D & m32) >> 32 - lm_scoring.SLOTS[k]]) for k, c in enumerate((two, four, six, word))]
+                gate = (held[2] & 3) << 2 | held[1] & 3
+                odds = sum(w * (h >> 2) / lm_scoring.UNIT for w, h in zip(weights[gate], held))
+                z = -odds if code >> length - place - 1 & 1 else odds
+                ratio = np.exp(min(z * state[gate][0], 60))
+                loss += np.log1p(ratio)
+                wrong = ratio / (1 + ratio)
+                state[gate][2] += z * wrong
+                state[gate][3] += z * z * wrong * (1 - wrong)
+        c = counts[number] if len(counts) == len(ends) else 0
+        known = c / words.total * np.exp(words.is_last if end == len(symbols) - 1 else words.goes_on)
+        both = share * known + (1 - share) * np.exp(-loss)
+        hits, seen, total = hits + share * known / both, seen + 1, total - np.log(both)
+        begin = end + 1
+    return total
+
+
+def test_losses_equal_plain_python(monkeypatch):
+    """Tables and weights of some texts, scores of others: several segments, an empty text, unknown words, all in one bundle."""
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 40)
+    rng = random.Random(5)
+    vocabulary = [bytes(rng.choices(b"abcdefgh\xc3\xa9", k=rng.randrange(1, 9))) for _ in range(40)]
+    learned = [b" ".join(rng.choices(vocabulary, k=60)) for _ in range(40)]
+    scored = [b"", b"a", b"zz qq", *(b" ".join(rng.choices([*vocabulary, b"new", b"words"], k=rng.randrange(1, 60))) for _ in range(12))]
+    pairs = np.zeros((257, 257), np.int64)
+    for text in learned:
+        np.add.at(pairs, ([256, *text], [*text, 256]), 1)
+    lengths, codes = lm_scoring.prefix_codes(pairs)
+    tables = []
+    bits = lm_scoring.Bits(learned, lm_scoring.Code(lengths, codes))
+    for k, size in enumerate(lm_scoring.SLOTS):
+        seen = np.zeros((1 << size, 2), np.int64)
+        np.add.at(seen, (bits.slots(k), bits.value), 1)
+        tables.append(lm_scoring.slot_values(seen[:, 0], seen[:, 1]))
+    weights = np.random.default_rng(3).uniform(0.1, 0.6, (16, 4))
+    numbers = {w: sum(t.split().count(w) for t in learned) for w in vocabulary}
+    words = lm_scoring.Words(sum(numbers.values()), len(numbers), len(learned))
+    counts = [np.array([numbers.get(w, 0) for w in t.split()], float) for t in scored]
+    model = lm_scoring.Model(lengths, codes, tables, weights)
+    plain = [plain_loss(model, weights, t, c, words) for t, c in zip(scored, counts)]
+    assert model.losses(scored, counts, words) == pytest.approx(plain, rel=1e-4)
+
+
+def test_weights_follow_the_predictors(documents, monkeypatch):
+    """Fitted weights lose less on the texts they were fitted on than neutral ones, and do not depend on partitioning."""
+    monkeypatch.setattr(lm_scoring, "SLOTS", (12, 14, 14, 14))
+    monkeypatch.setattr(lm_scoring, "CHUNK", 1 << 12)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(200)]
+    docs = documents([(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(300)])
+    found = []
+    for df in (docs, docs.repartition(5)):
+        blocks = lm_scoring.corpus_blocks(df)
+        model = lm_scoring.trained(blocks)
+        found.append(np.stack(model.weights))
+        rows = [(lm_scoring._training_texts(pa.RecordBatch.from_pydict({"rows": [r.rows], "texts": [r.texts]}), True)) for r in blocks.collect()]
+        texts = [t for some in rows for t in some]
+        neutral = lm_scoring.Model(model.lengths, model.codes, model.tables)
+        assert 5 < len(texts) < 40 and model.losses(texts).sum() < neutral.losses(texts).sum()
+    assert (found[0] == found[1]).all()
+
+
+def test_known_words_score_better_with_their_counts():
+    words = lm_scoring.Words(1000, 50, 20)
+    model = lm_scoring.Model(*lm_scoring.prefix_codes(np.zeros((257, 257), np.int64)), [np.zeros(1 << b, np.int16) for b in lm_scoring.SLOTS])
+    text = b" ".join([b"frequent"] * 30)
+    plain = model.losses([text])[0]
+    assert model.losses([text], [np.full(30, 400.0)], words)[0] < plain / 3
+    # Unknown words lose no more than what the mix set aside.
+    assert plain < model.losses([text], [np.zeros(30)], words)[0] < plain + 3
 
 
 def test_scores_do_not_depend_on_partitioning(documents):
