@@ -512,10 +512,13 @@ def slot_counts(blocks: DataFrame, lengths: np.ndarray, codes: np.ndarray, fit:
         for part in slices(batches, 1):
             for _, some, ended in bundles(_training_texts(part, fit)):
                 bits, seen = Bits(some, code, ended), True
-                value = bits.value.astype(np.uint32)
+                value, one = bits.value.astype(np.int64), np.int32(1)
                 for k, table in enumerate(tables):
-                    at, n = np.unique((bits.slots(k) << np.uint32(1)) | value, return_counts=True)
-                    table[at] += n.astype(np.int32)
+                    # Indexes and addend of these types are added in place, several times faster than by sorting.
+                    at = bits.slots(k).astype(np.int64)
+                    at <<= 1
+                    at |= value
+                    np.add.at(table, at, one)
         if seen:
             group = TaskContext.get().partitionId() // TASKS_A_SUM
             for k, table in enumerate(tables):
