@@ -7,7 +7,9 @@ the positions of continuation bytes, character offsets. A character may be split
 tokens: all of them get its position as their start, and `split` tells how many such tokens there are.
 
 A missing text counts as empty and gives no tokens. Ids outside the vocabulary decode to nothing.
-Decoding gives the exact bytes; as text, bytes that form no character become U+FFFD.
+Decoding gives the exact bytes; as text, bytes that form no character become U+FFFD. Texts of any length are encoded whole. Rows are
+handled one by one, repeated ones alike, whatever their ids; an empty table gives no rows. Columns named like the added ones are replaced,
+all others stay.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ the chunks it touches and few others. A fingerprint is the set of (digest, lengt
 
 Likeness is containment: the length of the shared chunks over the length of the shorter set. Equal texts have equal
 fingerprints; NULL and empty ones the empty fingerprint, which is like an empty one (1) and like no other (0).
+
+Texts of any length are read whole. Repeated rows each get a row: the next document of one is the next row with its id, in the order of a hash of the texts,
+and among equal rows an equal one. An empty table gives no rows; the only document follows itself. A column named fingerprint is replaced, other columns
+are kept (`with_fingerprints`) or not looked at.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ import numpy as np
 import pytest
 from conftest import rows_of
 
-from newsloom.llm import grid_join, merkle, spelling, suffix_dedup
+import corpus_pipeline
+from newsloom.llm import bpe, chunk_fingerprints, grid_join, merkle, spelling, suffix_dedup
+from newsloom.llm.queries import vocabulary as byte_vocabulary
 from pyspark.sql import functions as F
 
 
@@ -339,3 +341,81 @@ def test_a_hot_gram_sends_few_rows(spark):
     rows = [(*r[:6], rng.randbytes(76) + common[0] + gram + common[1] + rng.randbytes(76), None, None) for r in rows]
     cut = suffix_dedup._cut_down(spark.createDataFrame(rows, schema), 2048)
     assert suffix_dedup._decided(cut).count() < 10_000
+
+
+# ---- brute force and odd rows
+
+
+def plain_fingerprint(text):
+    """Byte by byte: a chunk ends at the first byte, from the least size on, whose hash has enough zero bits."""
+    gear = [int(x) for x in chunk_fingerprints.GEAR]
+    raw, hashes, value = text.encode(), [], 0
+    for byte in raw:
+        value = ((value << 1) + gear[byte]) & 0xFFFFFFFF
+        hashes.append(value)
+    chunks, begin = set(), 0
+    while begin < len(raw):
+        end = min(begin + chunk_fingerprints.MOST, len(raw))
+        for at in range(begin + chunk_fingerprints.LEAST, end):
+            zeros = chunk_fingerprints.STRICT if at < begin + chunk_fingerprints.NORMAL else chunk_fingerprints.EASY
+            if hashes[at - 1] >> (32 - zeros) == 0:
+                end = at
+                break
+        chunk = raw[begin:end]
+        chunks.add(f"{hashlib.blake2b(chunk, digest_size=8).hexdigest()}:{len(chunk)}")
+        begin = end
+    return " ".join(sorted(chunks))
+
+
+def test_op10_equals_brute_force(documents):
+    rng = random.Random(11)
+    texts = [None, "", "x", "\u00e9" * 900, *("".join(rng.choices("abcdefg \n\u017e\U0001f600", k=rng.randrange(1, 3000))) for _ in range(30))]
+    texts[9] = texts[10]
+    found = {r.doc_id: r for r in chunk_fingerprints.document_fingerprints(documents(list(enumerate(texts)))).collect()}
+    assert len(found) == len(texts)
+
+    def likeness(one, other):
+        one, other = ({(c, int(c.split(":")[1])) for c in x.split()} for x in (one, other))
+        if not one or not other:
+            return float(not one and not other)
+        return sum(n for _, n in one & other) / min(sum(n for _, n in x) for x in (one, other))
+
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        mine, edited, after = map(plain_fingerprint, (text, changed, following))
+        r = found[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (mine, edited)
+        assert (r.near_edited, r.near_next) == pytest.approx((likeness(mine, edited), likeness(mine, after)))
+
+
+def test_bpe_of_odd_rows(clashing):
+    """Every row comes back with its own text, the repeated ones too; columns named like results are replaced."""
+    long = "word \u017elut\u00fd " * 30_000
+    rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "a"), (None, None), (4, "\U0001f600 x\x00y"), (5, long)]
+    ids = bpe.encode_texts(clashing(rows), *byte_vocabulary())
+    decoded = bpe.decode_ids(ids, byte_vocabulary()[0])
+    found = decoded.select("doc_id", "text", "decoded_text", "n_tokens", "score", "ids").collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(rows, key=repr)
+    for r in found:
+        assert r.decoded_text == (r.text or "") and r.score == "own" and len(r.ids) == 4 * r.n_tokens
+        assert (r.n_tokens == 0) == (not r.text)
+    assert bpe.document_tokens(clashing(rows).limit(0), *byte_vocabulary()).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, clashing, tmp_path):
+    """NULL, empty, repeated and equal rows, rows without ids, a column with a clashing name; clean documents stay whole."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(3000)]
+    clean = [(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(100, 160)]
+    rows = [(1, None), (2, ""), (3, " \n"), (None, None), (None, " ".join(rng.choices(vocabulary, k=80))), *clean, clean[0], (99, clean[1][1])]
+    clashing(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.exact and r.score == "own" for r in found)
+    kept = {(r.doc_id, r.text) for r in found}
+    assert kept == {*clean[:1], *clean[2:], (99, clean[1][1]), rows[4]}
+    empty = str(tmp_path / "empty")
+    clashing(rows).limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
