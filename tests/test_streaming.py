@@ -220,3 +220,16 @@ def test_feed_ranges_with_late_snapshots(spark, tmp_path):
         feed(Path(feeds, "a b+c", f"later-{n}.xml"), f"https://h.cz/?id={60 + n}")
     feed(Path(feeds, "a b+c", "0.xml"), "https://h.cz/?id=50", "https://h.cz/?id=12")  # an old snapshot that lands last
     assert run() == run() == [("a b+c", 68, 12, 13, 11), ("other", None, None, 0, 1)]
+
+
+def test_a_backlog_is_caught_up_with_in_a_fixed_number_of_epochs(spark, tmp_path):
+    """The epochs of a backlog do not grow with its files, and neither do the tasks that list them."""
+    from newsloom.streaming.ingest import BACKLOG_EPOCHS, files_per_epoch
+
+    assert files_per_epoch(80, 40) == 40
+    assert all(-(-n // files_per_epoch(n, 40)) <= BACKLOG_EPOCHS for n in (400, 401, 41_000, 246_000))
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "a.xml").write_text("<rss/>")
+    stream_feed_items(spark, str(tmp_path))
+    listing = int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"))
+    assert listing <= 8 * spark.sparkContext.defaultParallelism
