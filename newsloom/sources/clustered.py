@@ -1,8 +1,9 @@
 """A corpus laid out by id: folders of consecutive ids, each dealt to the same number of buckets by hash of the id.
 
 Spans of ids read only the folders they touch. Merging reads only the folders between a batch's least
-and greatest id, of these only the ids, and joins them as they lie: the batch is dealt to the corpus's buckets, the corpus is not shuffled.
-Each write adds at most one file per folder and bucket.
+and greatest id, of these only the ids, and joins them as they lie: the batch's ids are dealt to the corpus's buckets, the corpus is not shuffled.
+Articles themselves are dealt by folder and bucket, to tasks whose number grows with them. Each write adds at most one file per folder and
+bucket; articles without an id, whose folder is one bucket, come in a file a task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from newsloom.session import stored
 
 RANGE = "id_range"
 
+# Articles that a task writes, on average.
+TASK_ROWS = 1 << 14
+
 
 @dataclass(frozen=True)
 class ClusteredCorpus:
@@ -34,10 +38,16 @@ class ClusteredCorpus:
         return F.floor(number / self.width)
 
     def append(self, articles: DataFrame, path: str | None = None) -> None:
-        """Add articles, as they are; the first call makes the table, at ``path`` if one is given. Those without an id are in a folder of their own."""
-        placed = articles.select(*ARTICLE.names).withColumn(RANGE, self._range(F.col("id")))
-        # Dealt as the buckets are, so that a task holds one bucket and writes its folders one after another.
-        writer = placed.repartition(self.buckets, "id").sortWithinPartitions(RANGE, "id").write.mode("append").format("parquet")
+        """Add articles, as they are; the first call makes the table, at ``path`` if one is given. Those without an id are in a folder of their own.
+
+        ``articles`` are counted first; store them if they are dear to compute.
+        """
+        number = F.col("id")
+        placed = articles.select(*ARTICLE.names).withColumn(RANGE, self._range(number))
+        tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // TASK_ROWS))
+        # A task holds whole buckets of folders and writes them one after another.
+        salt = F.when(number.isNull(), F.pmod(F.xxhash64(*ARTICLE.names), F.lit(tasks)))
+        writer = placed.repartition(tasks, RANGE, F.pmod(F.hash(number), F.lit(self.buckets)), salt).write.mode("append").format("parquet")
         writer = writer.partitionBy(RANGE).bucketBy(self.buckets, "id").sortBy("id")
         (writer.option("path", path) if path else writer).saveAsTable(self.table)
 
@@ -56,7 +66,9 @@ class ClusteredCorpus:
         if lo is None:
             return batch
         known = self.span(batch.sparkSession, lo, hi).select("id")
-        return first_per_id(batch.join(known, "id", "left_anti").select(*batch.columns), order)
+        # Only ids meet the corpus, in as many tasks as it has buckets; stored, so that the articles are not dealt like these.
+        fresh = stored(batch.select("id").distinct().join(known, "id", "left_anti"), "fresh-ids")
+        return first_per_id(batch.join(fresh, "id", "left_semi").select(*batch.columns), order)
 
     def merge(self, batch: DataFrame, order: str) -> DataFrame:
         """Add the new rows and return them. A merge that is repeated adds nothing."""

@@ -73,3 +73,28 @@ def test_fragments_are_one_document(spark, names):
     manifest = spark.read.json(f"{path}/manifest").collect()
     assert {m.file: m.bytes for m in manifest} == {f: os.path.getsize(f"{folder}/{f}") for f in files if os.path.getsize(f"{folder}/{f}")}
     assert sum(m.lines for m in manifest) == max(1, len(names)) and (len(names) < 100 or len(manifest) > 1)
+
+
+def test_tasks_grow_with_the_articles_not_with_the_buckets(spark, corpus, monkeypatch):
+    """Neither a write nor a merge sends articles to one task a bucket; a folder's bucket stays one file a write."""
+    from newsloom.sources import clustered
+
+    monkeypatch.setattr(clustered, "TASK_ROWS", 100)
+    batch = _articles(spark, [*range(900, 3001), None], "new").withColumn("at", F.lit(1))
+    plan = corpus.new_rows(batch, "at")._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(id, {corpus.buckets})" not in plan and "Bucketed: true" not in plan, plan
+    seen = []
+    real = type(batch).repartition
+    monkeypatch.setattr(type(batch), "repartition", lambda self, number, *columns: seen.append(number) or real(self, number, *columns))
+    fresh = corpus.merge(batch, "at")
+    assert seen == [20] and fresh.count() == 2000
+    files = corpus.span(spark, 2600, 2699).where("title = 'new'").groupBy(F.input_file_name().alias("f")).agg(F.collect_set(F.pmod(F.hash("id"), F.lit(4))).alias("b")).collect()
+    assert all(len(f.b) == 1 for f in files) and len(files) <= 4 * (2699 // corpus.width - 2600 // corpus.width + 1)
+
+
+def test_articles_without_an_id_are_written_by_many_tasks(spark):
+    made = ClusteredCorpus(f"corpus_{uuid.uuid4().hex}", width=100, buckets=4)
+    rows = spark.range(400).select(*(F.col("id").cast("string").alias(c) if c == "title" else F.lit(None).cast(ARTICLE[c].dataType).alias(c) for c in ARTICLE.names))
+    made.append(rows, shared_folder(spark, "clustered"))
+    assert made.articles(spark).count() == 400
+    assert made.articles(spark).select(F.input_file_name()).distinct().count() > 1
