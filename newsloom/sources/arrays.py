@@ -22,6 +22,11 @@ from newsloom.session import stored
 
 QUOTE, BACKSLASH = ord('"'), ord("\\")
 OPENING, CLOSING = (ord("["), ord("{")), (ord("]"), ord("}"))
+STEPS = np.zeros(256, np.int8)
+STEPS[list(OPENING)], STEPS[list(CLOSING)] = 1, -1
+
+# Characters of a split that are looked at together, but for longer pieces.
+STRETCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -42,31 +47,28 @@ class Transition:
 NOTHING = Transition(False, 0, 0)
 
 
-def _strings(data: np.ndarray) -> np.ndarray:
-    """Number of quotes, up to each byte, that begin or end a string. A stretch never begins after a backslash."""
-    quotes = data == QUOTE
-    slash = data == BACKSLASH
-    if slash.any():
-        # A quote after an odd number of backslashes is part of its string.
-        last = np.maximum.accumulate(np.where(slash, -1, np.arange(len(data))))
-        before = np.append(-1, last[:-1])
-        run = np.arange(len(data)) - 1 - before
-        quotes &= run % 2 == 0
-    return np.cumsum(quotes)
-
+def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Where brackets are, by how much each changes the depth, how many quotes that begin or end a string are before it, and how many there are.
 
-def _steps(data: np.ndarray) -> np.ndarray:
-    return np.isin(data, OPENING).astype(np.int64) - np.isin(data, CLOSING)
+    Positions are kept of quotes, backslashes and brackets only. A stretch never begins after a backslash.
+    """
+    quotes, slashes = np.flatnonzero(data == QUOTE), np.flatnonzero(data == BACKSLASH)
+    if len(slashes):
+        # A quote after an odd number of backslashes is part of its string.
+        last = np.append(np.diff(slashes) != 1, True)
+        ends = np.flatnonzero(last)
+        odd = np.diff(np.append(-1, ends)) % 2 == 1
+        quotes = quotes[~np.isin(quotes, slashes[ends[odd]] + 1)]
+    steps = STEPS[data]
+    brackets = np.flatnonzero(steps)
+    return brackets, steps[brackets].astype(np.int64), np.searchsorted(quotes, brackets), len(quotes)
 
 
 def transition(raw: bytes) -> Transition:
     """The function of a stretch that does not begin in the middle of an escape."""
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return NOTHING
-    strings, steps = _strings(data), _steps(data)
-    even = strings % 2 == 0
-    return Transition(bool(strings[-1] % 2), int(steps[even].sum()), int(steps[~even].sum()))
+    _, steps, before, quotes = _marks(np.frombuffer(raw, np.uint8))
+    even = before % 2 == 0
+    return Transition(bool(quotes % 2), int(steps[even].sum()), int(steps[~even].sum()))
 
 
 def records(raw: bytes, inside: bool, depth: int) -> tuple[list[tuple[int, int]], bool, int]:
@@ -75,13 +77,12 @@ def records(raw: bytes, inside: bool, depth: int) -> tuple[list[tuple[int, int]]
     A start without an end is (start, -1), an end without a start (-1, end).
     """
     data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return [], inside, depth
-    strings = _strings(data) + inside
-    steps = np.where(strings % 2 == 0, _steps(data), 0)
+    at, steps, before, quotes = _marks(data)
+    outside = (before + inside) % 2 == 0
+    at, steps = at[outside], steps[outside]
     after = depth + np.cumsum(steps)
-    begin = np.flatnonzero((steps == 1) & (after == 2) & (data == OPENING[1]))
-    end = np.flatnonzero((steps == -1) & (after == 1) & (data == CLOSING[1]))
+    begin = at[(steps == 1) & (after == 2) & (data[at] == OPENING[1])]
+    end = at[(steps == -1) & (after == 1) & (data[at] == CLOSING[1])]
     found: list[tuple[int, int]] = []
     starts, ends = begin.tolist(), (end + 1).tolist()
     if ends and (not starts or ends[0] <= starts[0]):
@@ -89,7 +90,7 @@ def records(raw: bytes, inside: bool, depth: int) -> tuple[list[tuple[int, int]]
     found += list(zip(starts, ends))
     if len(starts) > len(ends):
         found.append((starts[-1], -1))
-    return found, bool(strings[-1] % 2), int(after[-1])
+    return found, inside != bool(quotes % 2), int(after[-1]) if len(after) else depth
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -99,16 +100,21 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
-    """((file, block, …), bytes) of neighbouring pieces of one split; a split may come in several such stretches."""
+    """((file, block, …), bytes) of neighbouring pieces of one split; a split comes in stretches, whatever the size of the batches."""
+    last, held, size = None, [], 0
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
-        keys = list(zip(*(c.to_pylist() for c in (*columns[:2], *columns[3:]))))
-        values = columns[2].to_pylist()
-        start = 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[start]:
-                yield keys[start], "".join(v + "}" for v in values[start:i]).encode()
-                start = i
+        keys = zip(*(c for c in (*columns[:2], *columns[3:])))
+        for scalars, value in zip(keys, columns[2]):
+            key = tuple(scalar.as_py() for scalar in scalars)
+            if held and (key != last or size >= STRETCH):
+                yield last, "".join(held).encode()
+                held, size = [], 0
+            piece = value.as_py() + "}"
+            last, size = key, size + len(piece)
+            held.append(piece)
+    if held:
+        yield last, "".join(held).encode()
 
 
 def _transitions(pieces: DataFrame) -> DataFrame:

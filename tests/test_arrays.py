@@ -115,3 +115,29 @@ def test_broken_files(spark, tmp_path, small_splits, text):
     with pytest.raises(ValueError, match="bad.json"):
         read_article_arrays(spark, str(tmp_path))
     assert [r.id for r in read_article_arrays(spark, str(tmp_path), broken="skip").collect()] == [7]
+
+
+def test_stretches_are_bounded_whatever_the_batches():
+    """A batch of many pieces is looked at a stretch at a time, and a split's end is one."""
+    import pyarrow as pa
+
+    from newsloom.sources.arrays import STRETCH, _splits
+
+    pieces = ['{"a": "' + "x" * 1000 + '"'] * 4000
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 4000), pa.array([0] * 2500 + [9] * 1500), pa.array(pieces)], ["file", "block", "value"])
+    found = list(_splits(iter([batch, batch.slice(2500)])))
+    assert max(len(raw) for _, raw in found) < STRETCH + 2000
+    assert b"".join(raw for key, raw in found if key == ("f", 9)) == b"".join(p.encode() + b"}" for p in pieces[2500:] * 2)
+    assert [key for key, _ in found] == sorted(key for key, _ in found)
+
+
+def test_marks_take_memory_by_what_they_find():
+    """Positions of quotes, backslashes and brackets only: a long text costs a few bytes a byte."""
+    import tracemalloc
+
+    raw = b'[{"a": "' + b"x" * (8 << 20) + b'"}'
+    tracemalloc.start()
+    found = transition(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found.flips, found.outside) == (False, 1) and peak < 4 * len(raw)

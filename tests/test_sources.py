@@ -223,3 +223,46 @@ def test_raw_pages_in_folders_by_id(spark, tmp_path):
     assert sorted(map(tuple, pages.collect())) == [(8, "u8", "b8"), (2**40, f"u{2**40}", f"b{2**40}")]
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(id" in plan
+
+
+def test_pages_are_written_one_file_each(spark, tmp_path):
+    """Rows with one id are lines of one file, without a job's commit; a NULL id is Spark's folder for it."""
+    from newsloom.sources.writers import write_page_files
+
+    rows = [(1, "a"), (1, "b"), (2, None), (None, "x"), (-3, "é\n")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").repartition(3)
+    for path in (f"{tmp_path}/one dump", f"file://{tmp_path}/two"):
+        assert write_page_files(pages, path, "page_id") == 4
+        read = read_raw_pages(spark, path, "u", glob="*.txt", id_folder="page_id")
+        found = {(r.page_id, r.html) for r in read.collect()}
+        assert found == {(1, "a\nb\n"), (2, "\n"), (None, "x\n"), (-3, "é\n\n")}
+
+
+def test_a_span_lists_its_folders_only(spark, tmp_path):
+    """Folders of other ids are not listed at all; leading zeros and deeper folders are found."""
+    for name in ("id=7", "id=08", "id=12", "id=112"):
+        (tmp_path / "flat" / name).mkdir(parents=True)
+        (tmp_path / "flat" / name / "p.html").write_text(name)
+    flat = read_raw_pages(spark, str(tmp_path / "flat"), "u", span=(8, 12), id_folder="id")
+    assert len(flat.inputFiles()) == 2 and sorted(r.page_id for r in flat.collect()) == [8, 12]
+    assert read_raw_pages(spark, str(tmp_path / "flat"), "u", span=(20, 30), id_folder="id").count() == 0
+    (tmp_path / "deep" / "year=2024" / "id=9").mkdir(parents=True)
+    (tmp_path / "deep" / "year=2024" / "id=9" / "p.html").write_text("d")
+    deep = read_raw_pages(spark, str(tmp_path / "deep"), "u", span=(8, 12), id_folder="id")
+    assert [r.page_id for r in deep.collect()] == [9]
+
+
+def test_arrays_are_written_a_few_lines_at_a_time():
+    from newsloom.sources.writers import SLICE_ROWS, enclosed
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1000)])], ["value"])
+            return list(run(iter([batch, batch.slice(0, 1)])))
+
+    batches = enclosed(Rows(), "[", ",", "]")
+    assert max(b.num_rows for b in batches) <= SLICE_ROWS
+    lines = [v for b in batches for v in b.column(0).to_pylist()]
+    assert lines[0] == "[" and lines[1:] == [f"{i}," for i in range(1000)] + ["0]"]
