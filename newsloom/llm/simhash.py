@@ -11,10 +11,15 @@ fingerprint that is linked, to the smallest of its local component, not all pair
 than `CELL` is cut into parts and compared part against part in separate groups, so that none grows with the input.
 
 Where near duplicates are dropped, fingerprints only propose. They are made of the set of shingles, and the radius is wide enough to
-lose none (`radius_for`). Of the texts with such a neighbour the sets are hashed again and brought into the buckets, and only pairs
+lose next to none (`radius_for`). Of the texts with such a neighbour the sets are hashed again and brought into the buckets, and only pairs
 with the Jaccard similarity asked for are linked. A pair that shares several buckets is compared in the first
 one, if its texts have no reason to be in the others.
 
+What fingerprints and buckets miss is found by an exact join of the sets (`missed_edges`). In any one order of all shingles two similar sets share one
+of their first few; only there, and only between the classes found so far, pairs are compared: by sizes, by the parities of 512 parts of
+the sets, which differ in no more places than the sets do, by how many of the first few they share, and then by the sets. Frequent shingles
+come last in that order.
+
 Equal fingerprints meet once. NULL and empty texts have the zero fingerprint, which is linked like any other. Rows
 without doc_id are linked as well; a class of which no row has one has a NULL id. An empty table gives no
 rows. Columns named like the added ones are replaced.
@@ -44,6 +49,12 @@ BATCH = 1 << 15  # fingerprints compared in one go, apart from larger buckets
 CELL_BYTES = 32 << 20  # shingle hashes of one bucket in one group
 LOOKS = 8  # neighbours in each block of 64 that are looked at for one that no earlier bucket compares
 PLANES = 12  # differences between two looks at whether a block is still alive
+SAMPLE = 4096  # texts that show which shingles are frequent; it changes no link
+FREQUENT, AMONG = 1 << 16, 4  # how many such shingles are told apart, and in how many of those texts each is at least
+HELD = 1 << 20  # rows of one class and shingle looked at before they are passed on
+LINK_CELL = 1 << 15  # rows of one shingle in one group
+PAIRS = 1 << 18  # pairs compared in one go
+PARITIES = 512
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -84,22 +95,30 @@ def _signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def with_fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, bands: bool = False, text: str = "text") -> DataFrame:
-    """``df`` with fingerprint, an array of 64-bit words, and, if asked for, band keys, and hash and size of the set of shingles.
+def with_fingerprints(
+    df: DataFrame, shingle: int = 4, words: int = 1, bands: bool = False, text: str = "text", similarity: Fraction = Fraction(1), frequent: list[int] | None = None
+) -> DataFrame:
+    """``df`` with fingerprint, an array of 64-bit words, and, if asked for, band keys, and hash, size, prefix and parity of the set of shingles.
 
-    With bands the fingerprint is that of the set: repeated shingles count once.
+    With bands the fingerprint is that of the set: repeated shingles count once. ``similarity`` and ``frequent`` are for the prefix.
     """
+    last = np.array(frequent or [], np.int64).view(np.uint64)
 
     def compute() -> Callable[[list[str]], list]:
         import xxhash
 
+        rank = np.argsort(last, kind="stable")
+        sorted_last = last[rank]
+
         def columns(texts: list[str]) -> list:
-            prints, keys, nodes, sizes = [], [], [], []
+            prints, keys, nodes, sizes, prefixes, parities = [], [], [], [], [], []
             for hashes in (shingle_hashes(t, shingle) for t in texts):
                 if bands:
                     hashes = np.unique(hashes)
                     nodes.append([xxhash.xxh64_intdigest(hashes.tobytes(), k) for k in range(2)])
                     sizes.append(len(hashes))
+                    prefixes.append(prefix(hashes, similarity, sorted_last, rank).view(np.int64))
+                    parities.append(parity(hashes))
                 prints.append([majority(_remixed(hashes, k)) for k in range(words)])
                 if bands:
                     least = [int(_remixed(hashes, 100 + k).min()) if len(hashes) else 0 for k in range(BANDS * PER_BAND)]
@@ -108,14 +127,35 @@ def with_fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, bands: bo
             if bands:
                 found += [pa.array([_signed(x) for x in some], pa.list_(pa.int64())) for some in (keys, nodes)]
                 found.append(pa.array(sizes, pa.int64()))
+                found += [pa.array(some, pa.list_(pa.int64())) for some in (prefixes, parities)]
             return found
 
         return columns
 
-    added = "fingerprint array<bigint>" + ", bands array<bigint>, node array<bigint>, size bigint" * bands
+    added = "fingerprint array<bigint>" + ", bands array<bigint>, node array<bigint>, size bigint, prefix array<bigint>, parity array<bigint>" * bands
     return with_columns(df, text, added, compute)
 
 
+def prefix(hashes: np.ndarray, similarity: Fraction, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (sorted) in an order common to all sets, as many as make two similar sets share one of them.
+
+    The order is that of the hashes, but for those in ``last`` (sorted), which come behind, by ``rank``.
+    """
+    least = -(-len(hashes) * similarity.numerator // similarity.denominator)
+    if len(last):
+        at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
+        behind = last[at] == hashes
+        if behind.any():
+            hashes = hashes[np.argsort(np.where(behind, rank[at] + 1, 0), kind="stable")]
+    return hashes[: len(hashes) - least + 1]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITIES`` parts of a set holds an odd number of hashes, as 64-bit words."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def hash_pair(values: list[int]) -> int:
     mixed = 0
     for value in values:
@@ -485,6 +525,120 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, radius: int, words: int, s
     return edges.select(F.array("a0", "a1").alias("a"), F.array("b0", "b1").alias("b")).distinct()
 
 
+def with_shingles(df: DataFrame, shingle: int) -> DataFrame:
+    """``df`` with shingles, the distinct shingle hashes."""
+
+    def compute() -> Callable[[list[str]], list]:
+        return lambda texts: [pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+
+    return with_columns(df, "text", "shingles array<bigint>", compute, rows=32)
+
+
+def frequent_shingles(texts: DataFrame, shingle: int) -> list[int]:
+    """The shingles most frequent in some thousand distinct texts, the most frequent last. They order prefixes, and so change no link."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod("__hash", F.lit(every)) == 0).select("__hash", "text").dropDuplicates(["__hash"])
+    counts = with_shingles(some.select("text"), shingle).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    most = counts.where(F.col("n") >= AMONG).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    return [row["shingle"] for row in reversed(most)]
+
+
+def close_pairs(
+    starts: np.ndarray, counts: np.ndarray, classes: np.ndarray, sides: np.ndarray, sizes: np.ndarray, parities: np.ndarray, similarity: Fraction
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell, different classes and sides whose sets may be similar. Rows are sorted by class within each cell.
+
+    No similar pair is left out: parities differ in no more places than the sets do.
+    """
+    over, under = similarity.numerator, similarity.denominator
+    total = len(classes)
+    changes = np.append(True, classes[1:] != classes[:-1])
+    changes[starts] = True
+    runs = np.append(np.flatnonzero(changes), total)
+    behind = runs[np.cumsum(changes)]  # the first row of the next class or cell
+    amount = np.repeat(starts + counts, counts) - behind
+    upto = np.append(0, np.cumsum(amount))
+    at = 0
+    while at < total:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(at, to), amount[at:to])
+        j = behind[i] + np.arange(len(i)) - (upto[i] - upto[at])
+        less, more = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        fit = (less * under >= more * over) & (sides[i] != sides[j])
+        i, j = i[fit], j[fit]
+        apart = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=1, dtype=np.int64)
+        fit = apart * (under + over) <= (under - over) * (sizes[i] + sizes[j])
+        if fit.any():
+            yield i[fit], j[fit]
+        at = to
+
+
+def missed_edges(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Edges (a, b) between all similar sets whose classes by ``roots`` (node, root) differ, from ``nodes`` and ``texts`` as in ``similar_edges``."""
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    located = nodes.join(roots, "node", "left").select(F.explode("prefix").alias("key"), F.xxhash64(F.coalesce("root", "node")).alias("n0"), F.col("num").alias("n1"))
+    names = ["key", "n0", "n1"]
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose key is in several classes."""
+
+        def passed(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names)
+
+        held, known = np.zeros((0, 3), np.int64), None
+        for batch in batches:
+            rows = np.concatenate([held, columns_of(pa.Table.from_batches([batch]), names)])
+            if not len(rows):
+                continue
+            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            ends = np.append(starts[1:], len(rows))
+            chosen = rows[starts, 1] != rows[ends - 1, 1]
+            chosen[0] |= rows[0, 0] == known
+            # The last key may go on in the next batch; too many rows of one class go on unseen.
+            chosen[-1] |= ends[-1] - starts[-1] > HELD
+            known = rows[-1, 0] if chosen[-1] else None
+            held = rows[:0] if chosen[-1] else rows[starts[-1] :].copy()
+            if chosen.any():
+                yield passed(rows[np.repeat(chosen, ends - starts)])
+
+    dealt = located.repartition(width, "key").sortWithinPartitions(*names)
+    found = stored(dealt.mapInArrow(several, "key bigint, n0 bigint, n1 bigint"), "shared")
+    large = found.groupBy(F.col("key").alias("v")).agg(F.ceil(F.count("*") / LINK_CELL).cast("int").alias("parts")).where("parts > 1")
+    parted = found.join(stored(large, "large-buckets"), F.col("key") == F.col("v"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("n1"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, part) * F.col("parts") + F.greatest(o, part))
+    spread = parted.select("key", F.explode(cells).alias("cell"), "parts", part.alias("part"), "n0", "n1")
+    side = F.when(F.expr("cell div parts = cell % parts"), F.col("n1")).otherwise(F.col("part").cast("bigint")).alias("side")
+    words = [f"p{k}" for k in range(PARITIES // 64)]
+    of_sets = nodes.select(F.col("num").alias("n1"), "size", *(F.element_at("parity", k + 1).alias(name) for k, name in enumerate(words)))
+    kind, cell = F.lit(0).cast("bigint").alias("kind"), F.col("cell").cast("bigint").alias("cell")
+    placed = _dealt(spread.join(of_sets, "n1").select(kind, "key", cell, "n0", "n1", side, "size", *words))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, counts in whole_cells(batches):
+            if len(counts):
+                classes, ids, sides, sizes = columns_of(table, ["n0", "n1", "side", "size"]).T
+                for i, j in close_pairs(starts, counts, classes, sides, sizes, columns_of(table, words).view(np.uint64), similarity):
+                    columns = (ids[i], ids[j], sizes[i], sizes[j])  # the smaller class first, whatever the key
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "size_a", "size_b"])
+
+    # Of the prefix that ends first all but the shingles that may differ are in the other one.
+    over, under = similarity.numerator, similarity.denominator
+    counted = placed.mapInArrow(compare, "a bigint, b bigint, size_a bigint, size_b bigint").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    least = F.expr(f"(({over} * (size_a + size_b) + {over + under - 1}) div {over + under}) - (({over} * greatest(size_a, size_b) + {under - 1}) div {under}) + 1")
+    pairs = stored(counted.where(F.col("n") >= least).select("a", "b"), "pairs")
+    wanted = nodes.select(F.col("first.doc_id").alias("__id"), F.col("first.__hash").alias("__h"), "num", "node")
+    wanted = wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct(), "num", "left_semi")
+    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))).select("num", "node", "text").dropDuplicates(["num"])
+    sets = stored(with_shingles(chosen, shingle).drop("text"), "sets")
+    sides = [sets.select(F.col("num").alias(x), F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    together = pairs.join(sides[0], "a").join(sides[1], "b")
+    common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
+    union = F.size("set_a") + F.size("set_b") - common
+    similar = common * under >= union * over
+    return together.where(similar).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 @cache
 def _differing(similarity: float) -> float:
     """The largest expected share of differing bits of two sets at least so similar: of large sets, and of small ones, where ties matter."""
@@ -513,16 +667,22 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = 5, similarity: flo
     """``documents`` with one row of each class of near duplicates: one with the smallest doc_id.
 
     Texts are near duplicates if the Jaccard similarity of their shingle sets is ``similarity`` or more, and in one class
-    if a chain of such pairs connects them. Texts are hashed where they are read. Rows without a doc_id stay only where no
+    if a chain of such pairs connects them; no such pair is missed. Texts are hashed where they are read. Rows without a doc_id stay only where no
     row of their class has one. Among rows equal in doc_id and text any one stays.
     """
     # The key of a row within its class; distinct texts with one doc_id are ordered by their hash.
     keyed = without(documents, "__hash", "__keep", "__copies").withColumn("__hash", F.xxhash64(text_or_empty()))
     texts = keyed.select("doc_id", F.col("__hash"), text_or_empty().alias("text"))
-    rows = stored(with_fingerprints(texts, shingle, words, bands=True).drop("text"), "simhash")
+    exact = Fraction(str(similarity))
+    rows = stored(with_fingerprints(texts, shingle, words, bands=True, similarity=exact, frequent=frequent_shingles(texts, shingle)).drop("text"), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash"))
-    nodes = stored(rows.groupBy("node", "fingerprint", "bands", "size").agg(first.alias("first")), "fingerprints")
-    roots = components(similar_edges(nodes, texts, radius_for(similarity, words), words, shingle, similarity))
+    sets = rows.groupBy("node", "fingerprint", "bands", "size").agg(first.alias("first"), *(F.any_value(c).alias(c) for c in ("prefix", "parity")))
+    nodes = stored(sets.withColumn("num", F.monotonically_increasing_id()), "fingerprints")
+    edges = stored(similar_edges(nodes, texts, radius_for(similarity, words), words, shingle, similarity), "links")
+    roots = components(edges)
+    missed = stored(missed_edges(nodes, texts, roots, shingle, exact), "links")
+    if not missed.isEmpty():
+        roots = components(edges.unionByName(missed))
     rooted = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "__hash")
     kept = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("__keep"), F.col("first.__hash").alias("__h"))
     copies = rows.groupBy("doc_id", "__hash").count().where("count > 1").select(F.col("doc_id").alias("__twice"), F.col("__hash").alias("__t"))

@@ -249,3 +249,55 @@ def test_cut_cells_find_the_same_near_copies(spark, documents, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 8)
     monkeypatch.setattr(simhash, "CELL_BYTES", 1 << 14)
     assert [r.doc_id for r in simhash.drop_near_duplicates(documents(rows)).collect()] == [0]
+
+
+def shares_no_minima(a, b, size=5):
+    """Whether two texts share no pair of minimal shingle hashes."""
+    least = []
+    for text in (a, b):
+        hashes = np.unique(simhash.shingle_hashes(text, size))
+        some = [int(simhash._remixed(hashes, 100 + k).min()) for k in range(simhash.BANDS * simhash.PER_BAND)]
+        least.append([some[k * simhash.PER_BAND : (k + 1) * simhash.PER_BAND] for k in range(simhash.BANDS)])
+    return all(x != y for x, y in zip(*least))
+
+
+def test_similar_sets_without_a_common_bucket_are_linked(spark, documents):
+    """Pairs at 0.8 that no bucket holds, so that fingerprints cannot propose them."""
+    rng, rows = np.random.default_rng(8), []
+    while len(rows) < 6:
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 9)]
+        if shares_no_minima(" ".join(words), " ".join(words[:8])):
+            rows += [(len(rows), " ".join(words)), (len(rows) + 100, " ".join(words[:8]))]
+            assert jaccard(rows[-1][1], rows[-2][1]) == 0.8
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(rows)).collect()}
+    assert kept == {0, 2, 4}
+
+
+@pytest.mark.parametrize("cell", [simhash.LINK_CELL, 4])
+def test_classes_without_any_proposal_match_brute_force(spark, documents, monkeypatch, cell):
+    """Every pair is found where fingerprints propose none: clusters, chains, a common passage, odd and repeated rows."""
+    monkeypatch.setattr(simhash, "radius_for", lambda similarity, words: 0)
+    monkeypatch.setattr(simhash, "LINK_CELL", cell)
+    monkeypatch.setattr(simhash, "HELD", 3)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rng = np.random.default_rng(9)
+    passage, rows = [f"p{k}" for k in range(30)], [(None, None), (900, ""), (901, "one"), (902, "one"), (None, "two words")]
+    for i in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(5, 60)))]
+        words = passage + words[:7] if i % 5 == 0 else words
+        for k in range(4):
+            rows.append((10 * i + k, " ".join(words)))
+            at = int(rng.integers(len(words)))
+            words = words[:at] + [f"new{i}_{k}"] + words[at + int(rng.integers(2)) :]
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            either = shingles[i] | shingles[j]
+            if not either or 5 * len(shingles[i] & shingles[j]) >= 4 * len(either):
+                root = [root[j] if r == root[i] else r for r in root]
+    # The smallest id of each class; of those without one, any.
+    expected = sorted(min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=-1) for r in set(root))
+    assert 30 < len(expected) < len(rows) - 20
+    kept = simhash.drop_near_duplicates(documents(rows + rows[6:9])).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == expected
