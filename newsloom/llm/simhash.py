@@ -628,7 +628,8 @@ def missed_edges(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle:
     least = F.expr(f"(({over} * (size_a + size_b) + {over + under - 1}) div {over + under}) - (({over} * greatest(size_a, size_b) + {under - 1}) div {under}) + 1")
     pairs = stored(counted.where(F.col("n") >= least).select("a", "b"), "pairs")
     wanted = nodes.select(F.col("first.doc_id").alias("__id"), F.col("first.__hash").alias("__h"), "num", "node")
-    wanted = wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct(), "num", "left_semi")
+    # Stored, so that where they are few the texts need not be shuffled to meet them.
+    wanted = stored(wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct(), "num", "left_semi"), "wanted")
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))).select("num", "node", "text").dropDuplicates(["num"])
     sets = stored(with_shingles(chosen, shingle).drop("text"), "sets")
     sides = [sets.select(F.col("num").alias(x), F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
