@@ -26,9 +26,9 @@ refinement of its own; one with a word beyond that size is scored by its bits al
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +41,11 @@ from newsloom.session import stored
 
 END = 256  # the symbol after a text's last byte
 ALPHABET = 257
+PAIR_BITS = 17  # of the number of a symbol and the one before it
 BLOCK_BYTES = 10 << 20  # text in a block
 CHUNK_SYMBOLS = 1 << 17  # symbols taken through the model at a time, apart from longer texts
+COUNTED = 1 << 19  # symbols whose repeated contexts are counted at once
+LAID_OUT = 1 << 14  # symbols whose bits are laid out at a time, so that they stay in the processor's cache
 LONG_TEXT = 1 << 20  # a text is read in parts of this many bytes, each with contexts and refinement of its own
 SLOTS = (20, 22, 22, 22)  # bits of a slot number, per predictor
 CHUNK = 1 << 17  # counters in a chunk of a table
@@ -60,9 +63,19 @@ NEUTRAL, TOWARDS = 0.3, 200.0  # weight of a predictor of which nothing is known
 WORD_SHARE, WORD_TRUST = 0.05, 4.0  # part of the words' own counts in the mix to begin with, and how many words that counts as
 
 
-def token_list(raw: bytes) -> list[bytes]:
-    """A normalised text's words and its end, written as the empty word."""
-    return [*raw.split(), b""]
+def tokens_of(texts: bytes) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words and ends, written as empty words, of normalised texts with line feeds between them, and how many each text has."""
+    raw = np.frombuffer(texts, np.uint8)
+    stops = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
+    ends = np.append(raw[stops[:-1]] == 10, True)
+    sizes = np.diff(stops, prepend=-1) - 1
+    # Behind a text's last word comes its end; an empty text has only this.
+    times = 1 + (ends & (sizes > 0))
+    last = np.cumsum(times)[ends] - 1
+    sizes = np.repeat(sizes, times)
+    sizes[last] = 0
+    parts = [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(texts.translate(None, b" \n"))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), parts), np.diff(last, prepend=-1)
 
 
 # ---- symbols, contexts and bits ----
@@ -85,27 +98,51 @@ def _scrambled(x: np.ndarray, factor: int) -> np.ndarray:
     return x ^ (x >> np.uint32(15))
 
 
-def contexts_of(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The symbol before each symbol, and the hashed contexts of the predictors. Nothing before a text's start counts."""
+@functools.lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor that hashes words, and of its inverse."""
+    factor, inverse = np.uint32(0x01000193), np.uint32(pow(0x01000193, -1, 2**32))
+    return tuple(np.cumprod(np.append(np.uint32(1), np.full(size, x)), dtype=np.uint32) for x in (factor, inverse))
+
+
+def symbols_before(symbols: np.ndarray) -> list[np.ndarray]:
+    """The six symbols before each symbol, the nearest first. Nothing before a text's start counts: it is the end."""
     size = len(symbols)
     narrow = symbols.astype(np.uint32)
-    back = []
+    back, text_ends = [], np.flatnonzero(symbols == END)
     for k in range(1, 7):
         older = np.full(size, END, np.uint32)
         older[k:] = narrow[:-k]
-        back.append(np.where(back[-1] == END, np.uint32(END), older) if back else older)
-    two = _scrambled(back[0] * np.uint32(521) + back[1] + np.uint32(1), 0x9E3779B1)
-    four = _scrambled((two ^ (back[2] * np.uint32(521) + back[3])) + np.uint32(2), 0x85EBCA6B)
-    six = _scrambled((four ^ (back[4] * np.uint32(521) + back[5])) + np.uint32(3), 0xC2B2AE35)
-    # The word so far: a polynomial hash from its first symbol.
-    factor, inverse = np.uint32(0x01000193), np.uint32(pow(0x01000193, -1, 2**32))
-    powers = np.cumprod(np.append(np.uint32(1), np.full(size, factor)), dtype=np.uint32)
-    inverses = np.cumprod(np.append(np.uint32(1), np.full(size, inverse)), dtype=np.uint32)
-    sums = np.append(np.uint32(0), np.cumsum((narrow + np.uint32(7)) * powers[:size], dtype=np.uint32))
-    at = np.arange(size)
-    begin = np.maximum.accumulate(np.where((back[0] == END) | (back[0] == 32), at, 0))
-    word = _scrambled((sums[at] - sums[begin]) * inverses[begin] + np.uint32(4), 0x27D4EB2F)
-    return back[0].astype(np.int64), [two, four, six, word]
+        for behind in range(1, k):
+            older[text_ends[text_ends < size - behind] + behind] = END
+        back.append(older)
+    return back
+
+
+def by_symbols(back: list[np.ndarray]) -> list[np.ndarray]:
+    """Contexts of the last two, four and six symbols, as far as these are given."""
+    found: list[np.ndarray] = []
+    for at, factor in zip(range(0, len(back), 2), (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)):
+        here = back[at] * np.uint32(521) + back[at + 1]
+        here = found[-1] ^ here if found else here
+        found.append(_scrambled(here + np.uint32(at // 2 + 1), factor))
+    return found
+
+
+def by_word(symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Contexts of the word so far: a polynomial hash from its first symbol."""
+    size = len(symbols)
+    powers, inverses = _powers(1 << max(size - 1, CHUNK_SYMBOLS).bit_length())
+    sums = np.append(np.uint32(0), np.cumsum((symbols.astype(np.uint32) + np.uint32(7)) * powers[:size], dtype=np.uint32))
+    first = np.flatnonzero((before == END) | (before == 32))
+    sizes = np.diff(first, append=size)
+    return _scrambled((sums[:-1] - np.repeat(sums[first], sizes)) * np.repeat(inverses[first], sizes) + np.uint32(4), 0x27D4EB2F)
+
+
+def contexts_of(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The symbol before each symbol, and the hashed contexts of the predictors."""
+    back = symbols_before(symbols)
+    return back[0].astype(np.int64), [*by_symbols(back), by_word(symbols, back[0])]
 
 
 def prefix_codes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,34 +177,104 @@ class Code:
         place = np.arange(len(pair)) - self.starts[pair]
         left, code = self.lengths[pair] - place, codes.ravel()[pair]
         self.value = ((code >> (left - 1)) & 1).astype(np.int8)
+        self.sign = (1 - 2 * self.value).astype(np.float32)
         # Which bit of which symbols this is: the bits before it, and the symbol before.
         node = ((np.int64(1) << place) | (code >> left)).astype(np.uint32)
         self.node = node * np.uint32(0x9E3779B1) + (pair // ALPHABET).astype(np.uint32)
 
 
+class Symbols:
+    """The symbols of some texts: each with the one before it, as a pair, and its contexts."""
+
+    def __init__(self, texts: list[bytes], ended: bool = True) -> None:
+        self.symbols = symbols_of(texts, ended)
+        before, self.contexts = contexts_of(self.symbols)
+        self.pairs = before * ALPHABET + self.symbols
+
+    def reordered(self, order: np.ndarray) -> None:
+        self.symbols, self.pairs = self.symbols[order], self.pairs[order]
+        self.contexts = [c[order] for c in self.contexts]
+
+    def bits(self, code: Code) -> Iterator[tuple[int, Bits]]:
+        """The bits of a few symbols at a time, with the number of the first."""
+        for at in range(0, len(self.pairs), LAID_OUT):
+            here = slice(at, at + LAID_OUT)
+            yield at, Bits.of_symbols(self.pairs[here], [c[here] for c in self.contexts], code)
+
+
 class Bits:
     """The bits of some texts: of which symbol each is, its value, and its slot for each predictor."""
 
     def __init__(self, texts: list[bytes], code: Code, ended: bool = True) -> None:
-        self.symbols = symbols_of(texts, ended)
-        before, self.contexts = contexts_of(self.symbols)
-        pair = before * ALPHABET + self.symbols
-        self.lengths = code.lengths[pair]
-        ends = np.cumsum(self.lengths, dtype=np.int32)
-        self.symbol = np.repeat(np.arange(len(pair), dtype=np.int64), self.lengths)
-        shift = code.starts[pair] - (ends - self.lengths)
-        at = np.arange(len(self.symbol), dtype=np.int32) + shift[self.symbol]
-        self.value, self.node = code.value[at], code.node[at]
+        read = Symbols(texts, ended)
+        self.symbols = read.symbols
+        self._lay_out(read.pairs, read.contexts, code)
+
+    @classmethod
+    def of_symbols(cls, pairs: np.ndarray, contexts: list[np.ndarray] | dict[int, np.ndarray], code: Code) -> Bits:
+        bits = cls.__new__(cls)
+        bits._lay_out(pairs, contexts, code)
+        return bits
+
+    def _lay_out(self, pairs: np.ndarray, contexts: list[np.ndarray] | dict[int, np.ndarray], code: Code) -> None:
+        self.contexts, self.code = contexts, code
+        self.lengths = code.lengths[pairs]
+        self.symbol = np.repeat(np.arange(len(pairs)), self.lengths)
+        self.at = np.arange(len(self.symbol))
+        self.at += (code.starts[pairs] - (np.cumsum(self.lengths, dtype=np.int64) - self.lengths))[self.symbol]
+        self.node = code.node[self.at]
+
+    @property
+    def value(self) -> np.ndarray:
+        return self.code.value[self.at]
 
     def slots(self, predictor: int) -> np.ndarray:
         mixed = self.contexts[predictor][self.symbol]
         mixed ^= self.node
         mixed *= np.uint32(0x2C1B3C6D)
         mixed >>= np.uint32(32 - SLOTS[predictor])
-        return mixed
-
-
-def bundles(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bool]]:
+        return mixed.astype(np.int64)
+
+    def counters(self, predictor: int) -> np.ndarray:
+        """Of each bit, in a table that has two for a slot."""
+        at = self.slots(predictor)
+        at <<= 1
+        at |= self.value
+        return at
+
+
+def distinct(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each of some sorted keys once, and how often it occurs."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times = np.diff(first, append=len(keys)) if times is None else np.add.reduceat(times, first)
+    return keys[first], times
+
+
+def repeated_contexts(texts: list[bytes], ended: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each predictor the distinct pairs and contexts of the texts' symbols, and how often they occur together."""
+    symbols = symbols_of(texts, ended)
+    back = symbols_before(symbols)
+    # Sorted by a symbol and then those before it, nearest first, keys of longer contexts are in order for shorter ones.
+    keys, mask = symbols.astype(np.uint64), np.uint64(511)
+    for older in back:
+        keys <<= np.uint64(9)
+        keys |= older
+    keys.sort()
+    keys, times = distinct(keys)
+    for predictor, many in ((2, 6), (1, 4), (0, 2)):
+        older = [((keys >> np.uint64(9 * at)) & mask).astype(np.uint32) for at in range(many)][::-1]
+        pairs = older[0].astype(np.int64) * ALPHABET + (keys >> np.uint64(9 * many)).astype(np.int64)
+        yield predictor, pairs, by_symbols(older)[-1], times
+        keys, times = distinct(keys >> np.uint64(18), times)
+    keys = by_word(symbols, back[0]).astype(np.uint64)
+    keys <<= np.uint64(PAIR_BITS)
+    keys |= back[0] * np.uint64(ALPHABET) + symbols.astype(np.uint64)
+    keys.sort()
+    keys, times = distinct(keys)
+    yield 3, (keys & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64), (keys >> np.uint64(PAIR_BITS)).astype(np.uint32), times
+
+
+def bundles(texts: list[bytes], symbols: int = CHUNK_SYMBOLS) -> Iterator[tuple[int, list[bytes], bool]]:
     """Texts in runs of some size, with the number of the first; a part of a long text that goes on comes alone, as not ended.
 
     Parts end after a space, where there is one.
@@ -183,7 +290,7 @@ def bundles(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bool]]:
             start, held, size = i, [], 0
         held.append(text)
         size += len(text)
-        if size >= CHUNK_SYMBOLS:
+        if size >= symbols:
             yield start, held, True
             start, held, size = i + 1, [], 0
     if held:
@@ -242,7 +349,7 @@ class Model:
 
     def opinions(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
         """What each predictor's slots hold for each bit, and its gate."""
-        found = [self.tables[k][bits.slots(k)] for k in range(len(SLOTS))]
+        found = [self.tables[k].take(bits.slots(k), mode="clip") for k in range(len(SLOTS))]
         gate = (((found[2] & 3) << 2) | (found[1] & 3)).astype(np.int64)
         return [values >> 2 for values in found], gate
 
@@ -251,7 +358,7 @@ class Model:
         found, gate = self.opinions(bits)
         mixed = np.zeros(len(gate), np.float32)
         for k, values in enumerate(found):
-            term = self.weights[k][gate]
+            term = self.weights[k].take(gate, mode="clip")
             term *= values
             mixed += term
         return mixed, gate
@@ -262,87 +369,122 @@ class Model:
         In whole ``FINE`` parts, so that sums do not depend on their order.
         """
         sums = np.zeros((GATES, 14), np.int64)
+        weights = [w * UNIT for w in self.weights]
         for _, some, ended in bundles(texts):
-            bits = Bits(some, self.code, ended)
-            found, gate = self.opinions(bits)
-            views = [values.astype(np.float32) / UNIT for values in found]
-            mixed = sum(self.weights[k][gate] * UNIT * view for k, view in enumerate(views))
-            one = 1 / (1 + np.exp(-mixed))
-            wrong, spread = one - bits.value, one * (1 - one)
-            terms = [wrong * view for view in views]
-            terms += [spread * views[j] * views[k] for j in range(4) for k in range(j, 4)]
-            for column, term in enumerate(terms):
-                sums[:, column] += np.bincount(gate, weights=np.rint(term * FINE), minlength=GATES).astype(np.int64)
+            for _, bits in Symbols(some, ended).bits(self.code):
+                found, gate = self.opinions(bits)
+                views = [values.astype(np.float32) / UNIT for values in found]
+                mixed = sum(weights[k].take(gate, mode="clip") * view for k, view in enumerate(views))
+                one = 1 / (1 + np.exp(-mixed))
+                wrong, spread = one - bits.value, one * (1 - one)
+                terms = [wrong * view for view in views]
+                spreads = [spread * view for view in views]
+                terms += [spreads[j] * views[k] for j in range(4) for k in range(j, 4)]
+                for column, term in enumerate(terms):
+                    sums[:, column] += np.bincount(gate, weights=np.rint(term * FINE), minlength=GATES).astype(np.int64)
         return sums
 
     def losses(self, texts: list[bytes], counts: list[np.ndarray] | None = None, words: Words | None = None) -> np.ndarray:
         """Minus the natural log probability of each text; ``counts`` has the number of each of its words in the training texts."""
+        # Texts of like sizes together, so that a bundle has few waves of segments, and wide ones.
+        like = np.argsort([len(t) for t in texts], kind="stable")
+        texts, counts = [texts[i] for i in like], counts and [counts[i] for i in like]
         result = np.zeros(len(texts))
         used: dict[int, int] = {}
         for bundle in bundles(texts):
             start, some, ended = bundle
-            bits = Bits(some, self.code, ended)
-            odds, gate = self.odds(bits)
+            read = Symbols(some, ended)
             sizes = np.array([len(t) + ended for t in some])
             begin = np.cumsum(sizes) - sizes
-            text = np.repeat(np.arange(len(some)), sizes)
             # A word goes up to the space or end behind it.
-            ends = np.flatnonzero((bits.symbols == END) | (bits.symbols == 32))
-            if not len(ends) or ends[-1] + 1 < len(text):
-                ends = np.append(ends, len(text) - 1)
+            ends = np.flatnonzero((read.symbols == END) | (read.symbols == 32))
+            if not len(ends) or ends[-1] + 1 < len(read.symbols):
+                ends = np.append(ends, len(read.symbols) - 1)
             first = np.append(0, ends[:-1] + 1)
-            # Words by segment, so that each wave of segments is a slice; within it texts stay in order.
-            segment = (first - begin[text[first]]) // SEGMENT
-            inside = np.repeat(segment, ends + 1 - first)
-            narrow = np.uint16 if segment.max() < 1 << 16 else np.int64
-            order = np.argsort(np.repeat(inside.astype(narrow), bits.lengths), kind="stable")
-            cuts = np.cumsum(np.bincount(inside, weights=bits.lengths)).astype(np.int64)
-            by_wave = np.argsort(segment, kind="stable")
-            sizes_of_words = np.add.reduceat(bits.lengths, first)[by_wave]
-            word_at = np.cumsum(sizes_of_words) - sizes_of_words
-            word_cuts = np.cumsum(np.bincount(segment)).tolist()
-            text_of_word = text[first][by_wave]
+            text = np.searchsorted(begin, first, side="right") - 1
+            segment = (first - begin[text]) // SEGMENT
+            # Texts are numbered anew, those of most segments first, and words put by segment and text: each wave
+            # of segments is a slice, and what goes on after it is the front of this slice. Words of a text stay in order.
+            most = segment[np.append(np.flatnonzero(text[1:] != text[:-1]), len(text) - 1)]
+            by_size = np.argsort(-most, kind="stable")
+            number = np.empty(len(some), np.int64)
+            number[by_size] = np.arange(len(some))
+            narrow = np.uint16 if max(most.max(), len(some)) < 1 << 16 else np.int64
+            by_wave = np.argsort(number[text].astype(narrow), kind="stable")
+            by_wave = by_wave[np.argsort(segment[by_wave].astype(narrow), kind="stable")]
+            owners, spans = number[text[by_wave]], (ends + 1 - first)[by_wave]
+            symbol_at = np.cumsum(spans) - spans
+            read.reordered(np.repeat(first[by_wave] - symbol_at, spans) + np.arange(len(read.symbols)))
+            states = np.repeat(owners * GATES, spans)
+            word_cuts = np.cumsum(np.bincount(segment))
+            going_on = np.searchsorted(-most[by_size], -np.arange(len(word_cuts))).tolist()
             known = None
             if counts is not None:
                 known = words.logs(*word_counts(bundle, counts, used))[by_wave]
             # Signed so that right predictions are negative.
-            wrong_way = np.where(bits.value == 1, -odds, odds)[order]
-            state = ((text * GATES)[bits.symbol] + gate)[order]
+            lengths = self.code.lengths[read.pairs]
+            bit_at = np.cumsum(lengths, dtype=np.int64) - lengths
+            wrong_way = np.empty(int(lengths.sum()), np.float32)
+            state = np.empty(len(wrong_way), np.int64)
+            for at, bits in read.bits(self.code):
+                odds, gate = self.odds(bits)
+                here = slice(int(bit_at[at]), int(bit_at[at]) + len(odds))
+                np.multiply(odds, self.code.sign.take(bits.at, mode="clip"), out=wrong_way[here])
+                np.add(states[at : at + LAID_OUT].take(bits.symbol, mode="clip"), gate, out=state[here])
+            word_at = np.append(bit_at[symbol_at], len(wrong_way))
             scale = np.ones(GATES * len(some), np.float32)
             bend = np.full(len(scale), 20.0)
             lost, of_words, seen = (np.zeros(len(some)) for _ in range(3))
             share = np.full(len(some), WORD_SHARE)
-            for low, high, low_word, high_word in zip([0, *cuts[:-1].tolist()], cuts.tolist(), [0, *word_cuts[:-1]], word_cuts):
-                if low == high:
+            for low_word, high_word, more in zip([0, *word_cuts[:-1].tolist()], word_cuts.tolist(), going_on):
+                if low_word == high_word:
                     continue
+                low, high = int(word_at[low_word]), int(word_at[high_word])
                 z, of = wrong_way[low:high], state[low:high]
-                ratio = np.exp(np.minimum(z * scale[of], np.float32(60)))
+                ratio = scale.take(of, mode="clip")
+                ratio *= z
+                np.exp(np.minimum(ratio, np.float32(60), out=ratio), out=ratio)
                 loss = np.add.reduceat(np.log(1 + ratio), word_at[low_word:high_word] - low, dtype=np.float64)
-                owner = text_of_word[low_word:high_word]
+                owner = owners[low_word:high_word]
+                front = int(np.searchsorted(owner, more))
                 if known is not None:
                     part = share[owner]
                     by_bits = np.log1p(-part) - loss
                     both = np.logaddexp(np.log(part) + known[low_word:high_word], by_bits)
                     loss = -both
-                    of_words += np.bincount(owner, weights=-np.expm1(by_bits - both), minlength=len(some))
-                    seen += np.bincount(owner, minlength=len(some))
-                    share = (WORD_SHARE * WORD_TRUST + of_words) / (WORD_TRUST + seen)
-                    share = np.clip(share, 1e-4, 1 - 1e-4)
-                lost += np.bincount(owner, weights=loss, minlength=len(some))
-                if high < len(order):
+                    if front:
+                        of_words[:more] += np.bincount(owner[:front], weights=-np.expm1(by_bits - both)[:front], minlength=more)
+                        seen[:more] += np.bincount(owner[:front], minlength=more)
+                        share[:more] = (WORD_SHARE * WORD_TRUST + of_words[:more]) / (WORD_TRUST + seen[:more])
+                        np.clip(share[:more], 1e-4, 1 - 1e-4, out=share[:more])
+                here = int(owner[-1]) + 1
+                lost[:here] += np.bincount(owner, weights=loss, minlength=here)
+                if front:
                     # A step of Newton's method on all segments so far, held towards a factor of 1.
+                    end, low_scale = int(word_at[low_word + front]) - low, scale[: GATES * more]
+                    z, of, ratio = z[:end], of[:end], ratio[:end]
                     wrong = ratio / (1 + ratio)
                     slope = z * wrong
-                    bend += np.bincount(of, weights=slope * z * (1 - wrong), minlength=len(scale))
-                    slope = np.bincount(of, weights=slope, minlength=len(scale))
-                    scale = np.clip(scale - slope / bend, 0.3, 3).astype(np.float32)
-            result[start : start + len(some)] += lost
+                    bend[: GATES * more] += np.bincount(of, weights=slope * z * (1 - wrong), minlength=len(low_scale))
+                    slope = np.bincount(of, weights=slope, minlength=len(low_scale))
+                    low_scale[:] = np.clip(low_scale - slope / bend[: GATES * more], 0.3, 3)
+            result[like[start + by_size]] += lost
         return result
 
 
 # ---- Spark jobs ----
 
 
+def _narrowed(counters: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs."""
+    return counters.astype(np.min_scalar_type(counters.max()))
+
+
+def _widened(data: bytes) -> np.ndarray:
+    """The numbers of a chunk of counters, from what ``_narrowed`` made of them."""
+    return np.frombuffer(data, f"u{len(data) // CHUNK}")
+
+
 def _squeezed(data: bytes) -> bytes:
     import zstandard
 
@@ -414,18 +556,14 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             number, rows, blob = (part.column(i)[0].as_py() for i in range(3))
-            counts: Counter[bytes] = Counter()
-            for text, out in zip(_plain(blob).split(b"\n"), _rows(rows).column(1).to_pylist()):
-                if out:
-                    for token in token_list(text):
-                        counts.setdefault(token, 0)
-                else:
-                    counts.update(token_list(text))
-            tokens, n = list(counts), list(counts.values())
+            found, sizes = tokens_of(_plain(blob))
+            found = found.dictionary_encode()
+            tokens, trained = found.dictionary, ~np.array(_rows(rows).column(1).to_pylist(), bool)
+            n = np.bincount(found.indices.to_numpy(), weights=np.repeat(trained, sizes), minlength=len(tokens)).astype(np.int64)
             for at in range(0, len(tokens), 1 << 16):
                 end = min(len(tokens), at + (1 << 16))
                 values = [pa.array([number] * (end - at)), pa.array(np.arange(at, end, dtype=np.int32)), pa.array(n[at:end], pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[at:end], pa.binary()), *values], ["token", "block", "place", "n"])
+                yield pa.RecordBatch.from_arrays([tokens[at:end].cast(pa.binary()), *values], ["token", "block", "place", "n"])
 
     return blocks.select("block", "rows", "texts").mapInArrow(run, "token binary, block bigint, place int, n bigint")
 
@@ -484,7 +622,7 @@ def _added(tables: DataFrame, key: list[str], last: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished() -> pa.RecordBatch:
-            data = slot_values(total[0::2], total[1::2]) if last else total
+            data = slot_values(total[0::2], total[1::2]) if last else _narrowed(total)
             columns = [pa.array([x], pa.int64()) for x in at] + [pa.array([_squeezed(data.tobytes())])]
             return pa.RecordBatch.from_arrays(columns, [*key, "data"])
 
@@ -495,7 +633,7 @@ def _added(tables: DataFrame, key: list[str], last: bool) -> DataFrame:
                 if at is not None:
                     yield finished()
                 at, total = here, np.zeros(CHUNK, np.int64)
-            total += np.frombuffer(_plain(part.column(len(key))[0].as_py()), np.int64)
+            total += _widened(_plain(part.column(len(key))[0].as_py())).astype(np.int64)
         if at is not None:
             yield finished()
 
@@ -510,22 +648,22 @@ def slot_counts(blocks: DataFrame, lengths: np.ndarray, codes: np.ndarray, fit:
         tables = [np.zeros(2 << bits, np.int32) for bits in SLOTS]
         code, seen = Code(lengths, codes), False
         for part in slices(batches, 1):
-            for _, some, ended in bundles(_training_texts(part, fit)):
-                bits, seen = Bits(some, code, ended), True
-                value, one = bits.value.astype(np.int64), np.int32(1)
-                for k, table in enumerate(tables):
-                    # Indexes and addend of these types are added in place, several times faster than by sorting.
-                    at = bits.slots(k).astype(np.int64)
-                    at <<= 1
-                    at |= value
-                    np.add.at(table, at, one)
+            for _, some, ended in bundles(_training_texts(part, fit), COUNTED):
+                seen = True
+                # A context that comes again with the same symbol is counted at once. Indexes and addends of
+                # these types are added in place, several times faster than by sorting all bits.
+                for k, pairs, context, times in repeated_contexts(some, ended):
+                    for at in range(0, len(pairs), LAID_OUT):
+                        here = slice(at, at + LAID_OUT)
+                        bits = Bits.of_symbols(pairs[here], {k: context[here]}, code)
+                        np.add.at(tables[k], bits.counters(k), times[here].astype(np.int32)[bits.symbol])
         if seen:
             group = TaskContext.get().partitionId() // TASKS_A_SUM
             for k, table in enumerate(tables):
                 for chunk in range(len(table) // CHUNK):
                     data = table[chunk * CHUNK : (chunk + 1) * CHUNK]
                     if data.any():
-                        columns = [pa.array([x]) for x in (k, chunk, group, _squeezed(data.astype(np.int64).tobytes()))]
+                        columns = [pa.array([x]) for x in (k, chunk, group, _squeezed(_narrowed(data).tobytes()))]
                         yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "part", "data"])
 
     counted = blocks.select("rows", "texts").mapInArrow(run, "kind bigint, chunk bigint, part bigint, data binary")
@@ -616,15 +754,17 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 places.append(np.frombuffer(part.column(2)[0].as_py(), np.int32))
                 known.append(np.frombuffer(part.column(3)[0].as_py(), np.int64))
                 continue
-            rows, some = _rows(part.column(4)[0].as_py()), _plain(part.column(5)[0].as_py()).split(b"\n")
-            numbers: dict[bytes, int] = {}
-            found = [[numbers.setdefault(token, len(numbers)) for token in token_list(text)] for text in some]
-            values = np.zeros(len(numbers))
+            rows, blob = _rows(part.column(4)[0].as_py()), _plain(part.column(5)[0].as_py())
+            found, tokens = tokens_of(blob)
+            found = found.dictionary_encode()
+            values = np.zeros(len(found.dictionary))
             if places:
                 values[np.concatenate(places)] = np.concatenate(known)
             places, known = [], []
-            of_texts = [values[ids] for ids in found]
-            del found, numbers
+            cuts, of_tokens = np.cumsum(tokens)[:-1], found.indices.to_numpy()
+            of_texts, logs = np.split(values[of_tokens], cuts), np.split(np.log10(values + 1)[of_tokens], cuts)
+            some = blob.split(b"\n")
+            del found, blob
             losses = model.losses(some, [x[:-1] for x in of_texts], of_words)
             sizes = np.array([len(t) + 1 for t in some])
             columns = [
@@ -632,7 +772,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 pa.array([len(x) for x in of_texts], pa.int64()),
                 pa.array([int(np.count_nonzero(x)) for x in of_texts], pa.int64()),
                 pa.array([n] * len(some), pa.int64()),
-                pa.array([math.fsum(np.log10(x + 1)) - len(x) * least for x in of_texts]),
+                pa.array([math.fsum(x.tolist()) - len(x) * least for x in logs]),
                 pa.array(-losses / math.log(10)),
                 pa.array(losses / math.log(2) / sizes),
             ]

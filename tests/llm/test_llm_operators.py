@@ -205,6 +205,39 @@ def test_weights_follow_the_predictors(documents, monkeypatch):
     assert (found[0] == found[1]).all()
 
 
+def test_repeated_contexts_are_counted_once():
+    """Every predictor's counters as from each bit by itself, from few distinct contexts; texts of any size, ended or not."""
+    rng = random.Random(6)
+    vocabulary = [bytes(rng.choices(b"abcdefgh\xc3\xa9", k=rng.randrange(1, 9))) for _ in range(30)]
+    texts = [b"", b"a", b"", *(b" ".join(rng.choices(vocabulary, k=rng.randrange(1, 200))) for _ in range(30)), b"bc", b""]
+    code = lm_scoring.Code(*lm_scoring.prefix_codes(np.zeros((257, 257), np.int64)))
+    for some, ended in ((texts, True), ([b" ".join(texts)], False)):
+        bits, met = lm_scoring.Bits(some, code, ended), set()
+        for k, pairs, contexts, times in lm_scoring.repeated_contexts(some, ended):
+            assert times.sum() == len(bits.symbols) and len(times) < len(bits.symbols) / 2
+            few = lm_scoring.Bits.of_symbols(pairs, {k: contexts}, code)
+            size = 2 << lm_scoring.SLOTS[k]
+            found = np.bincount(few.counters(k), weights=times[few.symbol], minlength=size)
+            assert (found == np.bincount(2 * bits.slots(k) + bits.value, minlength=size)).all()
+            met.add(k)
+        assert met == set(range(len(lm_scoring.SLOTS)))
+
+
+def test_tokens_of_a_block():
+    texts = [b"", b"a bc a", b"", b"", b"d", b"bc \xc3\xa9"]
+    for some in (texts, texts[:1], texts[1:2], texts[::-1]):
+        tokens, sizes = lm_scoring.tokens_of(b"\n".join(some))
+        assert tokens.to_pylist() == [x for t in some for x in [*t.split(), b""]]
+        assert sizes.tolist() == [len(t.split()) + 1 for t in some]
+
+
+def test_chunks_of_counters_keep_their_numbers(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 4)
+    for most in (0, 255, 256, 1 << 16, 1 << 31, 1 << 40):
+        data = lm_scoring._narrowed(np.array([0, 1, most, 2], np.int64)).tobytes()
+        assert lm_scoring._widened(data).tolist() == [0, 1, most, 2] and len(data) <= 4 * max(1, 2 * (most.bit_length() / 8))
+
+
 def test_known_words_score_better_with_their_counts():
     words = lm_scoring.Words(1000, 50, 20)
     model = lm_scoring.Model(*lm_scoring.prefix_codes(np.zeros((257, 257), np.int64)), [np.zeros(1 << b, np.int16) for b in lm_scoring.SLOTS])
