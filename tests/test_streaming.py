@@ -205,15 +205,15 @@ def test_raw_pages_in_folders_by_id_as_a_stream(spark, tmp_path):
     dump = tmp_path / "dump"
     names = [*range(40 * spark.sparkContext.defaultParallelism), -7, "007000", "__HIVE_DEFAULT_PARTITION__"]
     for name in names:
-        Path(dump, f"id={name}", "part").mkdir(parents=True)
-        Path(dump, f"id={name}", "part", "page.txt").write_text(f"page {name}")
-        Path(dump, f"id={name}", "page.html").write_text("not of this glob")
+        Path(dump, f"an id+é={name}", "part").mkdir(parents=True)
+        Path(dump, f"an id+é={name}", "part", "page.txt").write_text(f"page {name}")
+        Path(dump, f"an id+é={name}", "page.html").write_text("not of this glob")
     Path(dump, "page.txt").write_text("in no folder of an id")
 
     def run(name, **more):
-        pages = stream_raw_pages(spark, str(dump), "u", glob="*.txt", id_folder="id", files_per_batch=1000, **more)
+        pages = stream_raw_pages(spark, str(dump), "u", glob="*.txt", id_folder="an id+é", files_per_batch=1000, **more)
         relation = next(line for line in str(pages._jdf.queryExecution().analyzed()).splitlines() if "StreamingRelation" in line)
-        assert "content" in relation.rpartition("[")[2] and "id" not in relation.rpartition("[")[2], relation
+        assert "content" in relation.rpartition("[")[2] and " id" not in relation.rpartition("[")[2], relation
         append_stream(pages, str(tmp_path / name), str(tmp_path / f"{name}-progress")).awaitTermination()
         return spark.read.parquet(str(tmp_path / name))
 
@@ -222,7 +222,7 @@ def test_raw_pages_in_folders_by_id_as_a_stream(spark, tmp_path):
     assert sorted(map(tuple, pages.select("html", "page_id", "url").collect())) == sorted((f"page {n}", i, None if i is None else f"u{i}") for n, i in zip(names, ids))
     assert len(list(Path(tmp_path, "all").glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
     # Files beyond a span are not opened: this one is too long to be read.
-    os.truncate(Path(dump, "id=9", "part", "page.txt"), 3 << 30)
+    os.truncate(Path(dump, "an id+é=9", "part", "page.txt"), 3 << 30)
     assert sorted(r.page_id for r in run("some", span=(10, 20)).collect()) == list(range(10, 21))
 
 
